@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import ngram_join
+from millrace.llm import ngram_join, secret_scan, source_mix, substring_dedup
 from millrace.llm.shared import table
 
 
@@ -10,5 +10,17 @@ def op3_ngram_jaccard(spark, sf_dir):
     return ngram_join.ngram_jaccard(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_ngram_jaccard,)}
-ORACLE: dict[str, str] = {}
+def op6_secret_scan(spark, sf_dir):
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op7_substring_dedup(spark, sf_dir):
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+
+
+def op8_source_mix(spark, sf_dir):
+    return source_mix.source_mix(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_ngram_jaccard, op6_secret_scan, op7_substring_dedup, op8_source_mix)}
+ORACLE = {"op6_secret_scan": secret_scan.SQL, "op7_substring_dedup": substring_dedup.SQL, "op8_source_mix": source_mix.SQL}
