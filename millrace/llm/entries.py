@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import ngram_join, secret_scan, source_mix, substring_dedup
+from millrace.llm import bpe, chat_format, mpeg_audio, ngram_join, secret_scan, source_mix, substring_dedup
 from millrace.llm.shared import table
 
 
@@ -22,5 +22,17 @@ def op8_source_mix(spark, sf_dir):
     return source_mix.source_mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_ngram_jaccard, op6_secret_scan, op7_substring_dedup, op8_source_mix)}
-ORACLE = {"op6_secret_scan": secret_scan.SQL, "op7_substring_dedup": substring_dedup.SQL, "op8_source_mix": source_mix.SQL}
+def op2_chat_roundtrip(spark, sf_dir):
+    return chat_format.chat_roundtrip(table(spark, sf_dir, "conversations"))
+
+
+def op9_mpeg_audio(spark, sf_dir):
+    return mpeg_audio.mpeg_audio(table(spark, sf_dir, "documents"))
+
+
+def op10_bpe_chunks(spark, sf_dir):
+    return bpe.bpe_chunks(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_chat_roundtrip, op3_ngram_jaccard, op6_secret_scan, op7_substring_dedup, op8_source_mix, op9_mpeg_audio, op10_bpe_chunks)}
+ORACLE = {"op2_chat_roundtrip": chat_format.SQL, "op6_secret_scan": secret_scan.SQL, "op7_substring_dedup": substring_dedup.SQL, "op8_source_mix": source_mix.SQL}
