@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import bpe, chat_format, language_mix, mpeg_audio, ngram_join, secret_scan, source_mix, substring_dedup
+from millrace.llm import bpe, chat_format, language_mix, mpeg_audio, ngram_join, secret_scan, source_mix, substring_dedup, toxicity
 from millrace.llm.shared import table
 
 
@@ -26,6 +26,10 @@ def op2_chat_roundtrip(spark, sf_dir):
     return chat_format.chat_roundtrip(table(spark, sf_dir, "conversations"))
 
 
+def op4_toxicity(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_language_mix(spark, sf_dir):
     return language_mix.language_mix(table(spark, sf_dir, "documents"))
 
@@ -38,5 +42,5 @@ def op10_bpe_chunks(spark, sf_dir):
     return bpe.bpe_chunks(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_roundtrip, op3_ngram_jaccard, op5_language_mix, op6_secret_scan, op7_substring_dedup, op8_source_mix, op9_mpeg_audio, op10_bpe_chunks)}
+QUERIES = {f.__name__: f for f in (op2_chat_roundtrip, op3_ngram_jaccard, op4_toxicity, op5_language_mix, op6_secret_scan, op7_substring_dedup, op8_source_mix, op9_mpeg_audio, op10_bpe_chunks)}
 ORACLE = {"op2_chat_roundtrip": chat_format.SQL, "op6_secret_scan": secret_scan.SQL, "op7_substring_dedup": substring_dedup.SQL, "op8_source_mix": source_mix.SQL}
