@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import bpe, chat_format, language_mix, mpeg_audio, ngram_join, secret_scan, source_mix, substring_dedup, toxicity
+from millrace.llm import ann_scan, bpe, chat_format, language_mix, mpeg_audio, ngram_join, secret_scan, source_mix, substring_dedup, toxicity
 from millrace.llm.shared import table
 
 
@@ -22,6 +22,10 @@ def op8_source_mix(spark, sf_dir):
     return source_mix.source_mix(table(spark, sf_dir, "documents"))
 
 
+def op1_adaptive_scan(spark, sf_dir):
+    return ann_scan.adaptive_scan(table(spark, sf_dir, "embeddings"))
+
+
 def op2_chat_roundtrip(spark, sf_dir):
     return chat_format.chat_roundtrip(table(spark, sf_dir, "conversations"))
 
@@ -42,5 +46,5 @@ def op10_bpe_chunks(spark, sf_dir):
     return bpe.bpe_chunks(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_roundtrip, op3_ngram_jaccard, op4_toxicity, op5_language_mix, op6_secret_scan, op7_substring_dedup, op8_source_mix, op9_mpeg_audio, op10_bpe_chunks)}
+QUERIES = {f.__name__: f for f in (op1_adaptive_scan, op2_chat_roundtrip, op3_ngram_jaccard, op4_toxicity, op5_language_mix, op6_secret_scan, op7_substring_dedup, op8_source_mix, op9_mpeg_audio, op10_bpe_chunks)}
 ORACLE = {"op2_chat_roundtrip": chat_format.SQL, "op6_secret_scan": secret_scan.SQL, "op7_substring_dedup": substring_dedup.SQL, "op8_source_mix": source_mix.SQL}
