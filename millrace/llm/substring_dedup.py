@@ -1,15 +1,17 @@
 """Substring dedup: words covered by a window that begins in an earlier document too are removed.
 
-A count-min sketch goes first. Each task sends, for every range of the window hashes, the cells its
-windows fall into; the tasks' sketches merge range by range, and only cells counted twice or more
-go back to the documents that hold them. A cell never undercounts, so no repeated window is lost.
-The sketch is kept as lists of cells (one row of 2 ** 32 cells a range, ranges in proportion to the
-input), so nothing is broadcast and no task holds more than one range. The second pass groups the
-windows estimated repeated by 128-bit hashes; whole copies of an earlier text skip both passes.
+Documents are dealt into groups by hash; that shuffle is the only one of the texts. A count-min sketch
+goes first: each group sends, for every range of the window hashes, the cells its windows fall into,
+the groups' sketches merge range by range, and only cells counted twice or more go back to the groups
+that hold them. A cell never undercounts, so no repeated window is lost. The sketch is kept as lists
+of cells (one row of 2 ** 27 cells a range, ranges in proportion to the input), so nothing is broadcast
+and no task holds more than one range. The second pass groups the windows estimated repeated by 96-bit
+hashes: a group sends each once, with its earliest document there, and hears which begin earlier
+elsewhere. Whole copies of an earlier text skip both passes.
 
 Defined results: null text counts as empty; a text of fewer than `k` words keeps all; a null doc_id
 is neither earlier nor later than any other; equal doc_ids are not earlier than each other; an empty
-table gives an empty result; columns besides doc_id and text are ignored.
+table gives an empty result; columns besides doc_id and text are ignored. doc_id is an integer.
 """
 
 from __future__ import annotations
@@ -17,7 +19,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +27,8 @@ from millrace.llm.shared import keyed_join, runs, settled, slices, word_hashes
 
 #: Windows in a sketch range and bytes of text in a document group, about.
 PER_RANGE, PER_GROUP = 4_000_000, 2_000_000
+#: The order of a null doc_id: after all others.
+LAST = np.iinfo(np.int64).max
 
 
 def windows(texts: list[bytes], k: int, seed: int = 11) -> list[np.ndarray]:
@@ -38,92 +41,159 @@ def windows(texts: list[bytes], k: int, seed: int = 11) -> list[np.ndarray]:
     return out
 
 
-def _range(keys: np.ndarray, ranges: int) -> np.ndarray:
-    return (keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+def _places(keys: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """Range and cell of window hashes."""
+    return ((keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64), (keys.astype(np.uint32) >> np.uint32(5))
+
+
+def pack_cells(cells: np.ndarray) -> bytes:
+    """Ordered cells as 16-bit steps, 65535 standing for that many and no cell; or plain, if that is shorter."""
+    step = np.diff(cells.astype(np.int64), prepend=0)
+    more, rest = step // 65535, step % 65535
+    at = np.cumsum(more + 1) - 1
+    if 2 * (at[-1] + 1) >= 4 * len(cells):
+        return b"\0\0" + cells.astype("<u4").tobytes()
+    out = np.full(at[-1] + 1, 65535, "<u2")
+    out[at] = rest
+    return b"\1\0" + out.tobytes()
+
+
+def unpack_cells(blob: bytes) -> np.ndarray:
+    if blob[0] == 0:
+        return np.frombuffer(blob, "<u4", offset=2)
+    out = np.frombuffer(blob, "<u2", offset=2)
+    return np.cumsum(out, dtype=np.int64)[out != 65535].astype(np.uint32)
+
+
+def _texts(docs: pa.Table) -> tuple[list[bytes], np.ndarray]:
+    """The group's texts, copies as empty ones, and the order of their ids."""
+    texts = docs.column("text").cast(pa.binary()).to_pylist()
+    copies = docs.column("copy").to_pylist()
+    ids = docs.column("doc_id").cast(pa.int64()).fill_null(LAST).to_numpy()
+    return [b"" if c else t for t, c in zip(texts, copies)], ids
+
+
+def _split(part: np.ndarray) -> list[tuple[int, int, int]]:
+    """(value, from, to) of the stretches of equal values."""
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+    return [(int(part[i]), i, j) for i, j in zip(cuts, cuts[1:]) if j > i]
 
 
 def _sketch(k: int, ranges: int):
-    """For each range and document group of a batch: its cells in order, a cell twice at most."""
-
-    def run(batches):
-        for b in batches:
-            own = windows(b.column("text").cast(pa.binary()).to_pylist(), k)
-            groups = np.repeat(b.column("group").to_numpy(), [len(x) for x in own])
-            keys = np.concatenate(own) if own else np.zeros(0, np.uint64)
-            place = (_range(keys, ranges).astype(np.int64) << 32) + groups
-            cells = keys.astype(np.uint32)
-            order = np.lexsort((cells, place))
-            place, cells = place[order], cells[order]
-            third = np.zeros(len(cells), bool)
-            third[2:] = (place[2:] == place[:-2]) & (cells[2:] == cells[:-2])
-            place, cells = place[~third], cells[~third]
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1]) if len(place) else np.zeros(0, np.int64)
-            ends = np.append(cuts[1:], len(place))
-            blobs = [cells[i:j].tobytes() for i, j in zip(cuts, ends)]
-            part = place[cuts]
-            yield pa.RecordBatch.from_arrays([pa.array(part >> 32, pa.int32()), pa.array(part & 0xFFFFFFFF, pa.int32()), pa.array(blobs, pa.binary())], ["part", "group", "cells"])
+    """For each range: the cells of the group's windows in order, a cell twice at most."""
+
+    def run(docs: pa.Table) -> pa.Table:
+        own = windows(_texts(docs)[0], k)
+        part, cells = _places(np.concatenate(own), ranges)
+        order = np.lexsort((cells, part))
+        part, cells = part[order], cells[order]
+        third = np.zeros(len(cells), bool)
+        third[2:] = (part[2:] == part[:-2]) & (cells[2:] == cells[:-2])
+        part, cells = part[~third], cells[~third]
+        out = [(p, pack_cells(cells[i:j])) for p, i, j in _split(part)]
+        group = docs.column("group")[0].as_py()
+        return pa.table({"part": pa.array([x[0] for x in out], pa.int32()), "group": pa.array([group] * len(out), pa.int32()), "cells": pa.array([x[1] for x in out], pa.binary())})
 
     return run
 
 
-def _merged(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The cells of each document group that the merged sketch of this range counts twice or more."""
-    cells = np.frombuffer(b"".join(pdf["cells"]), np.uint32)
-    group = np.repeat(pdf["group"].to_numpy(), pdf["cells"].str.len() // 4)
+def _merged(table: pa.Table) -> pa.Table:
+    """The cells of each group that the merged sketch of this range counts twice or more."""
+    own = [unpack_cells(x) for x in table.column("cells").to_pylist()]
+    cells = np.concatenate(own)
+    group = np.repeat(table.column("group").to_numpy(), [len(x) for x in own])
     order = np.argsort(cells, kind="stable")
     same = cells[order][1:] == cells[order][:-1]
     often = np.zeros(len(cells), bool)
     often[order[1:][same]] = True
     often[order[:-1][same]] = True
     cells, group = cells[often], group[often]
-    order = np.argsort(group, kind="stable")
-    cells, group = cells[order], group[order]
-    names, first = np.unique(group, return_index=True)
-    return pd.DataFrame({"group": names, "part": pdf["part"].iloc[0], "cells": [np.unique(x).tobytes() for x in np.split(cells, first[1:])] if len(names) else []})
+    order = np.lexsort((cells, group))
+    out = [(g, pack_cells(np.unique(cells[order][i:j]))) for g, i, j in _split(group[order])]
+    part = table.column("part")[0].as_py()
+    return pa.table({"group": pa.array([x[0] for x in out], pa.int32()), "part": pa.array([part] * len(out), pa.int32()), "cells": pa.array([x[1] for x in out], pa.binary())})
+
+
+def _earliest(h1: np.ndarray, h2: np.ndarray, ids: np.ndarray, tag: np.ndarray) -> tuple[np.ndarray, ...]:
+    """All four in order of window, then id, and which rows begin a new window."""
+    order = np.lexsort((ids, h2, h1))
+    h1, h2, ids, tag = h1[order], h2[order], ids[order], tag[order]
+    new = np.ones(len(h1), bool)
+    new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+    return h1, h2, ids, tag, new
+
+
+def _hashes(texts: list[bytes], ids: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    own, other = windows(texts, k), windows(texts, k, seed=12)
+    at = np.repeat(np.arange(len(texts)), [len(x) for x in own])
+    return np.concatenate(own), np.concatenate(other).astype(np.uint32), ids[at], at
 
 
 def _repeated(k: int, ranges: int):
-    """The windows of a group's documents that the sketch estimates repeated, once a document."""
-
-    def run(docs: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
-        if docs.empty or cells.empty:
-            return pd.DataFrame({"h1": [], "h2": [], "doc_id": [], "row": []}, dtype="int64")
-        often = np.sort(np.concatenate([np.frombuffer(x, np.uint32) + np.uint64(p << 32) for p, x in zip(cells["part"], cells["cells"])]))
-        texts = [t.encode() for t in docs["text"]]
-        own, other = windows(texts, k), windows(texts, k, seed=12)
-        lengths = [len(x) for x in own]
-        h1, h2, at = np.concatenate(own), np.concatenate(other), np.repeat(np.arange(len(texts)), lengths)
-        cell = (_range(h1, ranges) << np.uint64(32)) | (h1 & np.uint64(0xFFFFFFFF))
-        hit = often[np.minimum(np.searchsorted(often, cell), len(often) - 1)] == cell
-        h1, h2, at = h1[hit], h2[hit], at[hit]
-        order = np.lexsort((h1, at))
-        h1, h2, at = h1[order], h2[order], at[order]
-        new = np.ones(len(at), bool)
-        new[1:] = (at[1:] != at[:-1]) | (h1[1:] != h1[:-1])
-        return pd.DataFrame({"h1": h1[new].view(np.int64), "h2": h2[new].view(np.int64), "doc_id": docs["doc_id"].to_numpy()[at[new]], "row": docs["row"].to_numpy()[at[new]]})
+    """For each range: the group's windows that the sketch estimates repeated, with the earliest document of each."""
+
+    def run(docs: pa.Table, cells: pa.Table) -> pa.Table:
+        out = []
+        if docs.num_rows and cells.num_rows:
+            group = docs.column("group")[0].as_py()
+            often = np.sort(np.concatenate([unpack_cells(x).astype(np.int64) + (p << 32) for p, x in zip(cells.column("part").to_pylist(), cells.column("cells").to_pylist())]))
+            h1, h2, ids, _ = _hashes(*_texts(docs), k)
+            part, cell = _places(h1, ranges)
+            place = (part << 32) + cell
+            hit = often[np.minimum(np.searchsorted(often, place), len(often) - 1)] == place
+            h1, h2, ids, part, new = _earliest(h1[hit], h2[hit], ids[hit], part[hit])
+            # Ordered by hash, windows are ordered by range.
+            for p, i, j in _split(part[new]):
+                out.append((p, group, *(x[new][i:j].tobytes() for x in (h1, h2, ids))))
+        cols = list(zip(*out)) or [()] * 5
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("part", "group", "h1", "h2", "ids"), cols, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))})
 
     return run
 
 
+def _elsewhere(table: pa.Table) -> pa.Table:
+    """The windows of each group that begin in an earlier document of another."""
+    h1, h2, ids = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("h1", "<u8"), ("h2", "<u4"), ("ids", "<i8")))
+    group = np.repeat(table.column("group").to_numpy(), [len(x) // 8 for x in table.column("h1").to_pylist()])
+    h1, h2, ids, group, new = _earliest(h1, h2, ids, group)
+    late = ids > ids[new][np.cumsum(new) - 1]
+    order = np.argsort(group[late], kind="stable")
+    out = [(g, h1[late][order][i:j].tobytes()) for g, i, j in _split(group[late][order])]
+    return pa.table({"group": pa.array([x[0] for x in out], pa.int32()), "gone": pa.array([x[1] for x in out], pa.binary())})
+
+
 def _kept(k: int):
-    def run(batches):
-        for b in batches:
-            texts = b.column("text").cast(pa.binary()).to_pylist()
-            counts, removed, kept = [], [], []
-            for text, gone, copy in zip(texts, b.column("gone"), b.column("copy").to_pylist()):
-                words = text.split()
-                n = len(words)
-                if copy and n >= k:
-                    words = []
-                elif gone.is_valid and n >= k:
-                    own = windows([text], k)[0]
-                    starts = np.flatnonzero(np.isin(own, gone.values.to_numpy().view(np.uint64)))
-                    cover = np.bincount(starts, minlength=n + k) - np.bincount(starts + k, minlength=n + k)
-                    words = [w for w, c in zip(words, np.cumsum(cover).tolist()) if not c]
-                counts.append(n)
-                removed.append(n - len(words))
-                kept.append(b" ".join(words))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+    def run(docs: pa.Table, gone: pa.Table) -> pa.Table:
+        texts, ids = _texts(docs)
+        counts, removed, kept = [], [], []
+        hits = {}
+        if len(texts):
+            h1, h2, of, at = _hashes(texts, ids, k)
+            first = np.cumsum([0, *np.bincount(at, minlength=len(texts))])
+            place = np.arange(len(h1)) - first[at]
+            s1, _, sid, tag, new = _earliest(h1, h2, of, np.arange(len(h1)))
+            late = sid > sid[new][np.cumsum(new) - 1] if len(s1) else np.zeros(0, bool)
+            drop = np.zeros(len(h1), bool)
+            drop[tag[late]] = True
+            if gone.num_rows:
+                drop |= np.isin(h1, np.frombuffer(b"".join(gone.column("gone").to_pylist()), "<u8"))
+            drop &= of != LAST
+            at, place = at[drop], place[drop]
+            hits = {d: place[i:j] for d, i, j in _split(at)}
+        whole = docs.column("text").cast(pa.binary()).to_pylist()
+        for i, (text, copy) in enumerate(zip(whole, docs.column("copy").to_pylist())):
+            words = text.split()
+            n = len(words)
+            if copy and n >= k:
+                words = []
+            elif i in hits:
+                starts = hits[i]
+                cover = np.bincount(starts, minlength=n + k) - np.bincount(starts + k, minlength=n + k)
+                words = [w for w, c in zip(words, np.cumsum(cover).tolist()) if not c]
+            counts.append(n)
+            removed.append(n - len(words))
+            kept.append(b" ".join(words))
+        return pa.table({"doc_id": docs.column("doc_id"), "n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.binary()).cast(pa.string())})
 
     return run
 
@@ -135,17 +205,16 @@ def remove_repeats(docs: DataFrame, k: int = 13) -> DataFrame:
     ranges, groups = max(1, math.ceil(size / 6 / PER_RANGE)), max(1, math.ceil(size / PER_GROUP))
     keys = docs.select("doc_id", "row", F.md5("text").alias("digest"))
     least = keys.groupBy("digest").agg(F.min("doc_id").alias("least"))
-    copies = settled(keys.join(least, "digest").where("doc_id > least").select("row").distinct())
-    first = keyed_join(docs, copies, "row", "left_anti").withColumn("group", F.pmod("row", F.lit(groups)).cast("int"))
-    sketches = first.select("group", "text").mapInArrow(_sketch(k, ranges), "part int, group int, cells binary")
-    cells = sketches.groupBy("part").applyInPandas(_merged, "group int, part int, cells binary")
-    ids = docs.select(F.col("doc_id").alias("doc_id")).schema["doc_id"].dataType.simpleString()
-    found = settled(first.groupBy("group").cogroup(cells.groupBy("group")).applyInPandas(_repeated(k, ranges), f"h1 long, h2 long, doc_id {ids}, row long"))
-    least = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"))
-    gone = found.join(least, ["h1", "h2"]).where("doc_id > least").groupBy("row").agg(F.collect_set("h1").alias("gone"))
-    marks = gone.select("row", "gone", F.lit(False).alias("copy")).union(copies.select("row", F.lit(None).cast("array<bigint>"), F.lit(True)))
-    marked = docs.join(marks, "row", "left").select("doc_id", "text", "gone", F.coalesce("copy", F.lit(False)).alias("copy"))
-    return marked.mapInArrow(_kept(k), marked.select("doc_id").schema.add("n_words", "long").add("n_removed", "long").add("kept", "string"))
+    copies = settled(keys.join(least, "digest").where("doc_id > least").select("row").distinct().withColumn("copy", F.lit(True)))
+    marked = keyed_join(docs, copies, "row", "left")
+    dealt = marked.select(F.pmod("row", F.lit(groups)).cast("int").alias("group"), "doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"))
+    # All three uses of a group's documents read one shuffle.
+    sketches = dealt.groupBy("group").applyInArrow(_sketch(k, ranges), "part int, group int, cells binary")
+    cells = sketches.groupBy("part").applyInArrow(_merged, "group int, part int, cells binary")
+    found = dealt.groupBy("group").cogroup(cells.groupBy("group")).applyInArrow(_repeated(k, ranges), "part int, group int, h1 binary, h2 binary, ids binary")
+    gone = found.groupBy("part").applyInArrow(_elsewhere, "group int, gone binary")
+    schema = dealt.select("doc_id").schema.add("n_words", "long").add("n_removed", "long").add("kept", "string")
+    return dealt.groupBy("group").cogroup(gone.groupBy("group")).applyInArrow(_kept(k), schema)
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
