@@ -226,12 +226,13 @@ def _links(k: int, t: int, wide: int = 4096):
     return run
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, block: int = 1024) -> DataFrame:
-    """doc_id, n_grams, component_id of each row: sets of k-word grams linked from `percent` similarity up.
+def row_of():
+    return F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
 
-    component_id is the smallest doc_id reachable by links, the document's own included.
-    """
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
+
+def _labelled(docs: DataFrame, k: int, percent: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, row, n_grams, node) of each document, and (node, label) of each set that has links."""
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("row", row_of())
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     base = settled(docs.mapInArrow(_digests(k), docs.select("doc_id", "row").schema.add("n_grams", "long").add("node", "long")))
     first = F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
@@ -259,11 +260,34 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, block: in
         right = large.select("near", "node", "text", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("chunk"), "block", F.lit(0).alias("side"))
         more = left.unionByName(right).groupBy("near", "chunk", "block").applyInPandas(_links(k, percent), "a long, b long")
         found = settled(found.union(more))
-    label = components(found)
+    return base, settled(components(found))
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, block: int = 1024) -> DataFrame:
+    """doc_id, n_grams, component_id of each row: sets of k-word grams linked from `percent` similarity up.
+
+    component_id is the smallest doc_id reachable by links, the document's own included.
+    """
+    base, label = _labelled(docs, k, percent, block)
+    one = base.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     ids = one.join(label, "node").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     of_set = one.join(label, "node", "left").join(ids, "label", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"))
     return base.join(of_set, "node", "left").select("doc_id", "n_grams", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, block: int = 1024) -> DataFrame:
+    """The first document by doc_id of each component, and all without grams; the columns stay."""
+    base, label = _labelled(docs, k, percent, block)
+    rows = base.where("node is not null").join(label, "node", "left").select("row", "doc_id", F.coalesce("label", "node").alias("label"))
+    first = rows.groupBy("label").agg(F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
+    gone = settled(rows.join(first, "label").where("row <> first").select(F.col("row").alias("at")).distinct())
+    # A kept row that the table repeats stays once.
+    again = settled(rows.groupBy("row").count().where("count > 1").select(F.col("row").alias("at")).join(gone, "at", "left_anti"))
+    names, packed = docs.columns, docs.select(F.struct("*").alias("whole"), row_of().alias("at"))
+    kept = keyed_join(packed, gone, "at", "left_anti")
+    once = keyed_join(kept, again, "at", "left_anti").unionByName(keyed_join(kept, again, "at", "left_semi").dropDuplicates(["at"])) if again.limit(1).count() else kept
+    return once.select(*(F.col("whole")[c].alias(c) for c in names))
+
+
 def ngram_jaccard(docs: DataFrame) -> DataFrame:
     return jaccard_components(docs, 3, 90).withColumnRenamed("n_grams", "n_shingles")
