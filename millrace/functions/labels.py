@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,15 +43,19 @@ def field_of(label: Column, whole_words: bool = False) -> Column:
     Containment ignores word borders, as the tables' meaning does ("Community" holds "unit");
     whole_words asks for them instead.
     """
-    text = cleaned(label)
     exact: dict[str, str] = {k: k for k in ALIASES}
     for key, names in ALIASES.items():
         for name in [key.replace("_", " "), *names]:
             exact.setdefault(name, key)
-    known = F.create_map(*(F.lit(x) for pair in exact.items() for x in pair))[text]
-    padded = F.concat(F.lit(" "), text, F.lit(" "))
-    has = (lambda a: F.contains(padded, F.lit(f" {a} "))) if whole_words else (lambda a: F.contains(text, F.lit(a)))
-    return F.coalesce(known, *(F.when(has(a), F.lit(key)) for key, names in ALIASES.items() for a in names))
+    known = F.create_map(*(F.lit(x) for pair in exact.items() for x in pair))
+
+    def of(text: Column) -> Column:
+        padded = F.concat(F.lit(" "), text, F.lit(" "))
+        has = (lambda a: F.contains(padded, F.lit(f" {a} "))) if whole_words else (lambda a: F.contains(text, F.lit(a)))
+        return F.coalesce(known[text], *(F.when(has(a), F.lit(key)) for key, names in ALIASES.items() for a in names))
+
+    # Inside the lambda the label is cleaned once, not once an alias.
+    return F.get(F.transform(F.array(cleaned(label)), of), F.lit(0))
 
 
 def field_or_slug(label: Column) -> Column:
@@ -61,12 +63,13 @@ def field_or_slug(label: Column) -> Column:
 
 
 def sensitive(label: Column) -> Column:
-    return reduce(lambda a, b: a | b, (F.contains(F.lower(label), F.lit(s)) for s in SENSITIVE))
+    """Whether a fragment is anywhere in the label; one search for all."""
+    return F.lower(label).rlike("|".join(SENSITIVE))
 
 
 def suggested_slot(label: Column) -> Column:
     text = slug(label)
-    cases = [F.when(reduce(lambda a, b: a | b, (F.contains(text, F.lit(p)) for p in parts)), F.lit(name)) for name, parts in SLOTS]
+    cases = [F.when(text.rlike("|".join(parts)), F.lit(name)) for name, parts in SLOTS]
     return F.coalesce(*cases, F.when(text != "", F.left(text, F.lit(40))), F.lit("secret"))
 
 

@@ -46,7 +46,7 @@ def keyed(events: DataFrame) -> DataFrame:
     """Events with their key, direction and, for declarations, hundredths."""
     high, low = F.lower("higher"), F.lower("lower")
     # Half-way cases of a typed confidence are its double's, so the rounding is of the double's digits.
-    held = F.bround(F.greatest(F.least(F.col("confidence"), F.lit(0.99)), F.lit(0.05)).cast("decimal(20,17)"), 2)
+    held = F.bround(F.when(F.col("confidence").isNotNull(), F.greatest(F.least(F.col("confidence"), F.lit(0.99)), F.lit(0.05))).cast("decimal(20,17)"), 2)
     return events.select(
         "owner_id", "seq", "context", "higher", "lower", F.lower("context").alias("ckey"), F.least(high, low).alias("a"), F.greatest(high, low).alias("b"),
         (high > low).cast("int").alias("dir"), (held * 100).cast("int").alias("conf"),
@@ -143,18 +143,24 @@ def topical(topic: Column, context: Column) -> Column:
     return holds(context, topic) | holds(topic, context) | generic(context)
 
 
+def _matches(topics: DataFrame, texts: DataFrame, column: str, test) -> DataFrame:
+    """owner_id, topic, and the owner's texts that pass the test: each distinct pair of both is tested once."""
+    asked, held = topics.select("owner_id", "topic").distinct(), texts.select("owner_id", column).distinct()
+    return asked.join(held, "owner_id").where(test(F.col("topic"), F.col(column)))
+
+
 def basis_priorities(topics: DataFrame, priorities: DataFrame) -> DataFrame:
     """topics (owner_id, topic_id, topic) with each priority of the owner that bears on it, ranked by `place`.
 
     The owner is the join's key, so contexts are compared within owners only. Topics without any stay out.
     """
-    joined = topics.join(priorities, "owner_id").where(topical(F.col("topic"), F.col("context")))
+    joined = topics.join(_matches(topics, priorities, "context", topical), ["owner_id", "topic"]).join(priorities, ["owner_id", "context"])
     return joined.withColumn("place", F.row_number().over(Window.partitionBy("topic_id").orderBy(F.desc("confidence"), "seq")))
 
 
 def basis_facts(topics: DataFrame, facts: DataFrame) -> DataFrame:
     """topics with each fact of the owner that contains it, in stored order."""
-    return topics.join(facts, "owner_id").where(holds(F.col("fact"), F.col("topic")))
+    return topics.join(_matches(topics, facts, "fact", lambda t, f: holds(f, t)), ["owner_id", "topic"]).join(facts, ["owner_id", "fact"])
 
 
 def explain_basis(topics: DataFrame, priorities: DataFrame, facts: DataFrame) -> DataFrame:

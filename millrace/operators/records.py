@@ -34,8 +34,8 @@ def forget(facts: DataFrame, needle: str, allow_empty: bool = False) -> DataFram
     return facts.where(~holds(F.col("fact"), _checked(needle, allow_empty)))
 
 
-def forget_count(facts: DataFrame, needle: str) -> Column:
-    """Aggregate: how many facts `forget` removes."""
+def forget_count(needle: str) -> Column:
+    """Aggregate over facts: how many of them `forget` removes."""
     return F.count_if(holds(F.col("fact"), needle))
 
 

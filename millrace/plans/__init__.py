@@ -1,4 +1,6 @@
 """Registered queries over the test tables and their SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from millrace.plans.queries import QUERIES
+from millrace.plans.sql import ORACLE
+
+__all__ = ["ORACLE", "QUERIES"]
