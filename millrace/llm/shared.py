@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.sources.shared import settled
+
 #: One word, as the contracts define it.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Up to this many ids (8 bytes each) a side of a join may be broadcast; beyond it the join shuffles.
@@ -19,23 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """df written once to the shared folder and read back: lineage ends here, lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/millrace-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def keyed_join(df: DataFrame, ids: DataFrame, on: str, how: str) -> DataFrame:
     """Join with a table of ids: broadcast up to BROADCAST_IDS rows, counted first, else a shuffled join."""
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
