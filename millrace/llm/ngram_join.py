@@ -1,12 +1,13 @@
 """N-gram Jaccard join: a blocked sparse product of the document by n-gram incidence matrix.
 
-Equal sets collapse first. The matrix's columns are then dealt into blocks by gram hash; two
-sets within the size-derived bound on their symmetric difference must agree on a whole non-empty
-block, so only sets that share a block row can pair up, and only within such groups is the
-product taken: column block by column block, overlap counts accumulate and a pair that can no
-longer reach its bound goes. Groups over `block` sets are taken in blocks: first within random
-blocks, then every set outside the largest component against all blocks, so no pair is missed
-and only a spanning forest of the links ever leaves a task.
+Equal sets collapse first. A sketch of fixed size then estimates how many sets hold each gram, and
+orders all grams from rare to common. Two sets of the wanted similarity share one of their first grams
+in that order, whose number follows from the set's size, so only sets that meet there can pair up, and
+only within such groups is the product taken: column block by column block, overlap counts accumulate
+and a pair that can no longer reach its bound goes. Groups over `block` sets are taken in blocks: first
+within random blocks, then every set outside the largest component against all blocks, so no pair is
+missed and only a spanning forest of the links ever leaves a task. The sketch decides the order alone:
+a coarse one costs time, never a link.
 
 Defined results: a null or blank text has no grams, n_grams 0 and links with nothing; equal texts
 share a component; a null doc_id counts as larger than all others; an empty table gives an empty
@@ -25,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import components, keyed_join, mix, runs, settled, slices, word_hashes
+from millrace.llm.shared import components, in_batches, keyed_join, mix, pack_cells, runs, settled, slices, unpack_cells, word_hashes
 
-#: Block signatures that one reducer task gets together, about.
+#: Signatures that one reducer task gets together, about.
 PER_RANGE = 600_000
+#: Sketch: 2 ** MOST_BITS cells of half a byte at most, in parts of 2 ** PART_BITS; grams that a task gathers before it sends them, and bytes of text whose sketches one task sums up, about.
+MOST_BITS, PART_BITS, GATHERED, SUMMED = 26, 18, 3_000_000, 8_000_000_000
 
 
 def gram_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
@@ -59,26 +62,90 @@ def size_classes(t: int) -> np.ndarray:
     return np.array(tops)
 
 
-def block_rows(grams: np.ndarray, t: int) -> np.ndarray:
-    """Signatures of a set's block rows; two sets of similarity t in percent share one at least.
+def cell_of(grams: np.ndarray, bits: int) -> np.ndarray:
+    """The sketch cell of each gram."""
+    return (mix(grams ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(64 - bits)).astype(np.uint32)
 
-    With blocks more than the largest difference of a class, some blocks agree. Should all that agree
-    be empty, both sets have many empty blocks: such sets add their prefix in hash order too.
+
+def _sketched(k: int, bits: int):
+    """Per part of the sketch: the cells of the grams of a task's sets, one for each set and gram."""
+
+    def sent(held: list[np.ndarray]) -> pa.RecordBatch:
+        cells = np.sort(np.concatenate(held))
+        part = cells >> np.uint32(PART_BITS)
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+        blobs = [pack_cells(cells[i:j] & np.uint32((1 << PART_BITS) - 1)) for i, j in zip(cuts, cuts[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]].astype(np.int32)), pa.array(blobs, pa.binary())], ["part", "cells"])
+
+    def run(batches):
+        held, n = [], 0
+        for b in batches:
+            texts = b.column("text").cast(pa.binary()).to_pylist()
+            for i, j in slices(texts, 8_000_000):
+                held += [cell_of(s, bits) for s in gram_sets(texts[i:j], k) if len(s)]
+                n = sum(map(len, held))
+                if n >= GATHERED:
+                    yield sent(held)
+                    held, n = [], 0
+        if n:
+            yield sent(held)
+
+    return run
+
+
+def _summed(last: bool):
+    """Counts of each part's cells, whose rows come together; at last as levels of half a byte, the logarithm of the count."""
+
+    def sent(part: int, n: np.ndarray) -> pa.RecordBatch:
+        if last:
+            level = np.minimum(np.log2(np.maximum(n, 1)), 15).astype(np.uint8)
+            blob = (level[0::2] | level[1::2] << 4).tobytes()
+        else:
+            blob = b"\3" + np.minimum(n, (1 << 32) - 1).astype("<u4").tobytes()
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([blob], pa.binary())], ["part", "cells"])
+
+    def run(batches):
+        now, n = None, None
+        for b in batches:
+            for part, blob in zip(b.column("part").to_pylist(), b.column("cells").to_pylist()):
+                if part != now:
+                    if now is not None:
+                        yield sent(now, n)
+                    now, n = part, np.zeros(1 << PART_BITS, np.int64)
+                n += np.frombuffer(blob, "<u4", offset=1) if blob[0] == 3 else np.bincount(unpack_cells(blob), minlength=1 << PART_BITS)
+        if now is not None:
+            yield sent(now, n)
+
+    return run
+
+
+def commonness(docs: DataFrame, k: int, size: int) -> np.ndarray:
+    """Levels of the sketch cells, two a byte, higher for grams of more sets; 2 ** MOST_BITS / 2 bytes at most."""
+    bits = min(MOST_BITS, max(PART_BITS, (size // 4).bit_length()))
+    parts = docs.mapInArrow(_sketched(k, bits), "part int, cells binary")
+    if (salts := math.ceil(size / SUMMED)) > 1:
+        salted = parts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts))).repartition("part", "salt").sortWithinPartitions("part")
+        parts = salted.select("part", "cells").mapInArrow(_summed(False), "part int, cells binary")
+    levels = np.zeros((1 << bits - PART_BITS, 1 << PART_BITS - 1), np.uint8)
+    for part, blob in parts.repartition("part").sortWithinPartitions("part").mapInArrow(_summed(True), "part int, cells binary").collect():
+        levels[part] = np.frombuffer(blob, np.uint8)
+    return levels.reshape(-1)
+
+
+def first_rows(grams: np.ndarray, t: int, levels: np.ndarray) -> np.ndarray:
+    """Signatures of a set's first grams from rare to common; two sets of similarity t in percent share one.
+
+    A gram that no other set holds (level 0) is left out. Sets of far sizes don't meet: a signature holds the size class.
     """
-    n, tops, out = len(grams), size_classes(t), [grams[:0]]
+    n, tops = len(grams), size_classes(t)
+    if not n:
+        return grams
+    cell = cell_of(grams, len(levels).bit_length())
+    level = levels[cell >> np.uint32(1)] >> ((cell & np.uint32(1)) << np.uint32(2)).astype(np.uint8) & 15
+    first = np.lexsort((grams, level))[: n + (-t * n // 100) + 1]
+    own = grams[first[level[first] > 0]]
     c = int(np.searchsorted(tops, n))
-    for k in (c, c + 1) if n * 100 // t > tops[c] else (c,) if n else ():
-        apart = (100 - t) * 2 * int(tops[k]) // (100 + t)
-        blocks = apart + 2 + apart // 5
-        at = ((mix(grams + np.uint64(k)) >> np.uint64(40)) * np.uint64(blocks) >> np.uint64(24)).astype(np.int64)
-        own = np.bincount(at, minlength=blocks)
-        full = np.flatnonzero(own)
-        starts = (np.cumsum(own) - own)[full]
-        sums = np.add.reduceat(mix(grams ^ np.uint64(0x5851F42D4C957F2D))[np.argsort(at, kind="stable")], starts)
-        out.append(mix(sums + mix(full.astype(np.uint64) + np.uint64(k << 32))))
-        if blocks - len(full) >= blocks - apart:
-            out.append(mix(np.sort(mix(grams))[: n + (-t * n // 100) + 1] + np.uint64(77 + k)))
-    return np.concatenate(out)
+    return np.concatenate([mix(own + np.uint64(k)) for k in ((c, c + 1) if n * 100 // t > tops[c] else (c,))])
 
 
 class Forest:
@@ -130,7 +197,7 @@ def _digests(k: int):
     return run
 
 
-def _candidates(k: int, t: int, ranges: int):
+def _candidates(k: int, t: int, ranges: int, levels):
     """Per batch: for each range of signatures a blob of (node, count) and signatures, and a forest of what meets here."""
 
     def run(batches):
@@ -138,7 +205,7 @@ def _candidates(k: int, t: int, ranges: int):
             sets = [s for s in gram_sets(b.column("text").cast(pa.binary()).to_pylist(), k) if len(s)]
             if not sets:
                 continue
-            rows = [block_rows(s, t) for s in sets]
+            rows = [first_rows(s, t, levels.value) for s in sets]
             keys = np.concatenate(rows)
             nodes = np.repeat(np.array([set_id(s) for s in sets], np.int64), [len(r) for r in rows])
             first, leads, others = _shared_keys(keys, nodes)
@@ -232,16 +299,17 @@ def row_of():
 
 def _labelled(docs: DataFrame, k: int, percent: int, block: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, row, n_grams, node) of each document, and (node, label) of each set that has links."""
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("row", row_of())
+    docs = in_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("row", row_of())
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     base = settled(docs.mapInArrow(_digests(k), docs.select("doc_id", "row").schema.add("n_grams", "long").add("node", "long")))
     first = F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
     one = settled(base.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), first.alias("row")))
     copies = base.join(one.select("node", F.col("row").alias("kept")), "node").where("row <> kept").select("row").distinct()
     kept = keyed_join(docs.where("text <> ''"), settled(copies), "row", "left_anti")
-    share = 1.8 * 2 * (100 - percent) / (100 + percent)
+    share = 2 * (100 - percent) / 100
     ranges = max(1, math.ceil(size / 6 * share / PER_RANGE))
-    rows = kept.mapInArrow(_candidates(k, percent, ranges), "part int, blob binary, a long, b long")
+    levels = docs.sparkSession.sparkContext.broadcast(commonness(kept, k, size))  # 2 ** MOST_BITS / 2 bytes at most
+    rows = kept.mapInArrow(_candidates(k, percent, ranges, levels), "part int, blob binary, a long, b long")
     near = settled(components(rows.groupBy("part").applyInPandas(_meet, "a long, b long")).withColumnRenamed("label", "near"))
     groups = near.groupBy("near").agg(F.count("*").alias("members"))
     wanted = settled(near.join(groups, "near").join(one.select("node", "row"), "node"))
@@ -253,11 +321,11 @@ def _labelled(docs: DataFrame, k: int, percent: int, block: int) -> tuple[DataFr
         label = components(found)
         large = large.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
         sizes = large.groupBy("near", "label").agg(F.count("*").alias("n"))
-        main = sizes.groupBy("near").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
-        large = settled(large.join(main, "near"))
-        rest = large.where("label <> main").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(6)), "blocks"))
+        main = sizes.groupBy("near").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.ceil((F.sum("n") - F.max("n")) / block).alias("chunks"))
+        large = settled(large.join(main, "near").where("chunks > 0"))
+        rest = large.where("label <> main").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(6)), "chunks"))
         left = rest.select("near", "node", "text", "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"))
-        right = large.select("near", "node", "text", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("chunk"), "block", F.lit(0).alias("side"))
+        right = large.select("near", "node", "text", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), "block", F.lit(0).alias("side"))
         more = left.unionByName(right).groupBy("near", "chunk", "block").applyInPandas(_links(k, percent), "a long, b long")
         found = settled(found.union(more))
     return base, settled(components(found))

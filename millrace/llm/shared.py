@@ -12,12 +12,20 @@ from millrace.sources.shared import settled
 WORD = r"[^\x20\x09-\x0D]+"
 #: Up to this many ids (8 bytes each) a side of a join may be broadcast; beyond it the join shuffles.
 BROADCAST_IDS = 500_000
+#: Bytes of rows that a Python task gets at a time.
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def in_batches(df: DataFrame) -> DataFrame:
+    """df as it is; from here on the session hands Python BATCH_BYTES of rows at a time, or one row if that is longer."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def keyed_join(df: DataFrame, ids: DataFrame, on: str, how: str) -> DataFrame:
     """Join with a table of ids: broadcast up to BROADCAST_IDS rows, counted first, else a shuffled join."""
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
@@ -125,3 +133,25 @@ def slices(texts: list[bytes], most: int = 2_000_000):
         size += len(t)
     if texts:
         yield i, len(texts)
+
+
+def pack_cells(cells: np.ndarray) -> bytes:
+    """Ordered cells as steps of 8 or 16 bits, the largest step standing for that many and no cell; or plain. The shortest counts."""
+    step = np.diff(cells.astype(np.int64), prepend=0)
+    best = b"\0" + cells.astype("<u4").tobytes()
+    for kind, wide, size, most in ((b"\1", "<u1", 1, 255), (b"\2", "<u2", 2, 65535)):
+        more = step // most
+        if (len(step) + int(more.sum())) * size + 1 < len(best):
+            at = np.cumsum(more + 1) - 1
+            out = np.full(at[-1] + 1, most, wide)
+            out[at] = step % most
+            best = kind + out.tobytes()
+    return best
+
+
+def unpack_cells(blob: bytes) -> np.ndarray:
+    if blob[0] == 0:
+        return np.frombuffer(blob, "<u4", offset=1)
+    wide, most = ("<u1", 255) if blob[0] == 1 else ("<u2", 65535)
+    out = np.frombuffer(blob, wide, offset=1)
+    return np.cumsum(out, dtype=np.int64)[out != most].astype(np.uint32)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import keyed_join, runs, settled, slices, word_hashes
+from millrace.llm.shared import keyed_join, pack_cells, runs, settled, slices, unpack_cells, word_hashes
 
 #: Windows in a sketch range and bytes of text in a document group, about.
 PER_RANGE, PER_GROUP = 4_000_000, 2_000_000
@@ -46,25 +46,6 @@ def _places(keys: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
     return ((keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64), (keys.astype(np.uint32) >> np.uint32(5))
 
 
-def pack_cells(cells: np.ndarray) -> bytes:
-    """Ordered cells as 16-bit steps, 65535 standing for that many and no cell; or plain, if that is shorter."""
-    step = np.diff(cells.astype(np.int64), prepend=0)
-    more, rest = step // 65535, step % 65535
-    at = np.cumsum(more + 1) - 1
-    if 2 * (at[-1] + 1) >= 4 * len(cells):
-        return b"\0\0" + cells.astype("<u4").tobytes()
-    out = np.full(at[-1] + 1, 65535, "<u2")
-    out[at] = rest
-    return b"\1\0" + out.tobytes()
-
-
-def unpack_cells(blob: bytes) -> np.ndarray:
-    if blob[0] == 0:
-        return np.frombuffer(blob, "<u4", offset=2)
-    out = np.frombuffer(blob, "<u2", offset=2)
-    return np.cumsum(out, dtype=np.int64)[out != 65535].astype(np.uint32)
-
-
 def _texts(docs: pa.Table) -> tuple[list[bytes], np.ndarray]:
     """The group's texts, copies as empty ones, and the order of their ids."""
     texts = docs.column("text").cast(pa.binary()).to_pylist()
