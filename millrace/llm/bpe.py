@@ -21,8 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.shared import in_batches
+
 #: Pieces whose tokens a task remembers at most.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 
 
 @functools.cache
@@ -122,7 +124,7 @@ def _encode_cut(path: str):
 
 def encode(docs: DataFrame, path: str, pattern: str, chunk: int = 65_536, overlap: int = 1_024) -> DataFrame:
     """doc_id and ids of each row, as little-endian unsigned 32-bit integers."""
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = in_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     schema = docs.select("doc_id").schema.add("ids", "binary")
     short = docs.where(F.length("text") <= chunk).mapInArrow(_encode(path, pattern), schema)
     step = chunk - overlap
@@ -150,7 +152,7 @@ def _decode(path: str):
 
 def decode(coded: DataFrame, path: str) -> DataFrame:
     """doc_id, ids and the bytes that the ids stand for."""
-    coded = coded.select("doc_id", "ids")
+    coded = in_batches(coded).select("doc_id", "ids")
     return coded.mapInArrow(_decode(path), coded.select("doc_id", "ids").schema.add("decoded", "binary"))
 
 

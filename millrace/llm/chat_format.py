@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.shared import in_batches
+
 # The control strings of the template.
 START, END = "<|im_start|>", "<|im_end|>"
 #: Roles whose text is trained on.
@@ -89,7 +91,7 @@ def _rendered(batches):
 
 def rendered(turns: DataFrame) -> DataFrame:
     """conv_id, turn, role and the rendered text of each turn; a conversation's text is theirs in order."""
-    clean = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    clean = in_batches(turns).select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     return clean.mapInArrow(_rendered, clean.select("conv_id", "turn", "role").schema.add("rendered", "string"))
 
 

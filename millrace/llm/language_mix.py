@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import settled, slices
+from millrace.llm.shared import in_batches, settled, slices
 
 #: Training documents for each language at most, the first by a hash of their ids.
 PER_LANGUAGE = 2_000
@@ -159,5 +159,5 @@ def predict(docs: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
 
 
 def language_mix(docs: DataFrame) -> DataFrame:
-    docs = docs.select("doc_id", "text", "lang")
+    docs = in_batches(docs).select("doc_id", "text", "lang")
     return predict(docs, *train(docs))

@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.llm.shared import in_batches
+
 # Fixed values of the format (kbit/s by version group and layer, index 1 to 14; Hz by version).
 BITRATES = {
     (1, 1): (32, 64, 96, 128, 160, 192, 224, 256, 288, 320, 352, 384, 416, 448),
@@ -196,7 +198,7 @@ def _packed(batches):
 
 def packed(docs: DataFrame) -> DataFrame:
     """doc_id, the bytes of its text and the media that stores it."""
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("n_bytes", F.octet_length("text").cast("long"))
+    docs = in_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("n_bytes", F.octet_length("text").cast("long"))
     return docs.mapInArrow(_packed, docs.select("doc_id", "n_bytes").schema.add("media", "binary"))
 
 
@@ -221,7 +223,7 @@ def _probed(column: str):
 
 def probe(media: DataFrame, column: str = "media") -> DataFrame:
     """media with what its stream holds."""
-    return media.mapInArrow(_probed(column), T.StructType([*media.schema.fields, *PROBED.fields]))
+    return in_batches(media).mapInArrow(_probed(column), T.StructType([*media.schema.fields, *PROBED.fields]))
 
 
 def mpeg_audio(docs: DataFrame) -> DataFrame:

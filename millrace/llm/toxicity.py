@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.language_mix import held_out
-from millrace.llm.shared import settled
+from millrace.llm.shared import in_batches, settled
 
 #: Labelled training rows at most, the first by a hash of their ids, and terms at most.
 TRAINING_ROWS, MOST_TERMS = 12_000, 400
@@ -37,6 +37,8 @@ TRAINING_ROWS, MOST_TERMS = 12_000, 400
 STEM, PER_TEXT, LEAST_SHARE, LEAST_G = range(4, 10), 5, 0.005, 60.0
 #: From this score on a text is predicted toxic.
 THRESHOLD = 0.3
+#: Words, and steps of the automata, that a task remembers at most.
+REMEMBERED = 100_000
 #: Words on each side of a hit that its context window holds.
 WINDOW = 6
 
@@ -107,7 +109,7 @@ class Lexicon:
         for c in word:
             key = (now, c)
             if (to := follow.get(key)) is None:
-                if len(follow) > 200_000:
+                if len(follow) > REMEMBERED:
                     follow.clear()
                 to = follow[key] = self.step(now, c)
             if not to:
@@ -156,7 +158,7 @@ def features(text: str, lexicon: Lexicon, seen: dict) -> tuple[float, float, flo
     every = _WORD.findall(text)
     for w in set(every):
         if (c := seen.get(w)) is None:
-            if len(seen) > 400_000:
+            if len(seen) > REMEMBERED:
                 seen.clear()
             c = seen[w] = lexicon.is_hit(w)
         if c[0]:
@@ -231,7 +233,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     """text and toxic of labelled documents that aren't held out; at most `rows`."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "toxic")
     picked = settled(known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(rows))
-    return settled(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic"))
+    return settled(in_batches(docs).select("doc_id", "text").join(F.broadcast(picked), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic"))
 
 
 def likelihood_ratio(a, n, b, m):
@@ -329,7 +331,7 @@ def _scored(model: Model):
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted and the number of hits of each row."""
-    rows = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
+    rows = in_batches(docs).select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
     schema = rows.select("doc_id", "held_out").schema.add("score", "double").add("n_hits", "long")
     return rows.mapInArrow(_scored(model), schema).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
