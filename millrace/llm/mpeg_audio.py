@@ -77,8 +77,8 @@ def header(word: bytes) -> tuple | None:
     return version, layer, not word[1] & 1, size, samples, rate, 1 if mono else 2, side
 
 
-def _tags(data: bytes) -> tuple[dict, int, int]:
-    """Text frames of leading ID3v2 and trailing ID3v1 tags, and where the audio begins and ends."""
+def _tags(data: bytes) -> tuple[dict, int]:
+    """Text frames of leading ID3v2 tags, and where the audio begins."""
     tags, begin, end = {}, 0, len(data)
     while data[begin : begin + 3] == b"ID3" and begin + 10 <= end:
         n = 0
@@ -95,12 +95,13 @@ def _tags(data: bytes) -> tuple[dict, int, int]:
                 tags[data[at : at + 4].decode("latin-1")] = body.decode(coding, "replace").rstrip("\0").replace("\0", "=")
             at += 10 + size
         begin = begin + 10 + n + (10 if data[begin + 5] & 16 else 0)
-    if end - begin >= 128 and data[end - 128 : end - 125] == b"TAG":
-        for name, a, b in (("TIT2", 3, 33), ("TPE1", 33, 63), ("TALB", 63, 93)):
-            if text := data[end - 128 + a : end - 128 + b].rstrip(b"\0 ").decode("latin-1"):
-                tags.setdefault(name, text)
-        end -= 128
-    return tags, min(begin, end), end
+    return tags, min(begin, end)
+
+
+def _last_tag(tag: bytes) -> dict:
+    """Text fields of a trailing ID3v1 tag."""
+    fields = (("TIT2", 3, 33), ("TPE1", 33, 63), ("TALB", 63, 93))
+    return {name: text for name, a, b in fields if (text := tag[a:b].rstrip(b"\0 ").decode("latin-1"))}
 
 
 def _table(frame: bytes, side: int, protected: bool) -> dict | None:
@@ -122,9 +123,22 @@ def _table(frame: bytes, side: int, protected: bool) -> dict | None:
 
 
 def parse(data: bytes) -> dict:
-    """Tags, table, frame places, samples, checksums and skipped bytes of a stream."""
-    tags, at, end = _tags(data)
-    raw = np.frombuffer(data, np.uint8)
+    """Tags, table, frame places, samples, checksums and skipped bytes of a stream.
+
+    What looks like a trailing ID3v1 tag is one only where frames don't run through it to the end.
+    """
+    tags, begin = _tags(data)
+    found, through = _frames(data, begin, len(data), tags)
+    last = len(data) - 128
+    if last >= begin and data[last : last + 3] == b"TAG" and not through:
+        tags = _last_tag(data[last:]) | tags
+        found, _ = _frames(data, begin, last, tags)
+    return found
+
+
+def _frames(data: bytes, at: int, end: int, tags: dict) -> tuple[dict, bool]:
+    """What a stream holds from at to end, and whether frames in step cover its last 128 bytes."""
+    raw, through = np.frombuffer(data, np.uint8), True
     starts, table, first, synced, skipped, good, bad, samples, rates = [], None, True, False, 0, 0, 0, 0, {}
     own, payload, form = tags.get("TXXX", "").startswith("payload="), [], None
     while at + 4 <= end:
@@ -135,6 +149,7 @@ def parse(data: bytes) -> dict:
             # Out of step: the next sync byte is tried, and a frame must be followed by another or the end.
             nxt = data.find(b"\xff", at + 1, end)
             nxt = end if nxt < 0 else nxt
+            through &= nxt <= end - 128
             skipped, at, synced = skipped + nxt - at, nxt, False
             continue
         synced = True
@@ -167,7 +182,7 @@ def parse(data: bytes) -> dict:
     return {
         "form": form, "frames": len(starts), "samples": samples, "seconds": seconds, "good": good, "bad": bad, "skipped": skipped,
         "table": table["kind"] if table else None, "table_frames": table.get("frames") if table else None, "tags": tags, "starts": starts, "payload": b"".join(payload),
-    }
+    }, through and at == end
 
 
 def _id3(frames: dict[str, str]) -> bytes:

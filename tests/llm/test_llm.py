@@ -260,6 +260,18 @@ def test_audio_round_trip_and_damage():
     assert mpeg_audio.parse(vbr.ljust(240, b"\0") + media[at : at + 480])["table"] == "VBRI"
 
 
+@pytest.mark.parametrize("before", [0, 192, 960])
+def test_audio_payload_that_looks_like_a_tag(before):
+    text = b"y" * before + b"x" * 89 + b"TAG"
+    media, whole = mpeg_audio.pack(text), text + b" " * (-len(text) % 192)
+    found = mpeg_audio.parse(media)
+    assert media[-128:-125] == b"TAG" and found["payload"] == whole and found["frames"] == found["table_frames"] and found["skipped"] == 0 and set(found["tags"]) == {"TLEN", "TXXX"}
+    tagged = mpeg_audio.parse(media + b"TAG" + b"a title".ljust(125, b"\0"))
+    assert tagged["payload"] == whole and tagged["skipped"] == 0 and tagged["tags"]["TIT2"] == "a title"
+    hurt = mpeg_audio.parse(media[:60] + b"\0" * 5 + media[60:])  # the Info table's frame
+    assert hurt["payload"].endswith(whole[-192:])
+
+
 def test_audio_query(spark):
     got = {r.doc_id: r for r in mpeg_audio.mpeg_audio(docs_of(spark, ODD)).collect()}
     for i, t in enumerate(ODD):
