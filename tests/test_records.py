@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import labels as L
-from millrace.operators import gate, opportunities, priorities, records, triage
+from millrace.operators import gate, opportunities, priorities, records, triage, views
 from millrace.sources import store
 
 EVENT = "owner_id long, seq long, context string, higher string, lower string, confidence double"
@@ -160,3 +160,20 @@ def test_stream_equals_batch(spark, tmp_path):
     stream_priorities(source).writeStream.outputMode("update").foreachBatch(take).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination(120)
     batch = priorities.fold_priorities(spark.createDataFrame(events, EVENT)).collect()
     assert got == {(r.owner_id, r.seq): (float(r.confidence), r.evidence, r.higher) for r in batch}
+
+
+def test_owner_states_over_all_rows(spark):
+    """Each mood, and each over owners and corrections of every remainder."""
+    moods = ("protective", "charged", "curious", "happy", "thinking", "calm")
+    now, old = "2024-01-30 11:00:00", "2024-01-01 00:00:00"
+    opps, seen, noted = [], [], []
+    for i in range(18):
+        k = (i + i // 6) % 6
+        opps += [(i, k == 0, "interrupt" if k < 2 else "brief" if k == 2 else "hold", False), (i, True, "interrupt", True)]
+        seen += [(i, now if k < 4 and n == i % 3 else old) for n in range(3)]
+        noted += [(i, now if k < 5 else old)]
+    made = views.owner_states(
+        spark.range(18).withColumnRenamed("id", "owner_id"), spark.createDataFrame(opps, "owner_id long, reduces_risk boolean, status string, resolved boolean"),
+        spark.createDataFrame(seen, "owner_id long, ts string"), spark.createDataFrame(noted, "owner_id long, ts string"), F.lit("2024-01-30 12:00:00").cast("timestamp_ntz"),
+    )
+    assert {r.owner_id: r.mood for r in made.collect()} == {i: moods[(i + i // 6) % 6] for i in range(18)}
