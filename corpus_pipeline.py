@@ -1,5 +1,5 @@
 """The corpus pipeline: toxic documents go, one document of each near-duplicate group stays, secrets
-are masked, sources are mixed to their target weights, and what remains is encoded.
+are masked, sources are mixed to their target weights, and what remains is encoded and decoded again.
 
 Each stage takes (spark, docs, sf_dir), works on all its predecessor kept, and all but the last
 return the columns of documents.
@@ -31,8 +31,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of each text, and the digest of what they decode to."""
     path, pattern = bpe.vocabulary()
-    return bpe.encode(docs, path, pattern).select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids")
+    both = bpe.encode_decode(docs, path, pattern)
+    return both.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [

@@ -127,6 +127,11 @@ def encode(docs: DataFrame, path: str, pattern: str, chunk: int = 65_536, overla
     docs = in_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     schema = docs.select("doc_id").schema.add("ids", "binary")
     short = docs.where(F.length("text") <= chunk).mapInArrow(_encode(path, pattern), schema)
+    return short.union(_encode_long(docs, path, pattern, chunk, overlap))
+
+
+def _encode_long(docs: DataFrame, path: str, pattern: str, chunk: int, overlap: int) -> DataFrame:
+    """doc_id and ids of the texts over a chunk."""
     step = chunk - overlap
     long = docs.where(F.length("text") > chunk).withColumn("row", F.xxhash64("doc_id", "text"))
     count = F.ceil((F.length("text") - overlap) / step).cast("int")
@@ -137,7 +142,7 @@ def encode(docs: DataFrame, path: str, pattern: str, chunk: int = 65_536, overla
     coded = cut.repartition("row", "i").mapInPandas(_encode_cut(path), "row long, i int, ids binary")
     parts = F.transform(F.array_sort(F.collect_list(F.struct("i", "ids"))), lambda x: x["ids"])
     whole = coded.groupBy("row").agg(F.aggregate(parts, F.lit(b""), lambda a, b: F.concat(a, b)).alias("ids"))
-    return short.union(long.select("doc_id", "row").join(whole, "row").select("doc_id", "ids"))
+    return long.select("doc_id", "row").join(whole, "row").select("doc_id", "ids")
 
 
 def _decode(path: str):
@@ -156,6 +161,15 @@ def decode(coded: DataFrame, path: str) -> DataFrame:
     return coded.mapInArrow(_decode(path), coded.select("doc_id", "ids").schema.add("decoded", "binary"))
 
 
+def encode_decode(docs: DataFrame, path: str, pattern: str, chunk: int = 65_536, overlap: int = 1_024) -> DataFrame:
+    """What `decode` makes of `encode`; a text of one chunk takes both steps in one Python worker, so that no task holds two."""
+    docs = in_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    schema = docs.select("doc_id").schema.add("ids", "binary").add("decoded", "binary")
+    there, back = _encode(path, pattern), _decode(path)
+    short = docs.where(F.length("text") <= chunk).mapInArrow(lambda batches: back(there(batches)), schema)
+    return short.union(decode(_encode_long(docs, path, pattern, chunk, overlap), path))
+
+
 def vocabulary() -> tuple[str, str]:
     import public_tokenizers
 

@@ -318,6 +318,19 @@ def test_pipeline(spark, sf):
     assert [n for n, _ in p.STAGES] == ["toxicity", "ngram_jaccard", "secret_scan", "source_mix", "bpe"]
 
 
+def test_pipeline_decodes_what_it_encodes(spark, sf):
+    import corpus_pipeline as p
+
+    texts = [*ODD, "y z " * 30_000, "of the mix", "of the mix"]
+    docs = spark.createDataFrame([(i, t, "en", "a", None) for i, t in enumerate(texts)], DOC)
+    got = {r.doc_id: r for r in p.STAGES[-1][1](spark, docs, sf).collect()}
+    assert len(got) == len(texts) and {i: r.decoded_sha256 for i, r in got.items()} == {i: hashlib.sha256((t or "").encode()).hexdigest() for i, t in enumerate(texts)}
+    mixed = shared.settled(p.mix_sources(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf))
+    made = shared.settled(p.STAGES[-1][1](spark, mixed, sf).select("doc_id", "decoded_sha256"))
+    assert made.exceptAll(mixed.select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))).count() == 0 and made.count() == mixed.count() > 0
+    assert all(r.n_tokens == len(r.ids) // 4 for r in got.values())
+
+
 def brute_components_of(frame: pd.DataFrame) -> dict:
     frame = frame.sort_values("doc_id")
     ids = frame["doc_id"].tolist()
