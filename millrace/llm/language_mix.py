@@ -98,7 +98,7 @@ def mixtures(like: np.ndarray, doc: np.ndarray, n: int, allowed: np.ndarray, rou
     return share, np.bincount(doc, total, n)
 
 
-def infer(texts: list[str], table: np.ndarray, most: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def infer(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Best language (-1 without a letter), its share, and how many languages the chosen set has."""
     n, langs = len(texts), table.shape[0]
     best, score, many = np.full(n, -1), np.zeros(n), np.zeros(n, int)
@@ -117,11 +117,15 @@ def infer(texts: list[str], table: np.ndarray, most: int = 4) -> tuple[np.ndarra
     share = np.zeros((n, langs))
     share[np.arange(n), single.argmax(1)] = 1
     worth, many = single.max(1), np.where(words > 0, 1, 0)
-    for size in range(2, min(langs, most) + 1):
+    for size in range(2, langs + 1):
+        # No set explains a word better than the word's best language: past this no document can gain.
+        cost = PENALTY * (size - 1) * np.log(np.maximum(words, 2))
+        if (base - cost < worth - 1e-6 * (1 + np.abs(worth))).all():
+            break
         allowed = np.zeros((n, langs))
         np.put_along_axis(allowed, order[:, :size], 1, 1)
         own, fit = mixtures(like, doc, n, allowed)
-        fit = fit + base - PENALTY * (size - 1) * np.log(np.maximum(words, 2))
+        fit = fit + base - cost
         better = fit > worth
         share[better], worth[better], many[better] = own[better], fit[better], size
     any_word = words > 0

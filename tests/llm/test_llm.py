@@ -200,6 +200,19 @@ def test_held_out_accuracy(spark, sf):
     assert (own["held_out"] == [zlib.crc32(str(i).encode()) % 4 == 2 for i in own["doc_id"]]).all()
 
 
+@pytest.mark.parametrize("n", [1, 2, 5, 7])
+def test_a_mix_of_many_languages(n):
+    """Languages of own letters; a text takes as many words of each of the first n."""
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzäöüßéèàç"[4 * k : 4 * k + 4], k=6)) for k in range(7) for _ in range(60)]
+    counts = np.full((7, language_mix.BUCKETS), language_mix.SMOOTH)
+    for k in range(7):
+        counts[k] += np.bincount(language_mix.words_of([" ".join(words[60 * k : 60 * k + 60])])[0], minlength=language_mix.BUCKETS)
+    table = np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32)
+    best, score, many = language_mix.infer([" ".join(words[: 60 * n]), "", words[0]], table)
+    assert many.tolist() == [n, 0, 1] and score[0] == pytest.approx(1 / n, abs=0.02) and best[2] == 0
+
+
 # ---- 6, 7, 8
 
 
