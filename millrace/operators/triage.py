@@ -6,6 +6,7 @@ Weights are in hundredths; a rule counts once, sums stop at 100.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -48,31 +49,45 @@ DEADLINE = r"\b(?:by|before|due|expires?|deadline)\s+(?:\w+\s+\d{1,2}|\d{1,2}[/-
 LIKELY, SUSPICIOUS, WATCH, SHOWN, TOPIC_CHARS = 50, 25, 25, 5, 80
 
 
-def first_letters(regex: str) -> str:
-    """The letters that the alternatives of a rule's first group begin with."""
-    out, depth, due, i = "", 0, False, regex.index("(")
-    while i < len(regex):
-        c = regex[i]
-        if due and c != "(":
+def first_letters(regex: str) -> str | None:
+    """The letters that a rule's matches begin with, if it is a group of alternatives that each begin with a letter, and what follows; else None."""
+    begun = regex.removeprefix(r"\b").removesuffix(r"\b")
+    if not begun.startswith("(?:") or re.search(r"[\\\[]|\((?!\?:)", begun):
+        return None
+    out, depth, due, closed = "", 0, False, False
+    for i, c in enumerate(begun):
+        if due:
+            if not c.isalnum() or begun[i + 1 : i + 2] in ("?", "*", "{"):
+                return None
             out, due = out + c, False
-        if regex.startswith("(?:", i):
-            depth, due, i = depth + 1, depth == 0, i + 2
+        if c == "(":
+            depth += 1
+        elif c == ":" and begun[i - 2 : i] == "(?":
+            due = depth == 1 and not closed
         elif c == ")":
             depth -= 1
-            if depth == 0:
-                break
+            if depth == 0 and not closed:
+                closed = True
+                if begun[i + 1 : i + 2] in ("?", "*", "{"):
+                    return None
         elif c == "|":
-            due = depth == 1
-        i += 1
+            if depth == 0:
+                return None
+            due = depth == 1 and not closed
     return "".join(sorted(set(out)))
 
 
 def flags(text: Column, signals: tuple[Signal, ...]) -> Column:
     """Names of the rules that fire, in order.
 
-    At most places of a text the first letter alone rules a pattern out; borders are dear to test at each.
+    At most places of a text the first letter alone rules a pattern out, where it has known ones; borders are dear to test at each.
     """
-    fires = lambda t, s: t.rlike(f"(?=[{first_letters(s.regex)}])" + s.regex.replace(r"\b", "")) & t.rlike("(?U)" + s.regex)
+
+    def fires(t: Column, s: Signal) -> Column:
+        first = first_letters(s.regex)
+        whole = t.rlike("(?U)" + s.regex)
+        return t.rlike(f"(?=[{first}])" + s.regex.replace(r"\b", "")) & whole if first else whole
+
     named = F.transform(F.array(text), lambda t: F.array_compact(F.array(*(F.when(fires(t, s), F.lit(s.name)) for s in signals))))
     return F.get(named, F.lit(0))
 

@@ -114,6 +114,18 @@ def test_triage_verdicts(spark):
     assert triage.triage(spark.createDataFrame([(1, "", every)], "msg_id long, subject string, body string")).first().scam_score == 100
 
 
+def test_triage_takes_rules_of_any_shape(spark):
+    rules = {
+        r"free (?:money|cash)": "free cash", "plain": "a plain word", r"\b(?:a|b)?\s?zebra\b": "zebra", r"(?:cash)? now": "x now", r"(?:ab|cd)|ef": "ef", r"(?:x?y|z)": "y", r"(?:[pq]r|st)": "qr",
+        r"\b(?:(?:no|so) more|less)\b": "so more", r"(?:\d+|one) euro": "12 euro", r"(?i:AB|cd) e": "ab e", r"(?:gh|ij)\b": "ij",
+    }
+    rows = spark.createDataFrame(list(enumerate(rules.values())), "msg_id long, body string").withColumn("subject", F.lit(None).cast("string"))
+    signals = tuple(triage.Signal(r, 10, r) for r in rules)
+    got = {r.msg_id: r.scam_flags for r in triage.triage(rows, signals, ()).collect()}
+    assert all(r in got[i] for i, r in enumerate(rules))
+    assert all(triage.first_letters(s.regex) for s in triage.SCAM + triage.BILLING)
+
+
 def test_labels(spark):
     want = {"E-mail": None, "E-mail address": "address_line1", "Company name": "full_name", "Community": "address_line2", "Capacity": "city", "Statement": "province", "Cancelled?": "phone", "Zip  CODE*": "postal_code", "full_name": "full_name", "": None}
     rows = spark.createDataFrame([(x,) for x in want], "label string").select("label", L.field_of(F.col("label")).alias("f"), L.field_of(F.col("label"), True).alias("w"))
