@@ -2,7 +2,14 @@
 are masked, sources are mixed to their target weights, and what remains is encoded and decoded again.
 
 Each stage takes (spark, docs, sf_dir), works on all its predecessor kept, and all but the last
-return the columns of documents.
+return the columns of documents. A stage's table is removed when the next one's is written; the last
+one read stays, as the result is made from it.
+
+Defined results: null and empty texts are clean, have no near copies and no secrets, weigh nothing in the
+mix (a source of nothing but such texts leaves it) and have no tokens; equal rows are near copies of each
+other, so one stays, but rows without words all do; a null doc_id comes after all others; a text of any length
+is one row throughout; an empty table gives an empty result; extra columns, whatever their names, pass through
+all stages but the last.
 """
 
 from __future__ import annotations
@@ -11,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe, ngram_join, secret_scan, source_mix, toxicity
-from millrace.llm.shared import settled
+from millrace.sources.shared import removed, scratch, settled
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +57,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for _, stage in STAGES[:-1]:
-        docs = settled(stage(spark, docs, sf_dir))
+        made: list[str] = []
+        with scratch(spark):
+            docs = settled(stage(spark, docs, sf_dir), made)
+        for path in before:
+            removed(spark, path)
+        before = made
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The open scopes, innermost last: each lists the folders that it removes.
+_scopes: list[list[str]] = []
+
 
 @functools.cache
 def _own_dir() -> str:
@@ -15,13 +19,44 @@ def _own_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a temporary folder only where none is set (tests)."""
+    """The cluster's spark.checkpoint.dir; a temporary folder only where none is set and all runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (found or _own_dir()).rstrip("/")
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """df written once to the shared folder and read back: lineage ends here, lost executors cost nothing."""
+    if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = _own_dir()
+    return found.rstrip("/")
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """The folder goes from the store that it is in."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables settled inside are removed at the end; results that read them must have been written by then."""
+    own: list[str] = []
+    _scopes.append(own)
+    try:
+        yield
+    finally:
+        _scopes.remove(own)
+        for path in own:
+            removed(spark, path)
+
+
+def settled(df: DataFrame, into: list[str] | None = None) -> DataFrame:
+    """df written once to the shared folder and read back: lineage ends here, lost executors cost nothing.
+
+    The table stays until the enclosing `scratch` ends, or for good where there is none. With `into` its
+    folder is listed there instead, for the caller to remove.
+    """
     path = f"{shared_dir(df.sparkSession)}/millrace-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if into is not None:
+        into.append(path)
+    elif _scopes:
+        _scopes[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
