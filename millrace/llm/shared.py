@@ -21,9 +21,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def in_batches(df: DataFrame) -> DataFrame:
-    """df as it is; from here on the session hands Python BATCH_BYTES of rows at a time, or one row if that is longer."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df
+    """df on all cores; from here on the session hands Python BATCH_BYTES of rows at a time, or one row if that is longer.
+
+    A session that was given another size, smaller than that, keeps it.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    had = conf.get(key, "") or ""
+    if not had.isdigit() or int(had) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return spread(df)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out anew only where a small input has fewer partitions than there are cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def keyed_join(df: DataFrame, ids: DataFrame, on: str, how: str) -> DataFrame:
