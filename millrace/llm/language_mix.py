@@ -4,9 +4,11 @@ Character trigrams of labelled training documents give each language a smoothed
 words get a log-likelihood under every model, and expectation-maximisation estimates the proportions
 of the languages that its words come from. The set of languages is the one of the highest
 likelihood less a penalty for each language beyond the first; the prediction is the largest share.
+The log-likelihood of shares is concave, so its slopes at a point bound what any mixture can add: a text
+whose best single language no mixture can beat by the penalty is settled without another round.
 
 Defined results: null text, and text without a letter, is `und` with score 0; without any training
-document every text is `und`; a document longer than a batch is scored whole; an empty table gives an
+document every text is `und`; more than MOST_LANGUAGES learned languages are an error; a document longer than a batch is scored whole; an empty table gives an
 empty result; repeated rows give repeated rows; columns besides doc_id, text and lang are ignored.
 """
 
@@ -20,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import in_batches, settled, slices
+from millrace.llm.shared import in_batches, keyed_join, settled, slices
 
-#: Training documents for each language at most, the first by a hash of their ids.
-PER_LANGUAGE = 2_000
+#: Training documents for each language at most, the first by a hash of their ids; languages that a model may have.
+PER_LANGUAGE, MOST_LANGUAGES = 2_000, 1_000
 #: Trigram buckets, additive smoothing, rounds of expectation-maximisation, log-likelihood that another language has to add for each log of the words.
 BUCKETS, SMOOTH, ROUNDS, PENALTY = 1 << 15, 0.2, 12, 3.0
 
@@ -70,13 +72,36 @@ def _counts(frames):
         yield pd.DataFrame({"lang": lang, "bucket": at.astype(np.int32), "n": n[at].astype(np.int64)})
 
 
+def sampled_ids(known: DataFrame, per_language: int) -> DataFrame:
+    """(sampled, lang): of each language the `per_language` first ids by hash.
+
+    Only ids whose hash is under a bound are ranked. The bound leaves each language twice as many as asked, by
+    its count; where repeated ids make that too few, it grows until there are enough or all are ranked.
+    """
+    hashed = known.select("doc_id", "lang", ((F.xxhash64("doc_id", F.lit(5)) / 2.0**64) + 0.5).alias("h"))
+    counts = hashed.groupBy("lang").agg(F.count("*").alias("n"))
+    if counts.limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    counts = settled(counts)
+    times = 2
+    while True:
+        limit = F.broadcast(counts.select("lang", (F.lit(float(times * per_language + 100)) / F.col("n")).alias("limit")))  # MOST_LANGUAGES rows at most
+        few = settled(hashed.join(limit, "lang").where("h < limit").select("lang", "h", "doc_id"))
+        found = few.groupBy("lang").count().join(counts, "lang", "right")
+        if not found.where((F.coalesce("count", F.lit(0)) < per_language) & (F.coalesce("count", F.lit(0)) < F.col("n"))).limit(1).count():
+            break
+        times *= 16
+    order = Window.partitionBy("lang").orderBy("h", "doc_id")
+    ranked = few.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language)
+    return settled(ranked.select(F.col("doc_id").alias("sampled"), "lang").distinct())
+
+
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
     """Languages, and the log-probability of each bucket under each; from a bounded sample of labelled rows."""
     known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language)
-    ids = settled(ids.select(F.col("doc_id").alias("sampled")).distinct())
-    sample = known.select("doc_id", "text", "lang").join(F.broadcast(ids), F.col("doc_id") == F.col("sampled"), "left_semi")
+    ids = sampled_ids(known, per_language).select("sampled").distinct()
+    sample = keyed_join(known.select(F.col("doc_id").alias("sampled"), "text", "lang"), ids, "sampled", "left_semi")
+    # At most MOST_LANGUAGES x BUCKETS rows.
     table = sample.select("lang", "text").mapInPandas(_counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(table["lang"].unique())
     counts = np.full((len(langs), BUCKETS), SMOOTH)
@@ -86,16 +111,18 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str],
     return langs, np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32)
 
 
-def mixtures(like: np.ndarray, doc: np.ndarray, n: int, allowed: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Shares of the allowed languages (n documents by languages) and log-likelihoods, from word likelihoods."""
+def mixtures(like: np.ndarray, doc: np.ndarray, n: int, allowed: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shares of the allowed languages (n documents by languages), log-likelihoods, and what any mixture adds to these at most."""
     words = np.maximum(np.bincount(doc, minlength=n), 1)
+    langs = like.shape[1]
     share = allowed / allowed.sum(1, keepdims=True)
     for _ in range(rounds):
         part = share[doc] * like
         part /= part.sum(1, keepdims=True)
-        share = np.stack([np.bincount(doc, part[:, k], n) for k in range(like.shape[1])], 1) / words[:, None]
-    total = np.log(np.maximum((share[doc] * like).sum(1), 1e-300))
-    return share, np.bincount(doc, total, n)
+        share = np.stack([np.bincount(doc, part[:, k], n) for k in range(langs)], 1) / words[:, None]
+    mixed = np.maximum((share[doc] * like).sum(1), 1e-300)
+    slope = np.stack([np.bincount(doc, like[:, k] / mixed, n) for k in range(langs)], 1)
+    return share, np.bincount(doc, np.log(mixed), n), slope.max(1) - words
 
 
 def infer(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -105,32 +132,46 @@ def infer(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     buckets, starts, doc = words_of(texts)
     if not len(starts):
         return best, score, many
-    log = np.stack([np.add.reduceat(table[k][buckets], starts) for k in range(langs)], 1).astype(np.float64)
-    top = log.max(1)
-    like = np.exp(np.maximum(log - top[:, None], -60))
-    base = np.bincount(doc, top, n)
+    log = np.add.reduceat(np.ascontiguousarray(table.T)[buckets], starts, axis=0, dtype=np.float64)
     words = np.bincount(doc, minlength=n)
-    full, _ = mixtures(like, doc, n, np.ones((n, langs)))
-    order = np.argsort(-full, axis=1, kind="stable")
-    # Nested sets of the largest shares; singles are compared outright.
     single = np.stack([np.bincount(doc, log[:, k], n) for k in range(langs)], 1)
-    share = np.zeros((n, langs))
-    share[np.arange(n), single.argmax(1)] = 1
-    worth, many = single.max(1), np.where(words > 0, 1, 0)
-    for size in range(2, langs + 1):
-        # No set explains a word better than the word's best language: past this no document can gain.
-        cost = PENALTY * (size - 1) * np.log(np.maximum(words, 2))
-        if (base - cost < worth - 1e-6 * (1 + np.abs(worth))).all():
-            break
-        allowed = np.zeros((n, langs))
-        np.put_along_axis(allowed, order[:, :size], 1, 1)
-        own, fit = mixtures(like, doc, n, allowed)
-        fit = fit + base - cost
-        better = fit > worth
-        share[better], worth[better], many[better] = own[better], fit[better], size
-    any_word = words > 0
-    best[any_word] = share.argmax(1)[any_word]
-    score[any_word] = np.clip(share.max(1)[any_word], 0, 1)
+    first, worth = single.argmax(1), single.max(1)
+    best[words > 0], score[words > 0], many[words > 0] = first[words > 0], 1.0, 1
+    penalty = PENALTY * np.log(np.maximum(words, 2))
+    slack = 1e-6 * (1 + np.abs(worth))
+    # Against the best single language: the steepest slope there bounds the gain of all mixtures.
+    ratio = np.exp(np.minimum(log - log[np.arange(len(doc)), first[doc]][:, None], 60))
+    gain = np.stack([np.bincount(doc, ratio[:, k], n) for k in range(langs)], 1).max(1) - words
+    open_ = (words > 1) & (gain >= penalty - slack) if langs > 1 else np.zeros(n, bool)
+    size, order = 1, None
+    while open_.any() and size <= langs:
+        at = np.flatnonzero(open_)
+        name = np.full(n, -1)
+        name[at] = np.arange(len(at))
+        mine = open_[doc]
+        own, top = name[doc[mine]], log[mine].max(1)
+        like = np.exp(np.maximum(log[mine] - top[:, None], -60))
+        base = np.bincount(own, top, len(at))
+        allowed = np.zeros((len(at), langs))
+        if order is None:
+            allowed[:] = 1
+        else:
+            np.put_along_axis(allowed, order[at][:, :size], 1, 1)
+        share, fit, more = mixtures(like, own, len(at), allowed)
+        if order is None:
+            # All languages first: their shares give the nested sets, their slopes the most that any set can reach.
+            order = np.zeros((n, langs), int)
+            order[at] = np.argsort(-share, axis=1, kind="stable")
+            most = np.full(n, -np.inf)
+            most[at] = fit + base + more
+        else:
+            gained = fit + base - penalty[at] * (size - 1)
+            better = gained > worth[at]
+            now = at[better]
+            worth[now], many[now] = gained[better], size
+            best[now], score[now] = share[better].argmax(1), np.clip(share[better].max(1), 0, 1)
+        size += 1
+        open_ &= most - penalty * (size - 1) >= worth - slack
     return best, score, many
 
 
@@ -155,7 +196,7 @@ def _predict(model):
 
 def predict(docs: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
     """doc_id, held_out, lang_pred, score and the number of languages found in each row."""
-    # The model is languages x BUCKETS floats: bounded by the number of languages.
+    # The model is languages x BUCKETS floats, MOST_LANGUAGES x BUCKETS at most.
     model = docs.sparkSession.sparkContext.broadcast((langs, table))
     rows = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
     schema = rows.select("doc_id", "held_out").schema
@@ -163,5 +204,5 @@ def predict(docs: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
 
 
 def language_mix(docs: DataFrame) -> DataFrame:
-    docs = in_batches(docs).select("doc_id", "text", "lang")
+    docs = in_batches(docs.select("doc_id", "text", "lang"))
     return predict(docs, *train(docs))

@@ -26,7 +26,7 @@ def in_batches(df: DataFrame) -> DataFrame:
     A session that was given another size, smaller than that, keeps it.
     """
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    had = conf.get(key, "") or ""
+    had = conf.get(key).removesuffix("b")
     if not had.isdigit() or int(had) > BATCH_BYTES:
         conf.set(key, str(BATCH_BYTES))
     return spread(df)
