@@ -47,4 +47,4 @@ def op10_bpe_chunks(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_adaptive_scan, op2_chat_roundtrip, op3_ngram_jaccard, op4_toxicity, op5_language_mix, op6_secret_scan, op7_substring_dedup, op8_source_mix, op9_mpeg_audio, op10_bpe_chunks)}
-ORACLE = {"op2_chat_roundtrip": chat_format.SQL, "op6_secret_scan": secret_scan.SQL, "op7_substring_dedup": substring_dedup.SQL, "op8_source_mix": source_mix.SQL}
+ORACLE = {"op2_chat_roundtrip": chat_format.SQL, "op3_ngram_jaccard": ngram_join.SQL, "op6_secret_scan": secret_scan.SQL, "op7_substring_dedup": substring_dedup.SQL, "op8_source_mix": source_mix.SQL}

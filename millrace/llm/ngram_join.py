@@ -2,23 +2,30 @@
 
 Equal sets collapse first. A sketch of fixed size then estimates how many sets hold each gram, and
 orders all grams from rare to common. Two sets of the wanted similarity share one of their first grams
-in that order, whose number follows from the set's size, so only sets that meet there can pair up, and
-only within such groups is the product taken: column block by column block, overlap counts accumulate
-and a pair that can no longer reach its bound goes. Groups over `block` sets are taken in blocks: first
-within random blocks, then every set outside the largest component against all blocks, so no pair is
-missed and only a spanning forest of the links ever leaves a task. The sketch decides the order alone:
-a coarse one costs time, never a link.
+in that order, whose number follows from the set's size, so the columns of the product are these grams.
+Within each column the sets are compared by size and by a bitmap that each set carries (a bit per gram's
+hash, flipped by each gram): bits that differ are grams that differ, which bounds the overlap from above,
+and pairs below the bound that their sizes ask for go at once. What is left is joined into groups by a
+spanning forest, and within each group the product itself is taken: rows against columns, column block by
+column block, overlap counts accumulate and a pair that can no longer reach its bound goes. A row is taken
+against the rows that it isn't linked with yet, so a group of copies costs in proportion to its size.
+
+Groups over `block` sets are dealt into blocks by hash. Some sets of the group go into every block, which
+links the blocks' halves of one component; then every set outside the largest component is taken
+against all blocks, so no pair is missed and only a spanning forest of the links ever leaves a task. The
+sketch and the bitmaps decide what is compared: coarse ones cost time, never a link.
 
 Defined results: a null or blank text has no grams, n_grams 0 and links with nothing; equal texts
-share a component; a null doc_id counts as larger than all others; an empty table gives an empty
-result; columns besides doc_id and text are ignored; repeated rows give repeated result rows.
+share a component; a null doc_id counts as larger than all others; a very long text is one row of a
+block, which is cut by bytes too; an empty table gives an empty result; columns besides doc_id and text
+are ignored; repeated rows give repeated result rows.
 """
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -32,6 +39,10 @@ from millrace.llm.shared import components, in_batches, keyed_join, mix, pack_ce
 PER_RANGE = 600_000
 #: Sketch: 2 ** MOST_BITS cells of half a byte at most, in parts of 2 ** PART_BITS; grams that a task gathers before it sends them, and bytes of text whose sketches one task sums up, about.
 MOST_BITS, PART_BITS, GATHERED, SUMMED = 26, 18, 3_000_000, 8_000_000_000
+#: 64-bit words of a set's bitmap; bytes of text in a block, sets that go into every block of a group, rows and columns of a tile.
+WORDS, BLOCK_BYTES, SHARED_SETS, TILE_ROWS, TILE_COLUMNS = 2, 16_000_000, 8, 128, 4_096
+#: Rows of a column that are compared pair by pair; rows of a batch's column beyond which close sets go on as one ball, and its radius in bits.
+SMALL, MANY, RADIUS = 16, 64, 16
 
 
 def gram_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
@@ -53,15 +64,6 @@ def least_overlap(n: int, m: int, t: int) -> int:
     return -(-t * (n + m) // (100 + t))
 
 
-@functools.cache
-def size_classes(t: int) -> np.ndarray:
-    """Upper bounds of the size classes; a partner of a set is in its class or the next."""
-    tops, wide = [0], (100 / t) ** (3 if t >= 85 else 2)
-    while tops[-1] < 1 << 40:
-        tops.append(max(tops[-1] * 100 // t + 1, int(tops[-1] * wide)))
-    return np.array(tops)
-
-
 def cell_of(grams: np.ndarray, bits: int) -> np.ndarray:
     """The sketch cell of each gram."""
     return (mix(grams ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(64 - bits)).astype(np.uint32)
@@ -132,20 +134,18 @@ def commonness(docs: DataFrame, k: int, size: int) -> np.ndarray:
     return levels.reshape(-1)
 
 
-def first_rows(grams: np.ndarray, t: int, levels: np.ndarray) -> np.ndarray:
-    """Signatures of a set's first grams from rare to common; two sets of similarity t in percent share one.
+def first_grams(grams: np.ndarray, t: int, levels: np.ndarray) -> np.ndarray:
+    """A set's first grams from rare to common; two sets of similarity t in percent share one.
 
-    A gram that no other set holds (level 0) is left out. Sets of far sizes don't meet: a signature holds the size class.
+    A gram that no other set holds (level 0) is left out.
     """
-    n, tops = len(grams), size_classes(t)
+    n = len(grams)
     if not n:
         return grams
     cell = cell_of(grams, len(levels).bit_length())
     level = levels[cell >> np.uint32(1)] >> ((cell & np.uint32(1)) << np.uint32(2)).astype(np.uint8) & 15
     first = np.lexsort((grams, level))[: n + (-t * n // 100) + 1]
-    own = grams[first[level[first] > 0]]
-    c = int(np.searchsorted(tops, n))
-    return np.concatenate([mix(own + np.uint64(k)) for k in ((c, c + 1) if n * 100 // t > tops[c] else (c,))])
+    return grams[first[level[first] > 0]]
 
 
 class Forest:
@@ -167,168 +167,334 @@ class Forest:
         return a != b
 
 
-def _tree(leads: np.ndarray, nodes: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs."""
-    forest = Forest()
-    return [(a, b) for a, b in set(zip(leads.tolist(), nodes.tolist())) if forest.join(a, b)]
+def bitmap(grams: np.ndarray) -> np.ndarray:
+    """A bit for each hash, flipped by each gram: bits that differ between sets are grams that differ."""
+    bit = mix(grams ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(64 * WORDS)
+    odd = (np.bincount(bit.astype(np.int64), minlength=64 * WORDS) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view("<u8")
+
+
+def spanning(n: int, reached) -> list[tuple[int, int]]:
+    """Pairs that connect what a relation on range(n) connects: reached(rows, others) gives the pairs that hold.
+
+    A row is taken once, against those that none reached so far. What it reaches is taken next, in tiles. Rows
+    that reach nothing are followed by ever larger tiles; a tile that meets something is taken again row by row.
+    """
+    out, left, frontier, step = [], np.arange(n), np.zeros(0, np.int64), 1
+    while len(left):
+        if len(frontier):
+            rows, frontier, fresh = frontier[:TILE_ROWS], frontier[TILE_ROWS:], False
+        else:
+            rows, left, fresh = left[:step], left[step:], True
+        a, b = reached(rows, left) if len(left) else (rows[:0], rows[:0])
+        if fresh and len(rows) > 1 and (len(b) or len(reached(rows, rows)[0]) > len(rows)):
+            left, step = np.concatenate([rows, left]), 1
+            continue
+        b, first = np.unique(b, return_index=True)
+        out += zip(a[first].tolist(), b.tolist())
+        frontier = np.concatenate([frontier, b])
+        left = left[~np.isin(left, b)] if len(b) else left
+        if fresh:
+            step = 1 if len(b) else min(2 * step, TILE_ROWS)
+    return out
+
+
+@dataclass
+class Balls:
+    """Sets, or sets with others around them: least size, largest size, bits that others differ by at most, bitmap."""
 
+    low: np.ndarray
+    high: np.ndarray
+    radius: np.ndarray
+    maps: np.ndarray
 
-def _shared_keys(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of sorted keys: where each key begins, and for the further rows of a key its first node and theirs."""
+    def take(self, at: np.ndarray) -> Balls:
+        return Balls(self.low[at], self.high[at], self.radius[at], self.maps[at])
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(self.maps[i] ^ self.maps[j]).sum(1, dtype=np.int64)
+
+    def possible(self, i: np.ndarray, j: np.ndarray, t: int) -> np.ndarray:
+        """Which pairs sizes and bitmaps don't rule out: sets around the two may differ by their radii less than these."""
+        n, m = np.maximum(self.high[i], self.low[j]), np.maximum(self.high[j], self.low[i])
+        # The closest sizes; where the ranges overlap they are equal.
+        small = np.where(self.high[i] < self.low[j], self.high[i], np.where(self.high[j] < self.low[i], self.high[j], 1))
+        large = np.where(self.high[i] < self.low[j], self.low[j], np.where(self.high[j] < self.low[i], self.low[i], 1))
+        keep = small >= -(-t * (small + large) // (100 + t))
+        n, m = self.high[i], self.high[j]
+        apart = np.maximum(self.apart(i, j) - self.radius[i] - self.radius[j], 0)
+        return keep & (n + m - apart >= 2 * -(-t * (n + m) // (100 + t)))
+
+
+def _pairs(rows: np.ndarray, others: np.ndarray, test) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of rows and others that pass the test, tile by tile."""
+    found = []
+    for c in range(0, len(others), TILE_COLUMNS):
+        own = others[c : c + TILE_COLUMNS]
+        i, j = np.repeat(rows, len(own)), np.tile(own, len(rows))
+        keep = test(i, j)
+        found.append((i[keep], j[keep]))
+    a, b = zip(*found) if found else ([rows[:0]], [rows[:0]])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def met(keys: np.ndarray, nodes: np.ndarray, balls: Balls, t: int) -> list[tuple[int, int]]:
+    """A spanning forest over nodes of the possible pairs that share a key; a row for each key, node and ball."""
     order = np.lexsort((nodes, keys))
-    keys, nodes = keys[order], nodes[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = keys[1:] != keys[:-1]
-    lead = nodes[np.flatnonzero(new)][np.cumsum(new) - 1] if len(keys) else nodes
-    return order[new], lead[~new], nodes[~new]
+    keys, nodes, balls = keys[order], nodes[order], balls.take(order)
+    cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])) if len(keys) else np.zeros(1, np.int64)
+    wide = np.diff(cuts)
+    forest, out = Forest(), []
+
+    def link(i, j):
+        for a, b in set(zip(nodes[i].tolist(), nodes[j].tolist())):
+            if a != b and forest.join(a, b):
+                out.append((a, b))
+
+    # Columns of few sets: all pairs, a step apart at a time.
+    width = np.repeat(wide, wide)
+    for d in range(1, SMALL):
+        at = np.flatnonzero((width[d:] <= SMALL) & (keys[d:] == keys[:-d])) if len(keys) > d else np.zeros(0, np.int64)
+        for c in range(0, len(at), 1 << 20):
+            i, j = at[c : c + (1 << 20)], at[c : c + (1 << 20)] + d
+            keep = balls.possible(i, j, t)
+            link(i[keep], j[keep])
+    for k in np.flatnonzero(wide > SMALL).tolist():
+        rows = np.arange(cuts[k], cuts[k + 1])
+        found = spanning(len(rows), lambda a, b: _pairs(a, b, lambda i, j: balls.possible(rows[i], rows[j], t)))  # noqa: B023
+        if found:
+            link(rows[[x for x, _ in found]], rows[[y for _, y in found]])
+    return out
+
 
+def gathered(keys: np.ndarray, nodes: np.ndarray, balls: Balls, t: int) -> tuple[np.ndarray, Balls, list[tuple[int, int]]]:
+    """Rows that go on for a batch: of a key with many, sets close to another go with it as a ball. And what is linked so."""
+    order = np.lexsort((nodes, keys))
+    cuts = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1], [True]]))
+    stay, links = np.ones(len(keys), bool), []
+    low, high, radius = balls.low.copy(), balls.high.copy(), balls.radius.copy()
+    for k in np.flatnonzero(np.diff(cuts) > MANY).tolist():
+        left = order[cuts[k] : cuts[k + 1]]
+        while len(left) > 1:
+            lead, left = left[0], left[1:]
+            first = np.full(len(left), lead)
+            apart = balls.apart(first, left)
+            own = (apart <= RADIUS) & balls.possible(first, left, t)
+            if own.any():
+                low[lead], high[lead], radius[lead] = min(low[lead], balls.low[left[own]].min()), max(high[lead], balls.high[left[own]].max()), apart[own].max()
+                links += [(int(nodes[lead]), int(nodes[x])) for x in left[own]]
+                stay[left[own]] = False
+                left = left[~own]
+            elif len(left) > MANY:
+                # A column of unlike sets: they go on as they are.
+                break
+    at = np.flatnonzero(stay)
+    forest = Forest()
+    return at, Balls(low, high, radius, balls.maps).take(at), [(a, b) for a, b in set(links) if a != b and forest.join(a, b)]
 
-def set_id(grams: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+def set_id(grams: np.ndarray) -> bytes:
+    return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
+
+
+def short_id(node: bytes) -> int:
+    """A set's name among candidates; that two sets share one costs time only."""
+    return int.from_bytes(node[:8], "little", signed=True)
 
 
 def _digests(k: int):
     def run(batches):
         for b in batches:
             sets = gram_sets(b.column("text").cast(pa.binary()).to_pylist(), k)
-            ids = pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array(map(len, sets), pa.int64()), ids], ["doc_id", "row", "n_grams", "node"])
+            ids = [set_id(s) if len(s) else None for s in sets]
+            short = pa.array([None if x is None else short_id(x) for x in ids], pa.int64())
+            cols = [b.column("doc_id"), b.column("row"), b.column("bytes"), pa.array(map(len, sets), pa.int64()), pa.array(ids, pa.binary()), short]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "row", "bytes", "n_grams", "node", "short"])
 
     return run
 
 
+_FIELDS = (("keys", "<u4"), ("nodes", "<i8"), ("low", "<u4"), ("high", "<u4"), ("radius", "<u2"), ("maps", "<u8"))
+
+
 def _candidates(k: int, t: int, ranges: int, levels):
-    """Per batch: for each range of signatures a blob of (node, count) and signatures, and a forest of what meets here."""
+    """Per batch: for each range of keys its rows as columns of bytes, and what is linked here."""
 
     def run(batches):
         for b in batches:
             sets = [s for s in gram_sets(b.column("text").cast(pa.binary()).to_pylist(), k) if len(s)]
             if not sets:
                 continue
-            rows = [first_rows(s, t, levels.value) for s in sets]
-            keys = np.concatenate(rows)
-            nodes = np.repeat(np.array([set_id(s) for s in sets], np.int64), [len(r) for r in rows])
-            first, leads, others = _shared_keys(keys, nodes)
-            out = [(-1 - int(x) % ranges, None, int(x), int(y)) for x, y in _tree(leads, others)]
-            keys, nodes = keys[first], nodes[first]  # a key that many rows of the batch share goes on once
+            rows = [mix(first_grams(s, t, levels.value)) for s in sets]
+            of = np.repeat(np.arange(len(sets)), [len(r) for r in rows])
+            keys, nodes = np.concatenate(rows), np.array([short_id(set_id(s)) for s in sets], np.int64)[of]
+            size = np.array([len(s) for s in sets], np.int64)[of]
+            maps = np.stack([bitmap(s) for s in sets])[of]
+            at, balls, links = gathered(keys, nodes, Balls(size, size, np.zeros(len(size), np.int64), maps), t)
+            out = [(-1 - int(x) % ranges, None, int(x), int(y)) for x, y in links]
+            keys, nodes = keys[at], nodes[at]
             part = ((keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
             order = np.lexsort((nodes, part))
-            keys, nodes, part = keys[order], nodes[order], part[order]
-            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+            values = dict(zip((n for n, _ in _FIELDS), (keys[order], nodes[order], balls.low[order], balls.high[order], balls.radius[order], balls.maps[order])))
+            cuts = [0, *(np.flatnonzero(np.diff(part[order])) + 1).tolist(), len(part)]
             for i, j in zip(cuts, cuts[1:]):
                 if j > i:
-                    own, counts = np.unique(nodes[i:j], return_counts=True)
-                    blob = np.int32(len(own)).tobytes() + own.astype("<i8").tobytes() + counts.astype("<u4").tobytes() + keys[i:j].astype("<u4").tobytes()
-                    out.append((int(part[i]), blob, None, None))
+                    blob = b"".join(values[n][i:j].astype(kind).tobytes() for n, kind in _FIELDS)
+                    out.append((int(part[order][i]), blob, j - i, None))
             cols = list(zip(*out)) if out else [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(cols, (pa.int32(), pa.binary(), pa.int64(), pa.int64()))], ["part", "blob", "a", "b"])
 
     return run
 
 
-def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
-    if pdf["part"].iloc[0] < 0:
-        return pdf[["a", "b"]].astype("int64")
-    keys, nodes = [], []
-    for blob in pdf["blob"]:
-        n = int(np.frombuffer(blob, "<i4", 1)[0])
-        own, counts = np.frombuffer(blob, "<i8", n, 4), np.frombuffer(blob, "<u4", n, 4 + 8 * n)
-        nodes.append(np.repeat(own, counts))
-        keys.append(np.frombuffer(blob, "<u4", -1, 4 + 12 * n))
-    _, leads, others = _shared_keys(np.concatenate(keys), np.concatenate(nodes))
-    return pd.DataFrame(_tree(leads, others), columns=["a", "b"], dtype="int64")
-
-
-def _product(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, t: int, wide: int):
-    """Pairs (i, j) of positions whose overlap reaches its bound; counts build up over column blocks."""
-    size = np.array([len(s) for s in sets], np.int64)
-    every = np.concatenate([sets[i] for i in np.union1d(left, right)])
-    cols, counts = np.unique(every, return_counts=True)
-    cols = cols[counts > 1]
-    at = {i: np.searchsorted(cols, sets[i]) for i in np.union1d(left, right)}
-    at = {i: (p := x[x < len(cols)])[cols[p] == sets[i][: len(p)]] for i, x in at.items()}
-    bound = -(-t * (size[left][:, None] + size[right][None, :]) // (100 + t))
-    alive = np.minimum(size[left][:, None], size[right][None, :]) >= bound
-    alive &= (np.array([len(at[i]) for i in left])[:, None] >= bound) & (np.array([len(at[j]) for j in right])[None, :] >= bound)
-    rows, colsr = np.flatnonzero(alive.any(1)), np.flatnonzero(alive.any(0))
-    if not len(rows) or not len(colsr):
-        return []
-    left, right, bound, alive = left[rows], right[colsr], bound[np.ix_(rows, colsr)], alive[np.ix_(rows, colsr)]
-    total = np.zeros(alive.shape, np.float32)
-    wide = min(wide, max(1, len(cols)))
-    for c in range(0, len(cols), wide):
-        a, b = np.zeros((len(left), wide), np.float32), np.zeros((len(right), wide), np.float32)
-        done_a, done_b = np.zeros(len(left), np.int64), np.zeros(len(right), np.int64)
-        for m, done, own in ((a, done_a, left), (b, done_b, right)):
-            for r, i in enumerate(own):
-                lo, hi = np.searchsorted(at[i], (c, c + wide))
-                m[r, at[i][lo:hi] - c] = 1
-                done[r] = len(at[i]) - hi
-        total += a @ b.T
-        alive &= total + np.minimum(done_a[:, None], done_b[None, :]) >= bound
-        if not alive.any():
-            return []
-    return [(left[i], right[j]) for i, j in zip(*np.nonzero(alive & (total >= bound)))]
-
-
-def _links(k: int, t: int, wide: int = 4096):
-    """Spanning forest of the links among the group's sets, or between its two sides if `side` says so."""
+def _meet(t: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if pdf["part"].iloc[0] < 0:
+            return pdf[["a", "b"]].astype("int64")
+        found = {n: [] for n, _ in _FIELDS}
+        for blob, n in zip(pdf["blob"], pdf["a"].astype("int64")):
+            at = 0
+            for name, kind in _FIELDS:
+                count = n * WORDS if name == "maps" else n
+                found[name].append(np.frombuffer(blob, kind, count, at))
+                at += count * np.dtype(kind).itemsize
+        every = {n: np.concatenate(x) for n, x in found.items()}
+        balls = Balls(*(every[n].astype(np.int64) for n in ("low", "high", "radius")), every["maps"].reshape(-1, WORDS))
+        return pd.DataFrame(met(every["keys"], every["nodes"], balls, t), columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+class Product:
+    """Links among sets by the sparse product of their incidence, rows against columns.
+
+    A column block at a time: for every gram of a row the sets that hold it are counted, and pairs
+    go whose count cannot reach the bound any more with what is left of both sets.
+    """
+
+    def __init__(self, sets: list[np.ndarray], t: int, side: np.ndarray | None = None, blocks: int = 8):
+        self.size, self.t, self.side = np.array([len(s) for s in sets], np.int64), t, side
+        cols, counts = np.unique(np.concatenate(sets), return_counts=True)
+        cols = cols[counts > 1]
+        at = [np.searchsorted(cols, s) for s in sets]
+        self.cols = [(p := x[x < len(cols)])[cols[p] == s[: len(p)]] for x, s in zip(at, sets)]
+        self.cuts = np.linspace(0, len(cols), blocks + 1).astype(np.int64)
+        self.many, self.held = len(cols), np.zeros(0, np.int64)
+
+    def _index(self, others: np.ndarray) -> None:
+        """By gram the places in `others` of the sets that hold it."""
+        if len(others) * 2 < len(self.held) or not np.isin(others, self.held).all():
+            self.held = others
+            col = np.concatenate([self.cols[i] for i in others])
+            row = np.repeat(others, [len(self.cols[i]) for i in others])
+            order = np.argsort(col, kind="stable")
+            self.rows, self.first = row[order], np.searchsorted(col[order], np.arange(self.many + 1))
+
+    def __call__(self, rows: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        self._index(others)
+        place = np.full(len(self.size), -1)
+        place[others] = np.arange(len(others))
+        n, m = self.size[rows][:, None], self.size[others][None, :]
+        need = -(-self.t * (n + m) // (100 + self.t))
+        shared = np.array([len(c) for c in self.cols])
+        alive = np.minimum(shared[rows][:, None], shared[others][None, :]) >= need
+        if self.side is not None:
+            alive &= self.side[rows][:, None] != self.side[others][None, :]
+        total = np.zeros(alive.shape, np.int32)
+        for low, high in zip(self.cuts, self.cuts[1:]):
+            ways = np.flatnonzero(alive.any(1))
+            if not len(ways):
+                break
+            own = [self.cols[rows[r]][slice(*np.searchsorted(self.cols[rows[r]], (low, high)))] for r in ways]
+            col, row = np.concatenate(own), np.repeat(ways, [len(x) for x in own])
+            for c in range(0, len(col), 20_000):
+                begin, count = self.first[col[c : c + 20_000]], np.diff(self.first)[col[c : c + 20_000]]
+                at = np.repeat(begin - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+                to = place[self.rows[at]]
+                flat = (np.repeat(row[c : c + 20_000], count) * len(others) + to)[to >= 0]
+                total += np.bincount(flat, minlength=total.size).reshape(total.shape).astype(np.int32) if len(flat) > total.size // 50 else 0
+                if len(flat) <= total.size // 50:
+                    np.add.at(total.reshape(-1), flat, 1)
+            more = np.minimum(np.array([len(self.cols[i]) - np.searchsorted(self.cols[i], high) for i in rows])[:, None], np.array([len(self.cols[i]) - np.searchsorted(self.cols[i], high) for i in others])[None, :])
+            alive &= total + more >= need
+        i, j = np.nonzero(alive & (total >= need))
+        return rows[i], others[j]
+
+
+def _links(k: int, t: int):
+    """Spanning forest of the links among a block's sets, or between its two sides if `side` says so."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates(["node", "side"])
         sets = gram_sets([x.encode() for x in pdf["text"]], k)
-        node, forest, out = pdf["node"].to_numpy(), Forest(), []
-        side = pdf["side"].to_numpy()
-        size = np.array([len(s) for s in sets])
-        order = np.argsort(size, kind="stable")
-        two = side.any()
-        left, right = (order[side[order] == 1], order[side[order] == 0]) if two else (order, order)
-        for i in range(0, len(left), 256):
-            rows, cols = left[i : i + 256], right if two else right[i:]
-            cols = cols[(size[cols] >= size[rows[0]] * t // 100) & (size[cols] <= size[rows[-1]] * 100 // t)]
-            for a, b in _product(sets, rows, cols, t, wide) if len(cols) else []:
-                if forest.join(int(node[a]), int(node[b])):
-                    out.append((int(node[a]), int(node[b])))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        node, side = pdf["node"].tolist(), pdf["side"].to_numpy()
+        forest, out = Forest(), []
+        for a, b in spanning(len(sets), Product(sets, t, side if side.any() else None)):
+            if node[a] != node[b] and forest.join(node[a], node[b]):
+                out.append((node[a], node[b]))
+        return pd.DataFrame(out, columns=["a", "b"])
 
     return run
 
 
-def row_of():
-    return F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+def row_key():
+    """Rows that agree in doc_id and text share it: the id and 128 bits of the text."""
+    text = F.coalesce("text", F.lit(""))
+    return F.concat_ws(":", F.col("doc_id").cast("string"), F.hex(F.xxhash64(text)), F.hex(F.xxhash64(F.lit(1), text)))
+
+
+def _blocks(members, size, block: int):
+    return F.greatest(F.lit(1), F.ceil(members / block), F.ceil(size / BLOCK_BYTES)).cast("int")
 
 
 def _labelled(docs: DataFrame, k: int, percent: int, block: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, row, n_grams, node) of each document, and (node, label) of each set that has links."""
-    docs = in_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("row", row_of())
+    """(doc_id, row, n_grams, node) of each document, and (node, label) of each set that has links or copies.
+
+    A label is a struct (none, doc_id, row) of the first document by doc_id that links reach.
+    """
+    docs = in_batches(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).withColumn("row", row_key())
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    base = settled(docs.mapInArrow(_digests(k), docs.select("doc_id", "row").schema.add("n_grams", "long").add("node", "long")))
-    first = F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
-    one = settled(base.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), first.alias("row")))
-    copies = base.join(one.select("node", F.col("row").alias("kept")), "node").where("row <> kept").select("row").distinct()
+    sized = docs.withColumn("bytes", F.octet_length("text").cast("long"))
+    base = settled(sized.mapInArrow(_digests(k), sized.select("doc_id", "row", "bytes").schema.add("n_grams", "long").add("node", "binary").add("short", "long")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    one = settled(base.where("node is not null").groupBy("node").agg(first, F.count("*").alias("n"), F.max("bytes").alias("bytes"), F.first("short").alias("short")))
+    shared = settled(one.where("n > 1").select("node", F.col("first.row").alias("kept")))
+    copies = keyed_join(base.select("node", "row"), shared, "node", "inner").where("row <> kept").select("row").distinct()
     kept = keyed_join(docs.where("text <> ''"), settled(copies), "row", "left_anti")
-    share = 2 * (100 - percent) / 100
-    ranges = max(1, math.ceil(size / 6 * share / PER_RANGE))
+    ranges = max(1, math.ceil(size / 6 * (100 - percent) / 100 / PER_RANGE))
     levels = docs.sparkSession.sparkContext.broadcast(commonness(kept, k, size))  # 2 ** MOST_BITS / 2 bytes at most
     rows = kept.mapInArrow(_candidates(k, percent, ranges, levels), "part int, blob binary, a long, b long")
-    near = settled(components(rows.groupBy("part").applyInPandas(_meet, "a long, b long")).withColumnRenamed("label", "near"))
-    groups = near.groupBy("near").agg(F.count("*").alias("members"))
-    wanted = settled(near.join(groups, "near").join(one.select("node", "row"), "node"))
-    texts = settled(keyed_join(docs.select("row", "text"), wanted, "row", "inner").dropDuplicates(["row"]))
-    blocks = texts.withColumn("blocks", F.ceil(F.col("members") / block)).withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), "blocks"))
-    found = settled(blocks.withColumn("side", F.lit(0)).groupBy("near", "block").applyInPandas(_links(k, percent), "a long, b long"))
-    large = blocks.where("blocks > 1").select("near", "node", "text", "blocks", "block")
-    if large.limit(1).count():
-        label = components(found)
-        large = large.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        sizes = large.groupBy("near", "label").agg(F.count("*").alias("n"))
-        main = sizes.groupBy("near").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.ceil((F.sum("n") - F.max("n")) / block).alias("chunks"))
-        large = settled(large.join(main, "near").where("chunks > 0"))
-        rest = large.where("label <> main").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(6)), "chunks"))
-        left = rest.select("near", "node", "text", "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"))
-        right = large.select("near", "node", "text", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), "block", F.lit(0).alias("side"))
-        more = left.unionByName(right).groupBy("near", "chunk", "block").applyInPandas(_links(k, percent), "a long, b long")
-        found = settled(found.union(more))
-    return base, settled(components(found))
+    near = components(rows.groupBy("part").applyInPandas(_meet(percent), "a long, b long")).select(F.col("node").alias("short"), F.col("label").alias("near"))
+    wanted = settled(near.join(one, "short").select("near", "node", F.col("first.row").alias("row"), "bytes"))
+    some = [F.min_by("node", F.xxhash64("node", F.lit(s))) for s in range(SHARED_SETS)]
+    groups = wanted.groupBy("near").agg(_blocks(F.count("*"), F.sum("bytes"), block).alias("blocks"), F.array_distinct(F.array(*some)).alias("some"))
+    large = settled(groups.where("blocks > 1"))
+    wanted = keyed_join(wanted, large.select("near", "blocks"), "near", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = wanted.withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), "blocks").cast("int"))
+    texts = settled(keyed_join(docs.select("row", "text"), dealt, "row", "inner").select("near", "node", "blocks", "block", "bytes", "text", F.lit(0).alias("side")))
+    is_large = large.limit(1).count() > 0
+    every = texts
+    if is_large:
+        pivots = keyed_join(texts.drop("block"), large.select(F.explode("some").alias("node")), "node", "inner")
+        every = texts.unionByName(pivots.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
+    found = settled(every.groupBy("near", "block").applyInPandas(_links(k, percent), "a binary, b binary"))
+    if is_large:
+        whole = texts.where("blocks > 1").dropDuplicates(["node"])
+        whole = settled(whole.join(components(found), "node", "left").withColumn("label", F.coalesce("label", "node")))
+        sizes = whole.groupBy("near", "label").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+        main = sizes.groupBy("near").agg(F.max_by(F.struct("label", "n", "bytes"), F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+        chunks = F.when(F.col("n") > F.col("main.n"), _blocks(F.col("n") - F.col("main.n"), F.col("bytes") - F.col("main.bytes"), block))
+        more = settled(main.select("near", F.col("main.label").alias("main"), chunks.alias("chunks")).where("chunks > 0"))
+        whole = keyed_join(whole.drop("side"), more, "near", "inner")
+        left = whole.where("label <> main").withColumns({"chunk": F.pmod(F.xxhash64("node", F.lit(6)), "chunks").cast("int"), "block": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "side": F.lit(1)})
+        right = whole.withColumns({"chunk": F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)), "side": F.lit(0)})
+        cross = left.unionByName(right).groupBy("near", "chunk", "block").applyInPandas(_links(k, percent), "a binary, b binary")
+        found = settled(found.union(cross))
+    names = one.select("node", "first")
+    edges = found.join(names.withColumnRenamed("node", "a"), "a").select("b", F.col("first").alias("x")).join(names.withColumnRenamed("node", "b"), "b").select(F.col("x").alias("a"), F.col("first").alias("b"))
+    linked = components(edges).withColumnRenamed("node", "first")
+    label = one.join(linked, "first", "left").where("n > 1 or label is not null").select("node", F.coalesce("label", "first").alias("label"))
+    return base, settled(label)
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, block: int = 1024) -> DataFrame:
@@ -337,21 +503,17 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, block: in
     component_id is the smallest doc_id reachable by links, the document's own included.
     """
     base, label = _labelled(docs, k, percent, block)
-    one = base.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    ids = one.join(label, "node").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    of_set = one.join(label, "node", "left").join(ids, "label", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return base.join(of_set, "node", "left").select("doc_id", "n_grams", F.coalesce("component_id", "doc_id").alias("component_id"))
+    found = keyed_join(base, label, "node", "left")
+    return found.select("doc_id", "n_grams", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("label.doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, block: int = 1024) -> DataFrame:
     """The first document by doc_id of each component, and all without grams; the columns stay."""
     base, label = _labelled(docs, k, percent, block)
-    rows = base.where("node is not null").join(label, "node", "left").select("row", "doc_id", F.coalesce("label", "node").alias("label"))
-    first = rows.groupBy("label").agg(F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
-    gone = settled(rows.join(first, "label").where("row <> first").select(F.col("row").alias("at")).distinct())
+    gone = settled(keyed_join(base.select("node", "row"), label, "node", "inner").where("row <> label.row").select(F.col("row").alias("at")).distinct())
     # A kept row that the table repeats stays once.
-    again = settled(rows.groupBy("row").count().where("count > 1").select(F.col("row").alias("at")).join(gone, "at", "left_anti"))
-    names, packed = docs.columns, docs.select(F.struct("*").alias("whole"), row_of().alias("at"))
+    again = settled(base.where("node is not null").groupBy("row").count().where("count > 1").select(F.col("row").alias("at")).join(gone, "at", "left_anti"))
+    names, packed = docs.columns, docs.select(F.struct("*").alias("whole"), row_key().alias("at"))
     kept = keyed_join(packed, gone, "at", "left_anti")
     once = keyed_join(kept, again, "at", "left_anti").unionByName(keyed_join(kept, again, "at", "left_semi").dropDuplicates(["at"])) if again.limit(1).count() else kept
     return once.select(*(F.col("whole")[c].alias(c) for c in names))
@@ -359,3 +521,15 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, block: int = 102
 
 def ngram_jaccard(docs: DataFrame) -> DataFrame:
     return jaccard_components(docs, 3, 90).withColumnRenamed("n_grams", "n_shingles")
+
+
+SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS s FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n AS nx ON nx.doc_id = x JOIN n AS ny ON ny.doc_id = y WHERE 100 * c >= 90 * (nx.n + ny.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(doc_id, least) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.y, r.least FROM r JOIN e ON e.x = r.doc_id WHERE r.least < e.y)
+SELECT r.doc_id, any_value(coalesce(n.n, 0))::BIGINT AS n_shingles, min(r.least) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
+"""
