@@ -1,16 +1,22 @@
 """Toxicity: a lexicon trie intersected with Levenshtein automata, and what surrounds each hit.
 
-The lexicon is learned: stems (beginnings of words) far likelier in toxic training texts than in clean
-ones that appear in varied contexts there (near copies of one text repeat contexts, so what is theirs
-is no term). Terms that clean texts hardly hold are strong, the others weak. A word is run through the
-trie and the automata of all its terms at once, as a set of (trie node, edits) states; the sets are
-built as words need them and shared, so a word costs a look-up a letter. Only strong terms match
-misspelled, and words of clean training texts that come that near one are no misspellings. Each hit
-counts by its closeness and its context window: quoting and reporting marks lower it, address raises
-it. A logistic model of these sums, fitted to the training rows, gives the score.
+The lexicon is learned: stems (beginnings of words, and whole words of fewer letters) in far more toxic
+training texts than clean ones that appear in varied contexts there (near copies of one text repeat
+contexts, so what is theirs is no term). Terms that clean texts hardly hold are strong, the others weak. A
+word is run through the trie and the automata of all its terms at once, as a set of (trie node, edits)
+states; the sets are built as words need them and shared, so a word costs a look-up a letter. Only strong
+terms match misspelled, and words of clean training texts that come that near one are no misspellings.
+
+Each hit counts by its closeness and its context window. Quotation is found by pairing marks along the line
+(apostrophes within words are none), and lines that begin with > are quoted whole. How much quotation and
+each word near a hit speak for abuse is learned from the hits of the training rows, as log-odds that shrink
+to none (for quotation to QUOTED) where there are few: words of reporting lower a hit, words of address
+raise it, in whatever language the training rows have them. A logistic model of the weighted sums, fitted
+to the training rows, gives the score.
 
 Defined results: null or blank text has no hits and gets the score of that; without labelled training
-rows of both kinds all scores are 0; several labels of one document count as separate rows; an empty
+rows of both kinds all scores are 0; several labels of one document count as separate rows; a very long text
+is one row and its hits add up; a term of over LONGEST letters is found by its first ones; an empty
 table gives an empty result; repeated rows give repeated rows; other columns are ignored by `predict`.
 """
 
@@ -31,22 +37,20 @@ from pyspark.sql import functions as F
 from millrace.llm.language_mix import held_out
 from millrace.llm.shared import in_batches, settled
 
-#: Labelled training rows at most, the first by a hash of their ids, and terms at most.
-TRAINING_ROWS, MOST_TERMS = 12_000, 400
-#: Letters of a stem; occurrences that a text adds at most, and of these the least share that toxic texts have; least likelihood ratio statistic.
-STEM, PER_TEXT, LEAST_SHARE, LEAST_G = range(4, 10), 5, 0.005, 60.0
+#: Labelled training rows at most, the first by a hash of their ids.
+TRAINING_ROWS = 12_000
+#: Letters of a stem; the least share of toxic texts that have it, and the least likelihood ratio statistic.
+SHORTEST, LONGEST, LEAST_SHARE, LEAST_G = 4, 9, 0.01, 35.0
 #: From this score on a text is predicted toxic.
 THRESHOLD = 0.3
 #: Words, and steps of the automata, that a task remembers at most.
 REMEMBERED = 100_000
-#: Words on each side of a hit that its context window holds.
-WINDOW = 6
+#: Words on each side of a hit that its context window holds; log-odds of quotation before any is seen; hits that the log-odds of a word shrink by, hits that it must be near, and the bounds of a window's log-odds.
+WINDOW, QUOTED, SHRINK, LEAST_SEEN, LEAST_ODDS, MOST_ODDS = 6, -1.2, 10.0, 5, -2.0, 1.0
 
 _WORD = re.compile(r"[^\W_]+")
-# Marks and words around quoted or reported speech, and of address.
-QUOTES = frozenset("\"'“”„‟«»‘’‚`")
-REPORTING = frozenset("said says wrote quote quoted quotes called word words term terms insult insults slur slurs definition dictionary dijo llamó palabra insulto sagte schrieb wort zitat nannte dit écrit mot insulte citation".split())
-ADDRESS = frozenset("you your youre are u ur du dich dein bist sie tu te toi es vous tú eres usted".split())
+# Quotation marks that open, with those that close them.
+PAIRS = {'"': '"', "'": "'", "`": "`", "“": "”", "„": "“”", "”": "”", "«": "»", "»": "«", "‹": "›", "‘": "’", "‚": "‘’"}
 
 
 def edits(term: str) -> int:
@@ -65,7 +69,10 @@ class Lexicon:
 
     def __post_init__(self):
         self.children, self.ends, self.allowed = [{}], {}, [0]
+        self.short = {t[:-1]: t in self.strong for t in [*self.strong, *self.weak] if t.endswith(" ")}
         for t, budget in [*((t, edits(t)) for t in self.strong), *((t, 0) for t in self.weak)]:
+            if t.endswith(" "):
+                continue
             at = 0
             self.allowed[0] = max(self.allowed[0], budget)
             for c in t:
@@ -127,51 +134,74 @@ class Lexicon:
 
     def is_hit(self, word: str) -> tuple[float, str]:
         """Closeness of a word, and `strong`, `near` (misspelled) or `weak`."""
-        d, strong = self.match(word)
+        d, strong = (0, self.short[word]) if word in self.short else self.match(word)
         if d == 0:
             return 1.0, "strong" if strong else "weak"
         return (0.0, "") if d < 0 or word in self.known else (0.7 / d, "near")
 
 
-def context_weight(text: str, words: list[re.Match], at: int) -> float:
-    """How much a hit counts by its window: little inside quotes or after reporting words, more when addressed."""
-    m = words[at]
-    near = {w.group() for w in words[max(0, at - WINDOW) : at] + words[at + 1 : at + 1 + WINDOW]}
-    before = text[max(0, m.start() - 2) : m.start()]
-    after = text[m.end() : m.end() + 2]
-    weight = 1.0
-    quoted = QUOTES & set(before) and QUOTES & set(after)
-    line = text.rfind("\n", 0, m.start()) + 1
-    if quoted or text[line : line + 1] == ">":
-        weight *= 0.5
-    if near & REPORTING:
-        weight *= 0.6
-    if near & ADDRESS and not quoted:
-        weight *= 1.3
-    return weight
-
-
-def features(text: str, lexicon: Lexicon, seen: dict) -> tuple[float, float, float, int, int]:
-    """Summed weights of strong, misspelled and weak hits, the number of hits and that of words."""
+def quotations(line: str) -> list[tuple[int, int]]:
+    """Stretches of a line between paired marks, the marks included; all of it behind a leading >."""
+    if line.lstrip().startswith(">"):
+        return [(0, len(line))]
+    out, at = [], 0
+    letter = lambda i: 0 <= i < len(line) and line[i].isalnum()
+    while at < len(line):
+        c = line[at]
+        if c in PAIRS and not (letter(at - 1) and letter(at + 1)) and not (c in "'’‘" and letter(at - 1)):
+            end = next((i for i in range(at + 1, len(line)) if line[i] in PAIRS[c] and not (letter(i - 1) and letter(i + 1))), -1)
+            if end > 0:
+                out.append((at, end + 1))
+                at = end
+        at += 1
+    return out
+
+
+def contexts(text: str, words: list[re.Match], at: list[int]) -> list[tuple[bool, frozenset[str]]]:
+    """For each of the words at these places whether it is quoted, and the words near it on its line."""
+    out, begin, end, spans = [], 0, -1, []
+    for i in at:
+        m = words[i]
+        if m.start() > end:
+            begin, end = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.start())
+            end = len(text) if end < 0 else end
+            spans = quotations(text[begin:end])
+        near = words[max(0, i - WINDOW) : i] + words[i + 1 : i + 1 + WINDOW]
+        out.append((any(a < m.end() - begin and m.start() - begin < b for a, b in spans), frozenset(w.group() for w in near if begin <= w.start() < end)))
+    return out
+
+
+def context_weight(quoted: bool, near: frozenset[str], odds: dict[str, float]) -> float:
+    """How much a hit counts by its window: 1 where nothing speaks for or against abuse."""
+    c = (odds.get("", QUOTED) if quoted else 0.0) + sum(odds.get(w, 0.0) for w in sorted(near))
+    return 2 / (1 + math.exp(-min(max(c, LEAST_ODDS), MOST_ODDS)))
+
+
+def hits_of(text: str, lexicon: Lexicon, seen: dict) -> tuple[list[tuple[str, float, bool, frozenset[str]]], int]:
+    """Kind, closeness and context of each hit, and the number of words."""
     text = text.lower()
-    hits, n_words = set(), 0
-    every = _WORD.findall(text)
+    hits, every = {}, _WORD.findall(text)
     for w in set(every):
         if (c := seen.get(w)) is None:
             if len(seen) > REMEMBERED:
                 seen.clear()
             c = seen[w] = lexicon.is_hit(w)
         if c[0]:
-            hits.add(w)
-    sums, n = {"strong": 0.0, "near": 0.0, "weak": 0.0}, 0
-    if hits:
-        kinds = {w: seen[w] if w in seen else lexicon.is_hit(w) for w in hits}
-        words = list(_WORD.finditer(text))
-        for i, m in enumerate(words):
-            if (w := m.group()) in hits:
-                n += 1
-                sums[kinds[w][1]] += kinds[w][0] * context_weight(text, words, i)
-    return sums["strong"], sums["near"], sums["weak"], n, len(every)
+            hits[w] = c
+    if not hits:
+        return [], len(every)
+    words = list(_WORD.finditer(text))
+    at = [i for i, m in enumerate(words) if m.group() in hits]
+    return [(hits[words[i].group()][1], hits[words[i].group()][0], *c) for i, c in zip(at, contexts(text, words, at))], len(every)
+
+
+def features(text: str, lexicon: Lexicon, odds: dict[str, float], seen: dict) -> tuple[float, float, float, int, int]:
+    """Summed weights of strong, misspelled and weak hits, the number of hits and that of words."""
+    found, words = hits_of(text, lexicon, seen)
+    sums = {"strong": 0.0, "near": 0.0, "weak": 0.0}
+    for kind, close, quoted, near in found:
+        sums[kind] += close * context_weight(quoted, near, odds)
+    return sums["strong"], sums["near"], sums["weak"], len(found), words
 
 
 def columns(found: list[tuple]) -> np.ndarray:
@@ -181,29 +211,31 @@ def columns(found: list[tuple]) -> np.ndarray:
     return np.stack([np.ones(len(strong)), np.log1p(4 * strong), np.log1p(4 * near), np.log1p(weak), np.minimum(weak, 8.0), np.log1p(100 * weak / (words + 20)), many * (weak > 0)], 1)
 
 
-def stems(word: str) -> list[str]:
-    return [word[:n] for n in STEM if n <= len(word)]
-
+def stems(words: list[str]) -> dict[str, float]:
+    """How much a text holds of each stem, by the logarithm of its count.
 
-def capped(words: list[str]) -> dict[str, int]:
-    """Occurrences of each stem, PER_TEXT at most."""
-    every = Counter(s for w in words for s in stems(w))
-    return {s: min(n, PER_TEXT) for s, n in every.items()}
+    A word of fewer letters ends with a space, as it is a term as a whole only.
+    """
+    every = Counter(w[:n] for w in words for n in range(SHORTEST, min(len(w), LONGEST) + 1))
+    every.update(w + " " for w in words if len(w) < SHORTEST)
+    return {s: math.log2(1 + n) for s, n in every.items()}
 
 
 def _toxic_stems(frames):
-    """Per stem of a task's toxic rows: capped occurrences, and digests of what stands before it."""
-    count, before = Counter(), defaultdict(set)
+    """Per stem of a task's toxic rows: how much they hold, rows, and digests of what stands before it."""
+    held, rows, before = Counter(), Counter(), defaultdict(set)
     for pdf in frames:
         for text in pdf["text"]:
             words = _WORD.findall(text.lower())
-            count.update(capped(words))
-            for a, b in zip(["", *words], words):
-                for s in stems(b):
+            own = stems(words)
+            held.update(own)
+            rows.update(own.keys())
+            for a, b in set(zip(["", *words], words)):
+                for s in stems([b]):
                     before[s].add(zlib.crc32(a.encode()) & 0xFFFFF)
-    if count:
-        names = sorted(count)
-        yield pd.DataFrame({"stem": names, "toxic": [count[s] for s in names], "before": [list(before[s]) for s in names]})
+    if held:
+        names = sorted(held)
+        yield pd.DataFrame({"stem": names, "toxic": [held[s] for s in names], "n_rows": [rows[s] for s in names], "before": [list(before[s]) for s in names]})
 
 
 def _clean_stems(wanted: frozenset[str]):
@@ -211,13 +243,18 @@ def _clean_stems(wanted: frozenset[str]):
         count = Counter()
         for pdf in frames:
             for text in pdf["text"]:
-                count.update({s: n for s, n in capped(_WORD.findall(text.lower())).items() if s in wanted})
+                count.update({s: n for s, n in stems(_WORD.findall(text.lower())).items() if s in wanted})
         if count:
             yield pd.DataFrame({"stem": list(count), "clean": list(count.values())})
 
     return run
 
 
+def _most_held(frames):
+    """What stems could hold of a task's rows at most."""
+    yield pd.DataFrame({"most": [sum(math.log2(1 + len(_WORD.findall(t.lower()))) for pdf in frames for t in pdf["text"])]})
+
+
 def _near_words(lexicon: Lexicon):
     def run(frames):
         found = set()
@@ -246,35 +283,71 @@ def likelihood_ratio(a, n, b, m):
 def learn_terms(rows: DataFrame) -> tuple[list[str], list[str], list[str]]:
     """Strong terms, weak terms, and clean words that come near a strong one."""
     toxic, clean = rows.where(F.col("toxic") == 1), rows.where(F.col("toxic") != 1)
-    n, m = toxic.count() * PER_TEXT, clean.count() * PER_TEXT
+    of = lambda rows: rows.mapInPandas(_most_held, "most double").agg(F.sum("most")).first()[0] or 0.0
+    n, m, least = of(toxic), of(clean), max(3, math.ceil(toxic.count() * LEAST_SHARE))
     if not n or not m:
         return [], [], []
-    least = max(4, math.ceil(n * LEAST_SHARE))
-    parts = toxic.mapInPandas(_toxic_stems, "stem string, toxic long, before array<int>").groupBy("stem")
-    sums = parts.agg(F.sum("toxic").alias("toxic"), F.size(F.array_distinct(F.flatten(F.collect_list("before")))).alias("before"))
+    parts = toxic.mapInPandas(_toxic_stems, "stem string, toxic double, n_rows long, before array<int>").groupBy("stem")
+    sums = parts.agg(F.sum("toxic").alias("toxic"), F.sum("n_rows").alias("n_rows"), F.size(F.array_distinct(F.flatten(F.collect_list("before")))).alias("before"))
     # Stems of a share of all toxic rows: at most 1 / LEAST_SHARE times the stems of a text.
-    found = sums.where((F.col("toxic") >= least) & (F.col("before") >= F.col("toxic") * 0.5)).toPandas()
-    counts = clean.mapInPandas(_clean_stems(frozenset(found["stem"])), "stem string, clean long").groupBy("stem").agg(F.sum("clean").alias("clean")).toPandas()
+    found = sums.where((F.col("n_rows") >= least) & (F.col("before") >= F.col("toxic") * 0.5)).toPandas()
+    counts = clean.mapInPandas(_clean_stems(frozenset(found["stem"])), "stem string, clean double").groupBy("stem").agg(F.sum("clean").alias("clean")).toPandas()
     found = found.merge(counts, on="stem", how="left").fillna({"clean": 0})
     odds = (found["toxic"] + 0.5) / (n + 1) / ((found["clean"] + 0.5) / (m + 1))
-    found = found.assign(odds=odds, g=likelihood_ratio(found["toxic"].to_numpy(float), n, found["clean"].to_numpy(float), m))
-    found = found[(found["odds"] >= 8) & (found["g"] >= LEAST_G)].sort_values(["g", "stem"], ascending=[False, True])
+    found = found.assign(odds=odds, g=likelihood_ratio(found["toxic"].to_numpy(float), n, found["clean"].to_numpy(float), m), letters=found["stem"].str.len())
+    found = found[(found["odds"] >= 8) & (found["g"] >= LEAST_G)].sort_values(["g", "letters", "stem"], ascending=[False, False, True])
     # Of stems that continue each other the likeliest stands for all; of equals the longest, the whole word.
-    strong, weak = [], []
-    for _, of_equal in found.groupby(["g"], sort=False):
-        for r in sorted(of_equal.itertuples(), key=lambda r: -len(r.stem)):
-            if len(strong) + len(weak) < MOST_TERMS and not any(r.stem.startswith(t) or t.startswith(r.stem) for t in strong + weak):
-                (strong if r.clean <= 0.001 * m and r.odds >= 40 else weak).append(r.stem)
+    strong, weak, begun, taken = [], [], set(), set()
+    for r in found.itertuples():
+        parts = {r.stem[:i] for i in range(1, len(r.stem) + 1)}
+        if r.stem not in begun and not parts & taken:
+            (strong if r.clean <= 0.001 * m and r.odds >= 40 else weak).append(r.stem)
+            taken.add(r.stem)
+            begun |= parts
     lexicon = Lexicon(strong, [])
     known = clean.mapInPandas(_near_words(lexicon), "word string").distinct().collect() if strong else []
     return sorted(strong), sorted(weak), sorted(r.word for r in known)
 
 
-def _features(lexicon: Lexicon):
+def _hit_contexts(lexicon: Lexicon):
+    """Per word near hits of a task's rows ('' for quotation): hits, and hits of toxic rows; all hits under a space."""
+
+    def run(frames):
+        every, toxic, seen = Counter(), Counter(), {}
+        for pdf in frames:
+            for text, label in zip(pdf["text"], pdf["toxic"]):
+                for _, _, quoted, near in hits_of(text, lexicon, seen)[0]:
+                    names = {" ", *near, *([""] if quoted else [])}
+                    every.update(names)
+                    toxic.update(names if label == 1 else ())
+        yield pd.DataFrame({"word": list(every), "n": list(every.values()), "toxic": [toxic[w] for w in every]}).astype({"word": str, "n": "int64", "toxic": "int64"})
+
+    return run
+
+
+def context_odds(n: int, toxic: int, rate: float) -> float:
+    """Log-odds that hits in a context are abuse, against all hits' rate."""
+    logit = lambda p: math.log(p / (1 - p))
+    held = lambda p: min(max(p, 0.01), 0.99)
+    return logit(held((toxic + SHRINK * rate) / (n + SHRINK))) - logit(held(rate))
+
+
+def learn_contexts(rows: DataFrame, lexicon: Lexicon) -> dict[str, float]:
+    """Log-odds of the words near hits and ('') of quotation; at most 2 * WINDOW words a hit of the training rows."""
+    table = rows.mapInPandas(_hit_contexts(lexicon), "word string, n long, toxic long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+    found = {r["word"]: (r["n"], r["toxic"]) for r in table.collect()}
+    n, toxic = found.pop(" ", (0, 0))
+    rate = (toxic + 1) / (n + 2)
+    quoted = found.pop("", (0, 0))
+    odds = {w: o for w, (k, t) in found.items() if k >= LEAST_SEEN and abs(o := context_odds(k, t, rate)) >= 0.2}
+    return odds | {"": (quoted[0] * context_odds(*quoted, rate) + SHRINK * QUOTED) / (quoted[0] + SHRINK)}
+
+
+def _features(lexicon: Lexicon, odds: dict[str, float]):
     def run(frames):
         seen: dict = {}
         for pdf in frames:
-            found = [features(t, lexicon, seen) for t in pdf["text"]]
+            found = [features(t, lexicon, odds, seen) for t in pdf["text"]]
             yield pd.DataFrame(found, columns=["strong", "near", "weak", "hits", "words"]).assign(toxic=pdf["toxic"].to_numpy())
 
     return run
@@ -301,6 +374,7 @@ class Model:
     strong: list[str]
     weak: list[str]
     known: list[str]
+    odds: dict[str, float]
     weights: list[float]
 
 
@@ -310,18 +384,19 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Mode
     lexicon = Lexicon(strong, weak, frozenset(known))
     # At most `rows` rows of five numbers.
     kinds = "strong double, near double, weak double, hits long, words long, toxic int"
-    table = picked.mapInPandas(_features(lexicon), kinds).toPandas()
+    odds = learn_contexts(picked, lexicon)
+    table = picked.mapInPandas(_features(lexicon, odds), kinds).toPandas()
     x, y = columns(table[["strong", "near", "weak", "hits", "words"]].to_numpy()), (table["toxic"] == 1).to_numpy(float)
     if not 0 < y.sum() < len(y):
-        return Model([], [], [], [30.0 if len(y) and y.all() else -30.0, *[0.0] * (x.shape[1] - 1)])
-    return Model(strong, weak, known, fit(x, y).tolist())
+        return Model([], [], [], {}, [30.0 if len(y) and y.all() else -30.0, *[0.0] * (x.shape[1] - 1)])
+    return Model(strong, weak, known, odds, fit(x, y).tolist())
 
 
 def _scored(model: Model):
     def run(batches):
         lexicon, seen, weights = Lexicon(model.strong, model.weak, frozenset(model.known)), {}, np.array(model.weights)
         for batch in batches:
-            found = [features(t or "", lexicon, seen) for t in batch.column("text").to_pylist()]
+            found = [features(t or "", lexicon, model.odds, seen) for t in batch.column("text").to_pylist()]
             score = 1 / (1 + np.exp(-np.clip(columns(found) @ weights, -30, 30)))
             at = batch.schema.get_field_index("text")
             yield pa.RecordBatch.from_arrays([*(x for i, x in enumerate(batch.columns) if i != at), pa.array(score, pa.float64()), pa.array([x[3] for x in found], pa.int64())], [*(n for n in batch.schema.names if n != "text"), "score", "n_hits"])
@@ -331,7 +406,7 @@ def _scored(model: Model):
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted and the number of hits of each row."""
-    rows = in_batches(docs).select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
+    rows = in_batches(docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")))
     schema = rows.select("doc_id", "held_out").schema.add("score", "double").add("n_hits", "long")
     return rows.mapInArrow(_scored(model), schema).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
@@ -343,6 +418,6 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def clean_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that aren't predicted toxic; the columns stay."""
     model = train(docs, labels)
-    packed = docs.select("text", F.struct(*docs.columns).alias("whole"))
+    packed = in_batches(docs.select("text", F.struct(*docs.columns).alias("whole")))
     schema = packed.select("whole").schema.add("score", "double").add("n_hits", "long")
     return packed.mapInArrow(_scored(model), schema).where(F.col("score") < THRESHOLD).select("whole.*")
