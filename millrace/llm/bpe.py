@@ -6,8 +6,9 @@ meet the previous chunk's, they agree from there on, as a match depends only on
 start. The chunks are cut at such a boundary and their pieces encoded in parallel. Where no boundary
 is shared (one pre-token longer than the overlap), the two chunks are split again as one text.
 
-Defined results: null text counts as empty and has no tokens; repeated rows give repeated rows; an
-empty table gives an empty result; columns besides doc_id and text are ignored by `encode`.
+Defined results: null text counts as empty and has no tokens; repeated rows give repeated rows; a very
+long text costs in proportion to its length, and its ids meet in one row; an empty table gives an empty
+result; columns besides doc_id and text are ignored by `encode`.
 """
 
 from __future__ import annotations
@@ -124,7 +125,7 @@ def _encode_cut(path: str):
 
 def encode(docs: DataFrame, path: str, pattern: str, chunk: int = 65_536, overlap: int = 1_024) -> DataFrame:
     """doc_id and ids of each row, as little-endian unsigned 32-bit integers."""
-    docs = in_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = in_batches(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     schema = docs.select("doc_id").schema.add("ids", "binary")
     short = docs.where(F.length("text") <= chunk).mapInArrow(_encode(path, pattern), schema)
     return short.union(_encode_long(docs, path, pattern, chunk, overlap))
@@ -133,15 +134,16 @@ def encode(docs: DataFrame, path: str, pattern: str, chunk: int = 65_536, overla
 def _encode_long(docs: DataFrame, path: str, pattern: str, chunk: int, overlap: int) -> DataFrame:
     """doc_id and ids of the texts over a chunk."""
     step = chunk - overlap
-    long = docs.where(F.length("text") > chunk).withColumn("row", F.xxhash64("doc_id", "text"))
+    long = docs.where(F.length("text") > chunk).withColumn("row", F.concat_ws(":", F.col("doc_id").cast("string"), F.md5("text")))
+    # The text is cut once, and each piece gets the begin of the next; a last piece within an overlap is no chunk.
     count = F.ceil((F.length("text") - overlap) / step).cast("int")
-    pieces = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(F.col("text"), i * step + 1, F.lit(chunk)))
-    chunks = long.select("row", F.posexplode(pieces).alias("i", "text")).repartition("row", "i")
-    bounds = chunks.mapInPandas(_boundaries(pattern), "row long, i int, text string, ends array<int>")
-    cut = bounds.groupBy("row").applyInPandas(_stitched(step, pattern), "row long, i int, text string, ends array<int>")
-    coded = cut.repartition("row", "i").mapInPandas(_encode_cut(path), "row long, i int, ids binary")
+    cut = F.get(F.transform(F.array(F.regexp_extract_all("text", F.lit("(?s).{1,%d}" % step), F.lit(0))), lambda own: F.transform(own, lambda x, i: F.concat(x, F.left(F.coalesce(F.get(own, i + 1), F.lit("")), F.lit(overlap))))), F.lit(0))
+    chunks = long.select("row", F.posexplode(F.slice(cut, F.lit(1), count)).alias("i", "text")).repartition("row", "i")
+    bounds = chunks.mapInPandas(_boundaries(pattern), "row string, i int, text string, ends array<int>")
+    cut = bounds.groupBy("row").applyInPandas(_stitched(step, pattern), "row string, i int, text string, ends array<int>")
+    coded = cut.repartition("row", "i").mapInPandas(_encode_cut(path), "row string, i int, ids binary")
     parts = F.transform(F.array_sort(F.collect_list(F.struct("i", "ids"))), lambda x: x["ids"])
-    whole = coded.groupBy("row").agg(F.aggregate(parts, F.lit(b""), lambda a, b: F.concat(a, b)).alias("ids"))
+    whole = coded.groupBy("row").agg(F.unhex(F.array_join(F.transform(parts, F.hex), "")).alias("ids"))
     return long.select("doc_id", "row").join(whole, "row").select("doc_id", "ids")
 
 
@@ -163,7 +165,7 @@ def decode(coded: DataFrame, path: str) -> DataFrame:
 
 def encode_decode(docs: DataFrame, path: str, pattern: str, chunk: int = 65_536, overlap: int = 1_024) -> DataFrame:
     """What `decode` makes of `encode`; a text of one chunk takes both steps in one Python worker, so that no task holds two."""
-    docs = in_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = in_batches(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     schema = docs.select("doc_id").schema.add("ids", "binary").add("decoded", "binary")
     there, back = _encode(path, pattern), _decode(path)
     short = docs.where(F.length("text") <= chunk).mapInArrow(lambda batches: back(there(batches)), schema)

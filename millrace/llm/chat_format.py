@@ -5,12 +5,13 @@ deterministic parser; where the parsed turn isn't the source's, or the parser fi
 where none belongs, the conflicting parts are escaped (`<|` behind `<` gets a backslash, backslashes
 in between one more, in a role line ends too) and the turn is parsed again until both are identical.
 
-Rendering works row by row. Reading back streams each conversation's turns in order through the
-parser, one turn in memory, so a long conversation needs no room; only its digests are sequential.
+Rendering works row by row. Reading back streams each conversation's text in order through the
+parser: the grammar alone tells the turns apart, and one turn is in memory at a time, so a long
+conversation needs no room; only its digests are sequential.
 
 Defined results: null text and null role count as empty; turns that are equal in number come by role,
 then text; a null conv_id is a conversation of its own; null turns come first; an empty table gives an
-empty result; extra columns are ignored; repeated rows are repeated turns.
+empty result; extra columns are ignored; repeated rows are repeated turns; a very long text is one turn.
 """
 
 from __future__ import annotations
@@ -50,22 +51,30 @@ def _role_unescape(role: str) -> str:
     return unescape(role.replace("%0A", "\n").replace("%25", "%"))
 
 
-def parse(rendered: str) -> list[tuple[str, str]]:
-    """The turns of rendered text; ValueError if it isn't of the grammar."""
+def taken(text: str) -> tuple[list[tuple[str, str]], str]:
+    """The whole turns that text begins with, and the begun one behind them; ValueError where it isn't of the grammar."""
     out, at = [], 0
-    while at < len(rendered):
-        if not rendered.startswith(START, at):
+    while at < len(text):
+        if not START.startswith(text[at : at + len(START)]):
             raise ValueError(f"no turn starts at {at}")
-        line = rendered.find("\n", at)
-        end = rendered.find(END + "\n", line + 1)
-        if line < 0 or end < 0:
-            raise ValueError(f"the turn at {at} doesn't end")
-        role, text = rendered[at + len(START) : line], rendered[line + 1 : end]
-        if any(c in x for c in (START, END) for x in (role, text)):
+        line = text.find("\n", at)
+        end = text.find(END + "\n", line + 1) if line >= 0 else -1
+        if end < 0:
+            break
+        role, said = text[at + len(START) : line], text[line + 1 : end]
+        if any(c in x for c in (START, END) for x in (role, said)):
             raise ValueError(f"a control string inside the turn at {at}")
-        out.append((_role_unescape(role), unescape(text)))
+        out.append((_role_unescape(role), unescape(said)))
         at = end + len(END) + 1
-    return out
+    return out, text[at:]
+
+
+def parse(rendered: str) -> list[tuple[str, str]]:
+    """The turns of rendered text; ValueError if it isn't of the grammar."""
+    turns, begun = taken(rendered)
+    if begun:
+        raise ValueError("the last turn doesn't end")
+    return turns
 
 
 def _attempt(role: str, text: str) -> str:
@@ -91,19 +100,20 @@ def _rendered(batches):
 
 def rendered(turns: DataFrame) -> DataFrame:
     """conv_id, turn, role and the rendered text of each turn; a conversation's text is theirs in order."""
-    clean = in_batches(turns).select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    clean = in_batches(turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))
     return clean.mapInArrow(_rendered, clean.select("conv_id", "turn", "role").schema.add("rendered", "string"))
 
 
 class _Reading:
-    """What is read back from one conversation's turns as they come."""
+    """What the parser makes of one conversation's text, however it comes in parts."""
 
     def __init__(self):
-        self.turns, self.loss, self.n, self.chars, self.loss_chars = hashlib.sha256(), hashlib.sha256(), 0, 0, 0
+        self.turns, self.loss, self.n, self.chars, self.loss_chars, self.begun = hashlib.sha256(), hashlib.sha256(), 0, 0, 0, ""
 
     def take(self, text: str) -> None:
         self.chars += len(text)
-        for role, said in parse(text):
+        turns, self.begun = taken(self.begun + text)
+        for role, said in turns:
             self.n += 1
             self.turns.update(f"{role}\n{said}\n".encode())
             if role in LOSS_ROLES:
@@ -111,6 +121,8 @@ class _Reading:
                 self.loss_chars += len(said)
 
     def row(self) -> tuple:
+        if self.begun:
+            raise ValueError("the last turn doesn't end")
         return self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
 
 

@@ -8,7 +8,8 @@ ID3v2 tag and an Info table.
 
 Defined results: null media counts as empty and has no frames; what isn't a frame counts as skipped
 bytes; a stream cut inside a frame ends before it; null text counts as empty; an empty table gives an
-empty result; repeated rows give repeated rows; other columns are kept by `probe`.
+empty result; repeated rows give repeated rows; a very long text is one stream, with an offset a frame; other
+columns are kept by `probe`. `mpeg_audio` fails where a payload isn't read back whole.
 """
 
 from __future__ import annotations
@@ -246,9 +247,12 @@ def mpeg_audio(docs: DataFrame) -> DataFrame:
     offsets = F.sha2(F.array_join("frame_offsets", ",").cast("binary"), 256)
     feature = F.concat_ws(";", "form", F.concat(F.lit("frames="), "frames"), F.concat(F.lit("duration="), "samples", F.lit(f"/{RATE}")), F.concat(F.lit("crc="), "crc_good", F.lit("/"), F.col("crc_good") + F.col("crc_bad")), F.concat(F.lit("table="), "vbr_table", F.lit(":"), "table_frames"), F.concat(F.lit("skipped="), "skipped"), F.concat(F.lit("tlen="), F.col("tags")["TLEN"]), F.concat(F.lit("seek="), F.substring(offsets, 1, 16)))
     stored = F.regexp_extract(F.col("tags")["TXXX"], r"(\d+)$", 1).cast("long")
+    # What is read back must be all that was stored: a loss is an error, never a row.
+    whole = F.coalesce(stored == F.length("payload"), F.lit(False))
+    read = read.withColumn("payload", F.when(whole, F.col("payload")).otherwise(F.raise_error(F.lit("a payload was not read back whole")).cast("binary")))
     return read.select(
         "doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
         F.crc32(F.substring("payload", -16, 16)).alias("tail_crc32"), F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"),
-        "duration_s", "frame_offsets", (stored == F.length("payload")).alias("whole"),
+        "duration_s", "frame_offsets",
     )
 

@@ -187,7 +187,7 @@ def spanning(n: int, reached) -> list[tuple[int, int]]:
         else:
             rows, left, fresh = left[:step], left[step:], True
         a, b = reached(rows, left) if len(left) else (rows[:0], rows[:0])
-        if fresh and len(rows) > 1 and (len(b) or len(reached(rows, rows)[0]) > len(rows)):
+        if fresh and len(rows) > 1 and (len(b) or np.not_equal(*reached(rows, rows)).any()):
             left, step = np.concatenate([rows, left]), 1
             continue
         b, first = np.unique(b, return_index=True)

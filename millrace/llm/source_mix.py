@@ -5,7 +5,9 @@ reshared, and each document gets floor(rate) copies plus one more with probabili
 drawn from a hash of its id, so reruns agree.
 
 Defined results: null text has size 0; a null source is a source of its own and comes last; a
-source of size 0 has target 0; equal ids draw alike; an empty table gives an empty result.
+source of size 0 has target 0, so its documents leave the mix; equal ids draw alike, so repeated rows are
+taken alike; a very long text is taken whole or not at all, as any other; an empty table gives an empty
+result; other columns, whatever their names, are ignored by `source_mix` and kept by `mixed_documents`.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import WORD, settled
+from millrace.llm.shared import WORD, settled, spread
 
 #: Sources up to this many may be broadcast (counted first); beyond it the join shuffles.
 BROADCAST_SOURCES = 10_000
@@ -68,14 +70,14 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), percent: int
 
 
 def source_mix(docs: DataFrame) -> DataFrame:
-    sizes = settled(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
+    sizes = settled(spread(docs.select("doc_id", "source", "text")).select("doc_id", "source", word_count(F.col("text")).alias("size")))
     return mix_plan(sizes).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The documents themselves, each as often as the mix takes it; the columns stay."""
     names = docs.columns
-    packed = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.struct(*names).alias("row"))
+    packed = spread(docs).select("doc_id", "source", word_count(F.col("text")).alias("size"), F.struct(*names).alias("row"))
     taken = mix_plan(packed).select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
     return taken.select("row.*")
 
