@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from millrace.functions.labels import field_of, field_or_slug, is_reference, sensitive, slot_for, suggested_slot
 from millrace.functions.text import stripped
 from millrace.operators.priorities import explain_basis
+from millrace.sources.shared import small
 
 
 def profile_entries(entries: DataFrame) -> DataFrame:
@@ -52,22 +53,22 @@ def classify_labels(labels: DataFrame, maps: DataFrame, names: list[str], whole_
     why: `sensitive` (slot tells the name to store it under) or `unknown`; null where value is given.
     """
     stored = F.array(*map(F.lit, names)).cast("array<string>")
-    joined = labels.join(maps, "owner_id", "left")
-    hidden, key = sensitive(F.col("label")), field_of(F.col("label"), whole_words)
-    marked = joined.withColumns({"hidden": hidden, "key": key, "held": slot_for(F.col("label"), stored)})
+    # What a label means is worked out once for each distinct one.
+    known = labels.select("label").distinct().withColumns({"hidden": sensitive(F.col("label")), "key": field_of(F.col("label"), whole_words), "held": slot_for(F.col("label"), stored), "named": suggested_slot(F.col("label"))})
+    meant = known.withColumnRenamed("label", "of_label")
+    marked = labels.join(small(meant), F.col("label").eqNullSafe(F.col("of_label")), "left").join(maps, "owner_id", "left")
     value = F.when(F.col("hidden"), F.concat(F.lit("vault:"), "held")).otherwise(F.coalesce(F.col("profile")[F.col("key")], F.when(F.col("key") == "full_name", full_name(F.col("profile")))))
     done = marked.withColumn("value", value).withColumn("why", F.when(F.col("value").isNull(), F.when(F.col("hidden"), "sensitive").otherwise("unknown")))
-    slot = F.when(F.col("why") == "sensitive", suggested_slot(F.col("label")))
-    return done.withColumn("slot", slot).select(*labels.columns, "key", "value", "why", "slot")
+    return done.withColumn("slot", F.when(F.col("why") == "sensitive", F.col("named"))).select(*labels.columns, "key", "value", "why", "slot")
 
 
 def fill_forms(labels: DataFrame, maps: DataFrame, names: list[str]) -> DataFrame:
-    """Per form: filled map by label (repeated labels once), labels left to the owner in order, coverage."""
+    """Per form of an owner: filled map by label (repeated labels once), labels left to the owner in order, coverage."""
     marked = classify_labels(labels, maps, names)
     # A form's labels are few; where a label repeats, its last value stands, as all are equal.
     pairs = F.array_sort(F.collect_set(F.when(F.col("value").isNotNull(), F.struct("label", "value"))))
     left = F.array_sort(F.collect_list(F.when(F.col("value").isNull(), F.struct("pos", "label", "why"))))
-    done = marked.groupBy("form_id").agg(F.map_from_entries(pairs).alias("filled"), left.alias("needs_you"), F.count("*").alias("n"))
+    done = marked.groupBy("owner_id", "form_id").agg(F.map_from_entries(pairs).alias("filled"), left.alias("needs_you"), F.count("*").alias("n"))
     return done.withColumn("coverage", F.concat_ws("/", F.size("filled").cast("string"), F.col("n").cast("string"))).drop("n")
 
 

@@ -32,9 +32,8 @@ def current_permissions(entries: DataFrame) -> DataFrame:
 
 
 def permission_actions(entries: DataFrame) -> DataFrame:
-    """The audit row of each valid change."""
-    note = F.concat(F.lit("permission set to '"), "level", F.lit("'"), F.coalesce(F.concat(F.lit(" with cap "), F.col("cap").cast("string")), F.lit("")))
-    return valid_permissions(entries).select("owner_id", "seq", "category", note.alias("description"), F.lit(None).cast("double").alias("amount"), F.lit("permission_change").alias("outcome"))
+    """The audit row of each valid change: what was set, to which level and cap."""
+    return valid_permissions(entries).select("owner_id", "seq", "category", "level", "cap", F.lit(None).cast("double").alias("amount"), F.lit("permission_change").alias("outcome"))
 
 
 def with_permission(requests: DataFrame, permissions: DataFrame) -> DataFrame:
@@ -57,4 +56,4 @@ def authorize(requests: DataFrame, permissions: DataFrame) -> DataFrame:
 
 def denials(decisions: DataFrame) -> DataFrame:
     """The audit row of each denial; what is allowed leaves none here."""
-    return decisions.where("not allowed").select("owner_id", "seq", category(F.col("category")).alias("category"), "description", "amount", F.concat(F.lit("denied: "), "reason").alias("outcome"))
+    return decisions.where("not allowed").select("owner_id", "seq", category(F.col("category")).alias("category"), "description", "amount", "level", "cap", F.concat(F.lit("denied: "), "reason").alias("outcome"))

@@ -5,7 +5,7 @@ Scores are decimals rounded half up; the double arithmetic of a scalar implement
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import blank, holds, stripped
@@ -38,6 +38,11 @@ def resolve(opportunities: DataFrame, needle: str, outcome: str = "done", allow_
     return opportunities.withColumn("hit", hit).withColumns({"outcome": F.when(F.col("hit"), F.lit(outcome)).otherwise(F.col("outcome")), "resolved": F.col("resolved") | F.col("hit")}).drop("hit")
 
 
+def resolve_count(needle: str) -> Column:
+    """Aggregate over opportunities: how many of them `resolve` resolves."""
+    return F.count_if(~F.col("resolved") & holds(F.col("what"), needle))
+
+
 def resolve_many(opportunities: DataFrame, needles: list[tuple[str, str]]) -> DataFrame:
     """One after the other: the first needle (needle, outcome) that a row holds resolves it."""
     for needle, outcome in needles:

@@ -7,6 +7,8 @@ the rounding rule, so executors do no float arithmetic.
 
 Events: owner_id, seq, context, higher, lower, confidence (double; null for a correction). seq is unique
 within an owner and orders the events. A confidence is held to 0.05 to 0.99 and rounded to hundredths.
+Ids of topics and the like are an owner's own: equal ids of two owners have nothing to do with each other.
+A null topic counts as an empty one, which is in every context.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import generic, holds
+from millrace.sources.shared import small
 
 # Learning rates, the flip threshold, first confidences.
 REINFORCE, CONTRADICT, FLIP_BELOW = 0.15, 0.30, 0.25
@@ -58,15 +61,20 @@ def _step(acc: Column, e: Column) -> Column:
     side = lambda s: F.floor((s - 1) / 101)
     named = e["conf"].isNotNull() | (acc["state"] == 0) | (side(state) != side(acc["state"]))
     count = F.when(acc["state"] == 0, 1).otherwise(acc["evidence"] + e["conf"].isNull().cast("int"))
-    return F.struct(state.alias("state"), count.alias("evidence"), F.when(named, e["seq"]).otherwise(acc["setter"]).alias("setter"))
+    name = lambda c: F.when(named, e[c]).otherwise(acc[c]).alias(c)
+    return F.struct(state.alias("state"), count.alias("evidence"), name("higher"), name("lower"))
+
+
+FOLDED = ["owner_id", "seq", "context", "higher", "lower", "state", "evidence"]
 
 
 def _fold(events: DataFrame) -> DataFrame:
-    """State, evidence and the seq of the event that set the names, for keys of few events."""
-    start = F.struct(F.lit(0).alias("state"), F.lit(0).alias("evidence"), F.lit(0).cast("long").alias("setter"))
-    own = F.array_sort(F.collect_list(F.struct(F.col("seq").cast("long").alias("seq"), "dir", "conf")))
-    done = events.groupBy(*KEY).agg(own.alias("own")).select(*KEY, F.aggregate("own", start, _step).alias("s"))
-    return done.select(*KEY, "s.state", "s.evidence", "s.setter")
+    """FOLDED for keys of few events: one aggregate gives the first event, the names and the state."""
+    text = F.lit(None).cast("string")
+    start = F.struct(F.lit(0).alias("state"), F.lit(0).alias("evidence"), text.alias("higher"), text.alias("lower"))
+    own = F.array_sort(F.collect_list(F.struct("seq", "dir", "conf", "higher", "lower")))
+    done = events.groupBy(*KEY).agg(own.alias("own"), F.min_by("context", "seq").alias("context"))
+    return done.select("owner_id", F.col("own")[0]["seq"].alias("seq"), "context", F.aggregate("own", start, _step).alias("s")).select("owner_id", "seq", "context", "s.higher", "s.lower", "s.state", "s.evidence")
 
 
 def _range_table(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -84,9 +92,15 @@ def _range_table(pdf: pd.DataFrame) -> pd.DataFrame:
     return out.assign(states=[state.tolist()], setters=[setter.tolist()], corrections=int(pdf["conf"].isna().sum()), declared=first)
 
 
-def _fold_hot(events: DataFrame, width: int) -> DataFrame:
-    """The same for keys of many events: ranges of seq fold on their own, then their tables in order."""
-    parts = events.withColumn("part", F.floor(F.col("seq") / width)).select(*KEY, "part", "seq", "dir", "conf")
+def _fold_hot(events: DataFrame, width: int, most: int) -> DataFrame:
+    """The same for keys of many events, `most` at most: ranges of about `width` fold on their own, then their tables in order.
+
+    Ranges end at quantiles of a key's seqs, so sparse numbers make no more of them.
+    """
+    cuts = [i / n for n in [max(2, -(-most // width))] for i in range(1, n)]
+    bounds = small(events.groupBy(*KEY).agg(F.percentile_approx(F.col("seq").cast("long"), cuts, 100_000).alias("bounds")))
+    placed = events.join(bounds, KEY).withColumn("part", F.size(F.filter("bounds", lambda b: b < F.col("seq"))))
+    parts = placed.select(*KEY, "part", "seq", "dir", "conf")
     names = ", ".join(f"{n} {t}" for n, t in parts.dtypes if n in (*KEY, "part"))
     tables = parts.groupBy(*KEY, "part").applyInPandas(_range_table, f"{names}, states array<int>, setters array<long>, corrections long, declared int")
     every = F.array_sort(F.collect_list(F.struct("part", "states", "setters", "corrections", "declared")))
@@ -98,7 +112,11 @@ def _fold_hot(events: DataFrame, width: int) -> DataFrame:
 
     whole = tables.groupBy(*KEY).agg(every.alias("x"), F.sum("corrections").alias("n"))
     done = whole.select(*KEY, F.aggregate("x", start, step).alias("s"), (F.col("n") + F.col("x")[0]["declared"]).cast("int").alias("evidence"))
-    return done.select(*KEY, "s.state", "evidence", "s.setter")
+    state = small(done.select(*KEY, "s.state", "s.setter", "evidence"))
+    found = events.join(state, KEY).groupBy(*KEY, "state", "evidence").agg(
+        F.min("seq").alias("seq"), F.min_by("context", "seq").alias("context"), F.max(F.when(F.col("seq") == F.col("setter"), F.struct("higher", "lower"))).alias("names"),
+    )
+    return found.select("owner_id", "seq", "context", "names.higher", "names.lower", "state", "evidence")
 
 
 def fold_priorities(events: DataFrame, hot: int = HOT_KEY) -> DataFrame:
@@ -108,16 +126,15 @@ def fold_priorities(events: DataFrame, hot: int = HOT_KEY) -> DataFrame:
     set their direction. An owner's list is ordered by confidence, largest first, then seq.
     """
     marked = keyed(events)
-    counts = marked.groupBy(*KEY).count().where(F.col("count") > hot).select(*KEY)
-    if counts.limit(1).count():
-        state = _fold(marked.join(counts, KEY, "left_anti")).unionByName(_fold_hot(marked.join(counts, KEY, "left_semi"), hot))
+    counts = marked.groupBy(*KEY).count().where(F.col("count") > hot)
+    most = counts.agg(F.max("count")).first()[0]
+    if most:
+        keys = small(counts.select(*KEY))
+        state = _fold(marked.join(keys, KEY, "left_anti")).unionByName(_fold_hot(marked.join(keys, KEY, "left_semi"), hot, most))
     else:
         state = _fold(marked)
-    first = marked.groupBy(*KEY).agg(F.min("seq").alias("first"), F.min_by("context", "seq").alias("context"))
-    names = marked.select("owner_id", F.col("seq").alias("setter"), "higher", "lower")
-    joined = state.join(first, KEY).join(names, ["owner_id", "setter"])
     hundredths = F.pmod(F.col("state") - 1, F.lit(101))
-    return joined.select("owner_id", F.col("first").alias("seq"), "context", "higher", "lower", (hundredths.cast("decimal(5,0)") / 100).cast("decimal(3,2)").alias("confidence"), "evidence")
+    return state.select("owner_id", "seq", "context", "higher", "lower", (hundredths.cast("decimal(5,0)") / 100).cast("decimal(3,2)").alias("confidence"), "evidence")
 
 
 def find_priority(priorities: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -143,31 +160,43 @@ def topical(topic: Column, context: Column) -> Column:
     return holds(context, topic) | holds(topic, context) | generic(context)
 
 
+TOPIC = ["owner_id", "topic_id"]
+
+
 def _matches(topics: DataFrame, texts: DataFrame, column: str, test) -> DataFrame:
-    """owner_id, topic, and the owner's texts that pass the test: each distinct pair of both is tested once."""
-    asked, held = topics.select("owner_id", "topic").distinct(), texts.select("owner_id", column).distinct()
-    return asked.join(held, "owner_id").where(test(F.col("topic"), F.col(column)))
+    """owner_id, asked, and the owner's texts that pass the test: each distinct pair of both is tested once.
+
+    An owner of very many texts is a skewed key of this join, which adaptive execution splits.
+    """
+    asked, held = topics.select("owner_id", "asked").distinct(), texts.select("owner_id", column).distinct()
+    return asked.join(held, "owner_id").where(test(F.col("asked"), F.col(column)))
+
+
+def _asked(topics: DataFrame) -> DataFrame:
+    return topics.withColumn("asked", F.coalesce("topic", F.lit("")))
 
 
 def basis_priorities(topics: DataFrame, priorities: DataFrame) -> DataFrame:
     """topics (owner_id, topic_id, topic) with each priority of the owner that bears on it, ranked by `place`.
 
-    The owner is the join's key, so contexts are compared within owners only. Topics without any stay out.
+    A topic is known by owner and id; contexts are compared within owners only. Topics without any stay out.
     """
-    joined = topics.join(_matches(topics, priorities, "context", topical), ["owner_id", "topic"]).join(priorities, ["owner_id", "context"])
-    return joined.withColumn("place", F.row_number().over(Window.partitionBy("topic_id").orderBy(F.desc("confidence"), "seq")))
+    every = _asked(topics)
+    joined = every.join(_matches(every, priorities, "context", topical), ["owner_id", "asked"]).join(priorities, ["owner_id", "context"]).drop("asked")
+    return joined.withColumn("place", F.row_number().over(Window.partitionBy(*TOPIC).orderBy(F.desc("confidence"), "seq")))
 
 
 def basis_facts(topics: DataFrame, facts: DataFrame) -> DataFrame:
     """topics with each fact of the owner that contains it, in stored order."""
-    return topics.join(_matches(topics, facts, "fact", lambda t, f: holds(f, t)), ["owner_id", "topic"]).join(facts, ["owner_id", "fact"])
+    every = _asked(topics)
+    return every.join(_matches(every, facts, "fact", lambda t, f: holds(f, t)), ["owner_id", "asked"]).join(facts, ["owner_id", "fact"]).drop("asked")
 
 
 def explain_basis(topics: DataFrame, priorities: DataFrame, facts: DataFrame) -> DataFrame:
     """Each topic with its priorities (ranked) and facts (in order) as arrays, empty where none bears on it."""
-    p = basis_priorities(topics, priorities).groupBy("topic_id").agg(F.array_sort(F.collect_list(F.struct("place", "context", "higher", "lower", "confidence"))).alias("priorities"))
-    f = basis_facts(topics, facts).groupBy("topic_id").agg(F.array_sort(F.collect_list(F.struct("seq", "fact"))).alias("facts"))
-    joined = topics.join(p, "topic_id", "left").join(f, "topic_id", "left")
+    p = basis_priorities(topics, priorities).groupBy(*TOPIC).agg(F.array_sort(F.collect_list(F.struct("place", "context", "higher", "lower", "confidence"))).alias("priorities"))
+    f = basis_facts(topics, facts).groupBy(*TOPIC).agg(F.array_sort(F.collect_list(F.struct("seq", "fact"))).alias("facts"))
+    joined = topics.join(p, TOPIC, "left").join(f, TOPIC, "left")
     kind = dict(joined.dtypes)
     none = lambda c: F.coalesce(c, F.array().cast(kind[c]))
     return joined.select(*topics.columns, none("priorities").alias("priorities"), none("facts").alias("facts"))

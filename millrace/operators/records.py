@@ -24,8 +24,8 @@ def remember_facts(entries: DataFrame) -> DataFrame:
 
 
 def remember_once(entries: DataFrame) -> DataFrame:
-    """The first entry of each exact fact, by seq."""
-    first = Window.partitionBy("fact").orderBy("seq")
+    """The first entry of each owner's exact fact, by seq."""
+    first = Window.partitionBy("owner_id", "fact").orderBy("seq")
     return entries.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
 
 
@@ -49,6 +49,11 @@ def close_goals(goals: DataFrame, needle: str, allow_empty: bool = False) -> Dat
     return goals.withColumn("closed", hit).withColumn("active", F.col("active") & ~F.col("closed"))
 
 
+def close_count(needle: str) -> Column:
+    """Aggregate over goals: how many of them `close_goals` closes."""
+    return F.count_if(F.col("active") & holds(F.col("goal"), needle))
+
+
 def active_goals(goals: DataFrame) -> DataFrame:
     return goals.where("active")
 

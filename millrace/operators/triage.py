@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.priorities import basis_priorities
+from millrace.sources.shared import spread
 
 
 @dataclass(frozen=True)
@@ -44,10 +45,15 @@ BILLING = (
     Signal("penalty", 20, r"\b(?:cancel(?:lation)? fee|early termination|restocking fee)\b"),
     Signal("intro_rate", 25, r"\b(?:promotional|introductory) (?:rate|price|period) (?:ends|expires)\b"),
 )
+# How amounts and deadlines are written.
 MONEY = r"[$£€]\s?\d[\d,]*(?:\.\d{2})?|\b\d[\d,]*(?:\.\d{2})?\s?(?:dollars|usd|cad|eur|gbp)\b"
 DEADLINE = r"\b(?:by|before|due|expires?|deadline)\s+(?:\w+\s+\d{1,2}|\d{1,2}[/-]\d{1,2}(?:[/-]\d{2,4})?|\d{1,2}\s+\w+)"
+# The scores of the verdicts, matches shown of each kind, and the letters of a body that stand for a subject.
 LIKELY, SUSPICIOUS, WATCH, SHOWN, TOPIC_CHARS = 50, 25, 25, 5, 80
 
+#: What each verdict asks of the owner, as a code.
+ADVICE = {"likely_scam": "do_not_act", "suspicious": "verify_sender", "money_watch": "check_terms", "needs_decision": "decide", "routine": "none"}
+
 
 def first_letters(regex: str) -> str | None:
     """The letters that a rule's matches begin with, if it is a group of alternatives that each begin with a letter, and what follows; else None."""
@@ -110,9 +116,9 @@ def deadlines(text: Column) -> Column:
 
 
 def triage(messages: DataFrame, scam: tuple[Signal, ...] = SCAM, billing: tuple[Signal, ...] = BILLING) -> DataFrame:
-    """messages (subject, body and more) with flags, scores, amounts, deadlines and verdict. Nulls are empty."""
+    """messages (subject, body and more) with flags, scores, amounts, deadlines, verdict and advice. Nulls are empty."""
     text = F.concat(F.coalesce("subject", F.lit("")), F.lit("\n"), F.coalesce("body", F.lit("")))
-    found = messages.withColumn("text", text).withColumns({
+    found = spread(messages).withColumn("text", text).withColumns({
         "scam_flags": flags(F.lower("text"), scam), "billing_flags": flags(F.lower("text"), billing), "money": amounts(F.col("text")), "deadlines": deadlines(F.col("text")),
     })
     scored = found.drop("text").withColumns({"scam_score": weight(F.col("scam_flags"), scam), "billing_score": weight(F.col("billing_flags"), billing)})
@@ -120,7 +126,8 @@ def triage(messages: DataFrame, scam: tuple[Signal, ...] = SCAM, billing: tuple[
         F.when(F.col("scam_score") >= LIKELY, "likely_scam").when(F.col("scam_score") >= SUSPICIOUS, "suspicious").when(F.col("billing_score") >= WATCH, "money_watch")
         .when((F.size("money") > 0) | (F.size("deadlines") > 0), "needs_decision").otherwise("routine")
     )
-    return scored.withColumn("verdict", verdict)
+    advice = F.create_map(*(F.lit(x) for pair in ADVICE.items() for x in pair))
+    return scored.withColumn("verdict", verdict).withColumn("advice", advice[F.col("verdict")])
 
 
 def topic_of(subject: Column, body: Column) -> Column:

@@ -46,11 +46,15 @@ def sql_pick(n: str, *values: str) -> str:
 HIGHER, LOWER = ("Speed", "speed", "cost", "SPEED", "safety", "Speed"), ("cost", "Cost", "speed", "cost", "Speed", "Safety")
 
 
-def corrections(spark: SparkSession, d: str) -> DataFrame:
-    """owner_id, seq, context, higher, lower, confidence, ts; every 41st event is a declaration."""
-    e, n = table(spark, d, "events"), F.col("event_id")
+def correction_log(events: DataFrame) -> DataFrame:
+    """owner_id, seq, context, higher, lower, confidence, ts of events, streaming or not; every 41st is a declaration."""
+    n = F.col("event_id")
     declared = F.when(n % 41 == 0, F.pmod(n, F.lit(120)) / 100)
-    return e.select(F.col("user_id").alias("owner_id"), n.alias("seq"), F.when(n % 5 == 0, F.upper("event_type")).otherwise(F.col("event_type")).alias("context"), pick(n, *HIGHER).alias("higher"), pick(n, *LOWER).alias("lower"), declared.alias("confidence"), "ts")
+    return events.select(F.col("user_id").alias("owner_id"), n.alias("seq"), F.when(n % 5 == 0, F.upper("event_type")).otherwise(F.col("event_type")).alias("context"), pick(n, *HIGHER).alias("higher"), pick(n, *LOWER).alias("lower"), declared.alias("confidence"), "ts")
+
+
+def corrections(spark: SparkSession, d: str) -> DataFrame:
+    return correction_log(table(spark, d, "events"))
 
 
 def owners(spark: SparkSession, d: str) -> DataFrame:
@@ -110,16 +114,20 @@ def messages(spark: SparkSession, d: str) -> DataFrame:
     return m.select((n % 150).alias("owner_id"), n.alias("msg_id"), subject.alias("subject"), F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), pick(n, *TEMPLATES)).alias("body"))
 
 
+TOPICS = ("click", "an error on the page", "SIGN", "bolt", "Ring economy", "zzz", "w")
+
+
 def topics(spark: SparkSession, d: str) -> DataFrame:
+    """owner_id, topic_id, topic: two owners share each id, and some topics are null."""
     c, n = table(spark, d, "customer"), F.col("c_custkey")
-    return c.select((n % 150).alias("owner_id"), n.alias("topic_id"), pick(n, "click", "an error on the page", "SIGN", "bolt", "Ring economy", "zzz", "w").alias("topic"))
+    return c.select((n % 150).alias("owner_id"), F.shiftright(n, 1).alias("topic_id"), F.when(n % 11 > 0, pick(n, *TOPICS)).alias("topic"))
 
 
 def form_labels(spark: SparkSession, d: str) -> DataFrame:
-    """A form of each customer: nine labels from LABELS."""
+    """A form of each customer: nine labels from LABELS; two owners share each id."""
     c, n = table(spark, d, "customer"), F.col("c_custkey")
-    rows = c.select(n.alias("form_id"), (n % 150).alias("owner_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(8).cast("long"))).alias("pos"))
-    return rows.withColumn("label", pick(F.col("form_id") + F.col("pos"), *LABELS))
+    rows = c.select(F.shiftright(n, 1).alias("form_id"), (n % 150).alias("owner_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(8).cast("long"))).alias("pos"))
+    return rows.withColumn("label", pick(F.col("form_id") + F.col("owner_id") + F.col("pos"), *LABELS))
 
 
 ENTRY_LABELS, ENTRY_VALUES = ("First name", "Surname", "Email", "PIN", "City", "Shoe size", "first name"), (" Ada ", "Byron", "ada@example.org", "1234", "Bern", "38", "Grace")
@@ -145,8 +153,8 @@ SQL = {
     "raw_opportunities": "SELECT l_suppkey % 150 AS owner_id, l_orderkey * 8 + l_linenumber AS seq, 'part ' || l_partkey AS what, l_returnflag = 'R' AS aligned, l_linestatus = 'O' AS goal, l_quantity > 25 AS risk, CASE WHEN (l_orderkey * 8 + l_linenumber) % 17 > 0 THEN least(greatest((((l_quantity * 7)::BIGINT + l_orderkey * 8 + l_linenumber) % 25) * 5 - 10, 0), 100) ELSE 50 END AS hundredths FROM lineitem",
     "opportunities": "SELECT *, CASE WHEN score >= 75 THEN 'interrupt' WHEN score >= 40 THEN 'brief' ELSE 'hold' END AS status FROM (SELECT owner_id, seq, what, risk, hundredths, 20 + 25 * aligned::INT + 20 * goal::INT + 15 * risk::INT + hundredths // 5 AS score FROM raw_opportunities)",
     "messages": f"SELECT doc_id % 150 AS owner_id, doc_id AS msg_id, [NULL, '', 'your click on the cost', ' '][(CASE doc_id % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE doc_id % 4 + 1 END)::INT] AS subject, coalesce(text, '') || chr(10) || {sql_pick('doc_id', *TEMPLATES)} AS body FROM documents",
-    "topics": f"SELECT c_custkey % 150 AS owner_id, c_custkey AS topic_id, {sql_pick('c_custkey', 'click', 'an error on the page', 'SIGN', 'bolt', 'Ring economy', 'zzz', 'w')} AS topic FROM customer",
-    "form_labels": f"SELECT c_custkey AS form_id, c_custkey % 150 AS owner_id, pos, {sql_pick('(c_custkey + pos)', *LABELS)} AS label FROM customer, range(9) AS r(pos)",
+    "topics": f"SELECT c_custkey % 150 AS owner_id, c_custkey // 2 AS topic_id, CASE WHEN c_custkey % 11 > 0 THEN {sql_pick('c_custkey', *TOPICS)} END AS topic FROM customer",
+    "form_labels": f"SELECT c_custkey // 2 AS form_id, c_custkey % 150 AS owner_id, pos, {sql_pick('(c_custkey // 2 + c_custkey % 150 + pos)', *LABELS)} AS label FROM customer, range(9) AS r(pos)",
     "profile_entries": f"SELECT owner_id, owner_id * 7 + i AS seq, {sql_pick('i', *ENTRY_LABELS)} AS label, trim({sql_pick('i', *ENTRY_VALUES)}) AS value FROM owners, range(7) AS r(i) WHERE (owner_id + i) % 5 > 0",
 }
 

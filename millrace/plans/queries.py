@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from millrace.functions import labels as L
 from millrace.operators import forms, gate, opportunities, priorities, records, triage, views
 from millrace.plans import inputs as I
+from millrace.sources import store
 from millrace.sources.shared import shared_dir
 from millrace.streaming.fold import stream_priorities
 
@@ -65,9 +66,7 @@ def priorities_stream(s, d):
     """The fold as a stream over the events file, run to its end; each key's last state."""
     t = s.read.parquet(f"{d}/events.parquet").schema
     events = s.readStream.schema(t).option("pathGlobFilter", "events.parquet").parquet(d)
-    n = F.col("event_id")
-    declared = F.when(n % 41 == 0, F.pmod(n, F.lit(120)) / 100)
-    log = events.select(F.col("user_id").alias("owner_id"), n.alias("seq"), F.when(n % 5 == 0, F.upper("event_type")).otherwise(F.col("event_type")).alias("context"), I.pick(n, *I.HIGHER).alias("higher"), I.pick(n, *I.LOWER).alias("lower"), declared.alias("confidence"))
+    log = I.correction_log(events).drop("ts")
     path = f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"
     write = lambda df, batch: df.withColumn("batch", F.lit(batch)).write.mode("append").parquet(f"{path}/out")
     stream_priorities(log).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
@@ -92,17 +91,17 @@ def priorities_for(s, d):
 
 
 def basis_priorities(s, d):
-    return priorities.basis_priorities(I.topics(s, d), _priorities(s, d)).select("topic_id", "place", "context", "higher", _hundredths())
+    return priorities.basis_priorities(I.topics(s, d), _priorities(s, d)).select("owner_id", "topic_id", "place", "context", "higher", _hundredths())
 
 
 def basis_facts(s, d):
-    return priorities.basis_facts(I.topics(s, d), _facts(s, d)).select("topic_id", "seq", "fact")
+    return priorities.basis_facts(I.topics(s, d), _facts(s, d)).select("owner_id", "topic_id", "seq", "fact")
 
 
 def explain_basis(s, d):
     done = priorities.explain_basis(I.topics(s, d), _priorities(s, d), _facts(s, d))
     shown = F.transform("priorities", lambda p: F.concat_ws(">", p["higher"], p["lower"]))
-    return done.select("topic_id", F.array_join(shown, ";").alias("priorities"), F.array_join(F.transform("facts", lambda f: f["fact"]), ";").alias("facts"))
+    return done.select("owner_id", "topic_id", F.array_join(shown, ";").alias("priorities"), F.array_join(F.transform("facts", lambda f: f["fact"]), ";").alias("facts"))
 
 
 def corrections_count(s, d):
@@ -117,7 +116,8 @@ def facts_remember(s, d):
 
 
 def facts_remember_once(s, d):
-    return records.remember_once(_facts(s, d)).select("seq", "fact")
+    """Each owner's categories as facts: many repeat, within an owner and between owners."""
+    return records.remember_once(_facts(s, d).withColumn("fact", F.col("category"))).select("owner_id", "seq", "fact")
 
 
 def facts_forget(s, d):
@@ -136,6 +136,10 @@ def goals_close(s, d):
     return records.close_goals(_goals(s, d), "HIGH").select("owner_id", "seq", "active", "closed")
 
 
+def goals_close_count(s, d):
+    return _goals(s, d).groupBy("owner_id").agg(records.close_count("HIGH").alias("closed"))
+
+
 def goals_active(s, d):
     return records.active_goals(_goals(s, d)).select("owner_id", "seq", "goal")
 
@@ -156,7 +160,7 @@ def permissions_current(s, d):
 
 
 def permissions_audit(s, d):
-    return gate.permission_actions(I.permission_entries(s, d)).select("owner_id", "seq", "category", "outcome")
+    return gate.permission_actions(I.permission_entries(s, d)).select("owner_id", "seq", "category", "level", "cap", "outcome")
 
 
 def permissions_rejected(s, d):
@@ -168,7 +172,7 @@ def permission_lookup(s, d):
 
 
 def gate_authorize(s, d):
-    return gate.authorize(I.requests(s, d), _permissions(s, d)).select("owner_id", "seq", "level", "cap", "reason", "allowed")
+    return gate.authorize(I.requests(s, d), _permissions(s, d)).select("owner_id", "seq", "category", "level", "cap", "reason", "allowed")
 
 
 def gate_denials(s, d):
@@ -202,6 +206,10 @@ def opportunities_resolve(s, d):
     return opportunities.resolve_many(_scored(s, d), [("PART 12", "done"), ("part 1", "late")]).select("owner_id", "seq", "resolved", "outcome")
 
 
+def opportunities_resolve_count(s, d):
+    return _scored(s, d).groupBy("owner_id").agg(opportunities.resolve_count("PART 12").alias("resolved"))
+
+
 def opportunities_pending(s, d):
     return opportunities.pending(opportunities.resolve(_scored(s, d), "part 12")).select("owner_id", "seq", (F.col("score") * 100).cast("int").alias("score"), "place")
 
@@ -215,7 +223,7 @@ def opportunities_top(s, d):
 
 def triage_messages(s, d):
     listed = [F.array_join(c, ";").alias(c) for c in ("scam_flags", "billing_flags", "money", "deadlines")]
-    return triage.triage(I.messages(s, d)).select("msg_id", *listed, "scam_score", "billing_score", "verdict")
+    return triage.triage(I.messages(s, d)).select("msg_id", *listed, "scam_score", "billing_score", "verdict", "advice")
 
 
 def triage_verdicts(s, d):
@@ -223,7 +231,7 @@ def triage_verdicts(s, d):
 
 
 def triage_priorities(s, d):
-    return triage.message_priorities(I.messages(s, d), _priorities(s, d)).select(F.col("topic_id").alias("msg_id"), "context", "higher", _hundredths(), "place")
+    return triage.message_priorities(I.messages(s, d), _priorities(s, d)).select("owner_id", F.col("topic_id").alias("msg_id"), "context", "higher", _hundredths(), "place")
 
 
 # ---- labels, profiles, forms
@@ -232,7 +240,7 @@ def triage_priorities(s, d):
 def labels_normalize(s, d):
     rows = I.form_labels(s, d)
     label, names = F.col("label"), F.array(*map(F.lit, I.NAMES))
-    return rows.select("form_id", "pos", L.field_of(label).alias("field"), L.sensitive(label).alias("is_sensitive"), L.suggested_slot(label).alias("slot"), L.slot_for(label, names).alias("held"))
+    return rows.select("owner_id", "form_id", "pos", L.field_of(label).alias("field"), L.sensitive(label).alias("is_sensitive"), L.suggested_slot(label).alias("slot"), L.slot_for(label, names).alias("held"))
 
 
 def profile_fields(s, d):
@@ -245,39 +253,37 @@ def profile_forget(s, d):
 
 
 def forms_classify(s, d):
-    return forms.classify_labels(I.form_labels(s, d), _maps(s, d), list(I.NAMES)).select("form_id", "pos", "label", "value", "why", "slot")
+    return forms.classify_labels(I.form_labels(s, d), _maps(s, d), list(I.NAMES)).select("owner_id", "form_id", "pos", "label", "value", "why", "slot")
 
 
 def forms_fill(s, d):
     done = forms.fill_forms(I.form_labels(s, d), _maps(s, d), list(I.NAMES))
     left = F.array_join(F.transform("needs_you", lambda x: x["label"]), ",")
     filled = F.array_join(F.transform(F.map_entries("filled"), lambda x: F.concat_ws("=", x["key"], x["value"])), ",")
-    return done.select("form_id", filled.alias("filled"), left.alias("needs_you"), "coverage")
+    return done.select("owner_id", "form_id", filled.alias("filled"), left.alias("needs_you"), "coverage")
 
 
 def forms_refused(s, d):
     n = F.col("form_id") + F.col("pos")
     values = I.form_labels(s, d).withColumn("value", I.pick(n, "plain", " vault:card_number ", "VAULT:nothing", "vault:bad name"))
-    return forms.refused_values(values, list(I.NAMES)).select("form_id", "pos", "blocked", "missing")
+    return forms.refused_values(values, list(I.NAMES)).select("owner_id", "form_id", "pos", "blocked", "missing")
 
 
 def references(s, d):
     n = F.col("form_id") + F.col("pos")
-    return I.form_labels(s, d).select("form_id", "pos", L.is_reference(I.pick(n, "plain", " vault:card_number ", "VAULT:nothing", "vault:bad name")).alias("is_reference"))
+    return I.form_labels(s, d).select("owner_id", "form_id", "pos", L.is_reference(I.pick(n, "plain", " vault:card_number ", "VAULT:nothing", "vault:bad name")).alias("is_reference"))
 
 
 def draft_guidance(s, d):
     done = forms.draft_guidance(I.topics(s, d), _priorities(s, d), _facts(s, d), _maps(s, d))
-    return done.select("topic_id", F.size("priorities").alias("n_priorities"), F.size("facts").alias("n_facts"), "signer")
+    return done.select("owner_id", "topic_id", F.size("priorities").alias("n_priorities"), F.size("facts").alias("n_facts"), "signer")
 
 
 # ---- views
 
 
 def owner_states(s, d):
-    seen = I.corrections(s, d).where("confidence is null and seq % 3 = 0")
-    few = _scored(s, d).where("owner_id % 3 = 0 or owner_id % 3 = 1 and not reduces_risk")
-    return views.owner_states(I.owners(s, d), few, seen, _observations(s, d), _as_of())
+    return views.owner_states(I.owners(s, d), _scored(s, d), I.corrections(s, d).where("confidence is null"), _observations(s, d), _as_of())
 
 
 def daily_brief(s, d):
@@ -294,10 +300,53 @@ def snapshot(s, d):
     return done.select("owner_id", join("priorities", "context"), join("facts", "fact"), join("active_goals", "goal"), "corrections_learned_from")
 
 
+# ---- the store
+
+
+def _documents(s, d):
+    """An owner's facts and goals as a document, in stored order."""
+    listed = lambda df, fields, name: df.groupBy("owner_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", *fields))), lambda x: F.struct(*(x[f].alias(f) for f in fields))).alias(name))
+    known = listed(_facts(s, d), ["fact", "category"], "facts").join(listed(_goals(s, d), ["goal", "active"], "goals"), "owner_id", "full")
+    return known.withColumn("owner", F.col("owner_id").cast("string")).drop("owner_id")
+
+
+def store_saved(s, d):
+    """Goals read back from the second save, which is made from the first."""
+    path = f"{shared_dir(s)}/store-{uuid.uuid4().hex}"
+    store.write_documents(_documents(s, d), path)
+    first = store.read_saved(s, path).drop("store_path")
+    store.write_documents(first.withColumn("goals", F.filter("goals", lambda g: g["active"])), path)
+    return store.collection(store.read_saved(s, path), "goals").select("owner_id", "seq", "goal", "active")
+
+
+def store_loaded(s, d):
+    """Facts of the documents that can be read; every seventh owner's is cut short."""
+    return store.collection(store.parsed_documents(_texts(s, d))[0], "facts").select("owner_id", "seq", "fact", "category")
+
+
+def _texts(s, d):
+    text = F.to_json(F.struct("facts", "owner"))
+    cut = F.when(F.col("owner").cast("long") % 7 == 0, F.left(text, F.lit(9))).otherwise(text)
+    return _documents(s, d).where("facts is not null").select(F.col("owner").alias("store_path"), cut.alias("text"))
+
+
+def store_broken(s, d):
+    return store.parsed_documents(_texts(s, d))[1].select("store_path", F.length("text").alias("n"))
+
+
+def store_appended(s, d):
+    """An event log appended to twice, by owner."""
+    path, log = f"{shared_dir(s)}/log-{uuid.uuid4().hex}", I.corrections(s, d).drop("ts")
+    for half in (0, 1):
+        store.append_events(log.where(F.col("seq") % 2 == half), path)
+    return store.read_events(s, path).groupBy("owner_id").agg(F.count("*").alias("n"), F.max("seq").alias("last"))
+
+
 QUERIES = {f.__name__: f for f in (
     priorities_fold, priorities_stream, priorities_set, priority_lookup, priorities_for, basis_priorities, basis_facts, explain_basis, corrections_count,
-    facts_remember, facts_remember_once, facts_forget, facts_forget_count, goals_add, goals_close, goals_active, observations_log, observations_newest,
+    facts_remember, facts_remember_once, facts_forget, facts_forget_count, goals_add, goals_close, goals_close_count, goals_active, observations_log, observations_newest,
     permissions_current, permissions_audit, permissions_rejected, permission_lookup, gate_authorize, gate_denials, actions_log, actions_newest, actions_all, actions_but_oldest,
-    opportunities_score, opportunities_resolve, opportunities_pending, opportunities_top, triage_messages, triage_verdicts, triage_priorities,
+    opportunities_score, opportunities_resolve, opportunities_resolve_count, opportunities_pending, opportunities_top, triage_messages, triage_verdicts, triage_priorities,
     labels_normalize, profile_fields, profile_forget, forms_classify, forms_fill, forms_refused, references, draft_guidance, owner_states, daily_brief, snapshot,
+    store_saved, store_loaded, store_broken, store_appended,
 )}

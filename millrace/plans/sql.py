@@ -32,14 +32,14 @@ priorities AS (SELECT z.owner_id, n.seq, n.context, m.higher, m.lower, ((state -
 
 
 FOLD = "WITH RECURSIVE " + fold("corrections")
-_TOPICAL = "(contains(lower(p.context), lower(t.topic)) OR contains(lower(t.topic), lower(p.context)) OR lower(p.context) IN ('any', 'all', 'general'))"
+_TOPICAL = "(contains(lower(p.context), lower(coalesce(t.topic, ''))) OR contains(lower(coalesce(t.topic, '')), lower(p.context)) OR lower(p.context) IN ('any', 'all', 'general'))"
 _PLACE = "row_number() OVER (PARTITION BY {} ORDER BY {})"
 
 
 def held(topics: str, facts: bool = True) -> str:
     """Common table expressions of what bears on each topic."""
-    tail = ", bf AS (SELECT t.topic_id, f.seq, f.fact FROM topics t JOIN facts f ON t.owner_id = f.owner_id AND contains(lower(f.fact), lower(t.topic)))" if facts else ""
-    return f"{FOLD}, bp AS (SELECT t.topic_id, p.*, {_PLACE.format('t.topic_id', 'p.confidence DESC, p.seq')} AS place FROM {topics} t JOIN priorities p ON t.owner_id = p.owner_id AND {_TOPICAL}){tail}"
+    tail = ", bf AS (SELECT t.owner_id, t.topic_id, f.seq, f.fact FROM topics t JOIN facts f ON t.owner_id = f.owner_id AND contains(lower(f.fact), lower(coalesce(t.topic, ''))))" if facts else ""
+    return f"{FOLD}, bp AS (SELECT t.topic_id, p.*, {_PLACE.format('t.owner_id, t.topic_id', 'p.confidence DESC, p.seq')} AS place FROM {topics} t JOIN priorities p ON t.owner_id = p.owner_id AND {_TOPICAL}){tail}"
 
 
 # ---- labels
@@ -80,7 +80,7 @@ _LABELLED = f"lab AS (SELECT label, {field('label')} AS field, {sensitive('label
 _ENTRIES = f"ent AS (SELECT label, coalesce({field('label')}, replace(trim(lower(label)), ' ', '_')) AS field FROM (SELECT DISTINCT label FROM profile_entries))"
 _FIELDS = f"{_ENTRIES}, fields AS (SELECT p.owner_id, e.field, arg_max(p.value, p.seq) AS value FROM profile_entries p JOIN ent e USING (label) WHERE NOT {sensitive('p.label')} AND NOT {sensitive('e.field')} GROUP BY ALL)"
 _CLASSIFIED = f"""{_LABELLED}, {_FIELDS}, whole AS (SELECT a.owner_id, a.value || ' ' || b.value AS name FROM fields a JOIN fields b USING (owner_id) WHERE a.field = 'first_name' AND b.field = 'last_name' AND a.value <> '' AND b.value <> ''),
-marked AS (SELECT l.form_id, l.pos, l.label, b.hidden, b.slot, CASE WHEN b.hidden THEN 'vault:' || b.held ELSE coalesce(f.value, CASE WHEN b.field = 'full_name' THEN w.name END) END AS value
+marked AS (SELECT l.owner_id, l.form_id, l.pos, l.label, b.hidden, b.slot, CASE WHEN b.hidden THEN 'vault:' || b.held ELSE coalesce(f.value, CASE WHEN b.field = 'full_name' THEN w.name END) END AS value
   FROM form_labels l JOIN lab b USING (label) LEFT JOIN fields f ON f.owner_id = l.owner_id AND f.field = b.field LEFT JOIN whole w ON w.owner_id = l.owner_id)"""
 _VALUE = sql_pick("(form_id + pos)", "plain", " vault:card_number ", "VAULT:nothing", "vault:bad name")
 _REFERENCE = f"regexp_matches(trim({_VALUE}), '{L.REFERENCE}')"
@@ -102,6 +102,8 @@ r AS (SELECT msg_id, {fired(T.SCAM, 'lower(text)')} AS scam, {fired(T.BILLING, '
 w AS (SELECT *, {weight(T.SCAM, 'scam')} AS scam_score, {weight(T.BILLING, 'billing')} AS billing_score FROM r),
 v AS (SELECT *, CASE WHEN scam_score >= {T.LIKELY} THEN 'likely_scam' WHEN scam_score >= {T.SUSPICIOUS} THEN 'suspicious' WHEN billing_score >= {T.WATCH} THEN 'money_watch' WHEN len(money) + len(deadlines) > 0 THEN 'needs_decision' ELSE 'routine' END AS verdict FROM w)"""
 
+_ADVICE = "CASE verdict " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in T.ADVICE.items()) + " END"
+
 # ---- views
 
 _LAST = lambda t, n: f"(SELECT * FROM (SELECT *, {_PLACE.format('owner_id', 'seq DESC')} AS place FROM {t}) WHERE place <= {n})"
@@ -126,46 +128,52 @@ ORACLE = {
     "priorities_set": f"WITH RECURSIVE {fold('(SELECT * FROM corrections WHERE confidence IS NOT NULL)')} SELECT * FROM priorities",
     "priority_lookup": f"{FOLD} SELECT o.owner_id, p.seq, p.higher, p.lower, p.confidence FROM owners o LEFT JOIN priorities p ON o.owner_id = p.owner_id AND lower(p.context) = 'click' AND least(lower(p.higher), lower(p.lower)) = 'cost' AND greatest(lower(p.higher), lower(p.lower)) = 'speed'",
     "priorities_for": f"{FOLD} SELECT owner_id, seq, context, confidence, {_PLACE.format('owner_id', 'confidence DESC, seq')} AS place FROM priorities WHERE contains(lower(context), 'ic') OR lower(context) IN ('any', 'all', 'general')",
-    "basis_priorities": f"{held('topics', False)} SELECT topic_id, place, context, higher, confidence FROM bp",
-    "basis_facts": "SELECT t.topic_id, f.seq, f.fact FROM topics t JOIN facts f ON t.owner_id = f.owner_id AND contains(lower(f.fact), lower(t.topic))",
-    "explain_basis": f"{held('topics')} SELECT t.topic_id, coalesce(p.x, '') AS priorities, coalesce(f.x, '') AS facts FROM topics t LEFT JOIN (SELECT topic_id, string_agg(higher || '>' || lower, ';' ORDER BY place) AS x FROM bp GROUP BY topic_id) p USING (topic_id) LEFT JOIN (SELECT topic_id, string_agg(fact, ';' ORDER BY seq) AS x FROM bf GROUP BY topic_id) f USING (topic_id)",
+    "basis_priorities": f"{held('topics', False)} SELECT owner_id, topic_id, place, context, higher, confidence FROM bp",
+    "basis_facts": "SELECT t.owner_id, t.topic_id, f.seq, f.fact FROM topics t JOIN facts f ON t.owner_id = f.owner_id AND contains(lower(f.fact), lower(coalesce(t.topic, '')))",
+    "explain_basis": f"{held('topics')} SELECT t.owner_id, t.topic_id, coalesce(p.x, '') AS priorities, coalesce(f.x, '') AS facts FROM topics t LEFT JOIN (SELECT owner_id, topic_id, string_agg(higher || '>' || lower, ';' ORDER BY place) AS x FROM bp GROUP BY ALL) p USING (owner_id, topic_id) LEFT JOIN (SELECT owner_id, topic_id, string_agg(fact, ';' ORDER BY seq) AS x FROM bf GROUP BY ALL) f USING (owner_id, topic_id)",
     "corrections_count": "SELECT owner_id, count(*) AS n FROM corrections WHERE confidence IS NULL GROUP BY owner_id",
     "facts_remember": "SELECT owner_id, seq, fact, category FROM facts",
-    "facts_remember_once": "SELECT min(seq) AS seq, fact FROM facts GROUP BY fact",
+    "facts_remember_once": "SELECT owner_id, min(seq) AS seq, category AS fact FROM facts GROUP BY owner_id, category",
     "facts_forget": "SELECT owner_id, seq, fact FROM facts WHERE NOT contains(lower(fact), 'ring')",
     "facts_forget_count": "SELECT owner_id, count(*) FILTER (contains(lower(fact), 'ring')) AS removed FROM facts GROUP BY owner_id",
     "goals_add": "SELECT owner_id, seq, goal, true AS active FROM goals",
     "goals_close": "SELECT owner_id, seq, active AND NOT contains(goal, 'high') AS active, active AND contains(goal, 'high') AS closed FROM goals",
+    "goals_close_count": "SELECT owner_id, count(*) FILTER (active AND contains(goal, 'high')) AS closed FROM goals GROUP BY owner_id",
     "goals_active": "SELECT owner_id, seq, goal FROM goals WHERE active",
     "observations_log": "SELECT owner_id, seq, note, category FROM observations",
     "observations_newest": f"SELECT owner_id, seq, place FROM {_LAST('observations', 5)}",
     "permissions_current": "SELECT * FROM permissions",
-    "permissions_audit": "SELECT owner_id, seq, category, 'permission_change' AS outcome FROM permission_entries WHERE level <> 'always'",
+    "permissions_audit": "SELECT owner_id, seq, category, level, cap, 'permission_change' AS outcome FROM permission_entries WHERE level <> 'always'",
     "permissions_rejected": "SELECT owner_id, seq, level FROM permission_entries WHERE level = 'always'",
     "permission_lookup": "SELECT owner_id, seq, level, cap FROM decisions",
-    "gate_authorize": "SELECT owner_id, seq, level, cap, reason, reason = 'granted' AS allowed FROM decisions",
-    "gate_denials": "SELECT owner_id, seq, lower(category) AS category, description, amount, 'denied: ' || reason AS outcome FROM decisions WHERE reason <> 'granted'",
+    "gate_authorize": "SELECT owner_id, seq, category, level, cap, reason, reason = 'granted' AS allowed FROM decisions",
+    "gate_denials": "SELECT owner_id, seq, lower(category) AS category, description, amount, level, cap, 'denied: ' || reason AS outcome FROM decisions WHERE reason <> 'granted'",
     "actions_log": "SELECT * FROM actions",
     "actions_newest": f"SELECT owner_id, seq, category, place FROM {_LAST('actions', 10)}",
     "actions_all": f"SELECT owner_id, seq, {_PLACE.format('owner_id', 'seq DESC')} AS place FROM actions",
     "actions_but_oldest": f"SELECT owner_id, seq, place FROM (SELECT owner_id, seq, {_PLACE.format('owner_id', 'seq DESC')} AS place, {_PLACE.format('owner_id', 'seq')} AS age FROM actions) WHERE age > 3",
     "opportunities_score": "SELECT owner_id, seq, what, score, status FROM opportunities",
     "opportunities_resolve": "SELECT owner_id, seq, contains(what, 'part 1') AS resolved, CASE WHEN contains(what, 'part 12') THEN 'done' WHEN contains(what, 'part 1') THEN 'late' END AS outcome FROM opportunities",
+    "opportunities_resolve_count": "SELECT owner_id, count(*) FILTER (contains(what, 'part 12')) AS resolved FROM opportunities GROUP BY owner_id",
     "opportunities_pending": f"SELECT owner_id, seq, score, {_PLACE.format('owner_id', 'score DESC, seq')} AS place FROM opportunities WHERE NOT contains(what, 'part 12')",
     "opportunities_top": f"SELECT owner_id, seq, place FROM {_TOP}",
-    "triage_messages": f"{_TRIAGE} SELECT msg_id, array_to_string(scam, ';') AS scam_flags, array_to_string(billing, ';') AS billing_flags, array_to_string(money, ';') AS money, array_to_string(deadlines, ';') AS deadlines, scam_score, billing_score, verdict FROM v",
+    "triage_messages": f"{_TRIAGE} SELECT msg_id, array_to_string(scam, ';') AS scam_flags, array_to_string(billing, ';') AS billing_flags, array_to_string(money, ';') AS money, array_to_string(deadlines, ';') AS deadlines, scam_score, billing_score, verdict, {_ADVICE} AS advice FROM v",
     "triage_verdicts": f"{_TRIAGE} SELECT verdict, count(*) AS n FROM v GROUP BY verdict",
-    "triage_priorities": f"{held(f'''(SELECT owner_id, msg_id AS topic_id, CASE WHEN coalesce(subject, '') <> '' THEN subject ELSE body[1:{T.TOPIC_CHARS}] END AS topic FROM messages)''', False)} SELECT topic_id AS msg_id, context, higher, confidence, place FROM bp",
-    "labels_normalize": f"WITH {_LABELLED} SELECT form_id, pos, field, hidden AS is_sensitive, slot, held FROM form_labels JOIN lab USING (label)",
+    "triage_priorities": f"{held(f'''(SELECT owner_id, msg_id AS topic_id, CASE WHEN coalesce(subject, '') <> '' THEN subject ELSE body[1:{T.TOPIC_CHARS}] END AS topic FROM messages)''', False)} SELECT owner_id, topic_id AS msg_id, context, higher, confidence, place FROM bp",
+    "labels_normalize": f"WITH {_LABELLED} SELECT owner_id, form_id, pos, field, hidden AS is_sensitive, slot, held FROM form_labels JOIN lab USING (label)",
     "profile_fields": f"WITH {_FIELDS} SELECT * FROM fields",
     "profile_forget": f"WITH {_FIELDS} SELECT owner_id, max(field) FILTER (field = 'first_name') AS removed, coalesce(string_agg(field, ',' ORDER BY field) FILTER (field <> 'first_name'), '') AS fields FROM fields GROUP BY owner_id",
-    "forms_classify": f"WITH {_CLASSIFIED} SELECT form_id, pos, label, value, CASE WHEN value IS NULL THEN CASE WHEN hidden THEN 'sensitive' ELSE 'unknown' END END AS why, CASE WHEN value IS NULL AND hidden THEN slot END AS slot FROM marked",
-    "forms_fill": f"WITH {_CLASSIFIED}, d AS (SELECT form_id, string_agg(label || '=' || value, ',' ORDER BY label) AS filled, count(*) AS k FROM (SELECT DISTINCT form_id, label, value FROM marked WHERE value IS NOT NULL) GROUP BY form_id) SELECT m.form_id, coalesce(any_value(filled), '') AS filled, coalesce(string_agg(label, ',' ORDER BY pos) FILTER (value IS NULL), '') AS needs_you, coalesce(any_value(k), 0) || '/' || count(*) AS coverage FROM marked m LEFT JOIN d USING (form_id) GROUP BY m.form_id",
-    "forms_refused": f"SELECT form_id, pos, {sensitive('label')} AND NOT {_REFERENCE} AS blocked, {_REFERENCE} AND NOT list_contains({quoted(NAMES)}, regexp_extract(trim({_VALUE}), '(?i)^vault:(.*)$', 1)) AS missing FROM form_labels",
-    "references": f"SELECT form_id, pos, {_REFERENCE} AS is_reference FROM form_labels",
-    "draft_guidance": f"{held('topics')}, {_FIELDS}, s AS (SELECT owner_id, nullif(trim(coalesce(max(value) FILTER (field = 'first_name'), '') || ' ' || coalesce(max(value) FILTER (field = 'last_name'), '')), '') AS signer FROM fields GROUP BY owner_id) SELECT t.topic_id, (SELECT count(*) FROM bp WHERE bp.topic_id = t.topic_id)::INT AS n_priorities, (SELECT count(*) FROM bf WHERE bf.topic_id = t.topic_id)::INT AS n_facts, s.signer FROM topics t LEFT JOIN s USING (owner_id)",
-    "owner_states": states("owner_id % 3 = 0 OR owner_id % 3 = 1 AND NOT risk", "confidence IS NULL AND seq % 3 = 0"),
+    "forms_classify": f"WITH {_CLASSIFIED} SELECT owner_id, form_id, pos, label, value, CASE WHEN value IS NULL THEN CASE WHEN hidden THEN 'sensitive' ELSE 'unknown' END END AS why, CASE WHEN value IS NULL AND hidden THEN slot END AS slot FROM marked",
+    "forms_fill": f"WITH {_CLASSIFIED}, d AS (SELECT owner_id, form_id, string_agg(label || '=' || value, ',' ORDER BY label) AS filled, count(*) AS k FROM (SELECT DISTINCT owner_id, form_id, label, value FROM marked WHERE value IS NOT NULL) GROUP BY ALL) SELECT m.owner_id, m.form_id, coalesce(any_value(filled), '') AS filled, coalesce(string_agg(label, ',' ORDER BY pos) FILTER (value IS NULL), '') AS needs_you, coalesce(any_value(k), 0) || '/' || count(*) AS coverage FROM marked m LEFT JOIN d ON d.owner_id = m.owner_id AND d.form_id = m.form_id GROUP BY m.owner_id, m.form_id",
+    "forms_refused": f"SELECT owner_id, form_id, pos, {sensitive('label')} AND NOT {_REFERENCE} AS blocked, {_REFERENCE} AND NOT list_contains({quoted(NAMES)}, regexp_extract(trim({_VALUE}), '(?i)^vault:(.*)$', 1)) AS missing FROM form_labels",
+    "references": f"SELECT owner_id, form_id, pos, {_REFERENCE} AS is_reference FROM form_labels",
+    "draft_guidance": f"{held('topics')}, {_FIELDS}, s AS (SELECT owner_id, nullif(trim(coalesce(max(value) FILTER (field = 'first_name'), '') || ' ' || coalesce(max(value) FILTER (field = 'last_name'), '')), '') AS signer FROM fields GROUP BY owner_id) SELECT t.owner_id, t.topic_id, (SELECT count(*) FROM bp WHERE bp.topic_id = t.topic_id AND bp.owner_id = t.owner_id)::INT AS n_priorities, (SELECT count(*) FROM bf WHERE bf.topic_id = t.topic_id AND bf.owner_id = t.owner_id)::INT AS n_facts, s.signer FROM topics t LEFT JOIN s USING (owner_id)",
+    "owner_states": states("true", "confidence IS NULL"),
     "daily_brief": f"WITH st AS ({states('true', 'confidence IS NULL')}) SELECT st.owner_id, mood, coalesce(g.x, '') AS active_goals, coalesce(p.x, '') AS opportunities, coalesce(a.x, '') AS recent_actions, coalesce(b.x, '') AS recent_observations, coalesce(c.n, 0) AS corrections_learned_from FROM st LEFT JOIN {_GOALS} g USING (owner_id) LEFT JOIN {_LIST(_TOP, 'what', 'place')} p USING (owner_id) LEFT JOIN {_LIST(_LAST('actions', 10), 'outcome', 'place')} a USING (owner_id) LEFT JOIN {_LIST(_LAST('observations', 5), 'note', 'place')} b USING (owner_id) LEFT JOIN {_COUNTED} c USING (owner_id)",
     "snapshot": f"{FOLD} SELECT o.owner_id, coalesce(p.x, '') AS priorities, coalesce(f.x, '') AS facts, coalesce(g.x, '') AS active_goals, coalesce(c.n, 0) AS corrections_learned_from FROM owners o LEFT JOIN {_LIST('priorities', 'context', 'confidence DESC, seq')} p USING (owner_id) LEFT JOIN {_LIST('facts', 'fact', 'seq')} f USING (owner_id) LEFT JOIN {_GOALS} g USING (owner_id) LEFT JOIN {_COUNTED} c USING (owner_id)",
+    "store_saved": "SELECT owner_id::VARCHAR AS owner_id, row_number() OVER (PARTITION BY owner_id ORDER BY seq) - 1 AS seq, goal, active FROM goals WHERE active",
+    "store_loaded": "SELECT owner_id::VARCHAR AS owner_id, row_number() OVER (PARTITION BY owner_id ORDER BY seq) - 1 AS seq, fact, category FROM facts WHERE owner_id % 7 > 0",
+    "store_broken": "SELECT DISTINCT owner_id::VARCHAR AS store_path, 9 AS n FROM facts WHERE owner_id % 7 = 0",
+    "store_appended": "SELECT owner_id, count(*) AS n, max(seq) AS last FROM corrections GROUP BY owner_id",
 }
 ORACLE = {name: with_inputs(sql) for name, sql in ORACLE.items()}

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The open scopes, innermost last: each lists the folders that it removes.
 _scopes: list[list[str]] = []
@@ -60,3 +61,18 @@ def settled(df: DataFrame, into: list[str] | None = None) -> DataFrame:
     elif _scopes:
         _scopes[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a table that a join may broadcast, counted first; beyond it the join shuffles.
+BROADCAST_ROWS = 100_000
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out anew only where a small input has fewer partitions than there are cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df with a hint to broadcast it where it has BROADCAST_ROWS rows at most."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df

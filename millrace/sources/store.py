@@ -1,11 +1,12 @@
 """Owners' stores: one JSON document each, or tables of an append-only event log.
 
-Documents that can't be read are kept apart, never taken for empty ones. Writes go through Spark's
-committer, so a reader sees a whole version or none; changed tables are derived from the log anew.
+Documents that can't be read are kept apart, never taken for empty ones. A save is a version folder of
+its own that a pointer names once it is whole; changed tables are derived from the log anew.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,14 +27,18 @@ DOCUMENT = "owner string, " + ", ".join(f"{n} array<struct<{','.join(':'.join(f.
 TIMESTAMP = "yyyy-MM-dd'T'HH:mm:ssZ"
 
 
-def read_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(store_path, document fields) of readable JSON documents, and (store_path, text) of the others."""
-    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("store_path"), F.col("value").alias("text"))
-    parsed = text.withColumn("d", F.from_json("text", f"{DOCUMENT}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+def parsed_documents(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of texts (store_path, text) the readable documents (store_path, document fields), and the others as they are."""
+    parsed = texts.withColumn("d", F.from_json("text", f"{DOCUMENT}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
     bad = F.col("d").isNull() | F.col("d._corrupt").isNotNull()
     return parsed.where(~bad).select("store_path", "d.*").drop("_corrupt"), parsed.where(bad).select("store_path", "text")
 
 
+def read_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The same of files with a JSON document each; a file's path is the document's."""
+    return parsed_documents(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("store_path"), F.col("value").alias("text")))
+
+
 def collection(documents: DataFrame, name: str) -> DataFrame:
     """A collection as rows with owner_id (the document's path) and seq, the position in the document."""
     rows = documents.select(F.col("store_path").alias("owner_id"), F.posexplode(name).alias("seq", "x"))
@@ -48,9 +53,35 @@ def profile_fields(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("store_path").alias("owner_id"), F.explode("profile").alias("field", "value"))
 
 
-def write_documents(documents: DataFrame, path: str) -> None:
-    """Documents as JSON lines, one an owner."""
-    documents.write.mode("overwrite").json(path)
+def _file(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def write_documents(documents: DataFrame, path: str) -> str:
+    """Documents as JSON lines, one an owner, in a version folder of their own; then `path`'s pointer names it.
+
+    Readers see the former version until the new one is whole, which may be made from it. Former versions stay.
+    """
+    version = f"v-{uuid.uuid4().hex}"
+    documents.write.json(f"{path}/{version}")
+    files, at = _file(documents.sparkSession, f"{path}/CURRENT.new")
+    out = files.create(at, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    _, current = _file(documents.sparkSession, f"{path}/CURRENT")
+    files.delete(current, False)
+    files.rename(at, current)
+    return version
+
+
+def read_saved(spark: SparkSession, path: str) -> DataFrame:
+    """The documents of the version that the pointer names; `owner` stands for the document's path."""
+    files, current = _file(spark, f"{path}/CURRENT")
+    # Between the pointer's removal and its renewal the new one counts: its version is whole.
+    name = "CURRENT" if files.exists(current) else "CURRENT.new"
+    version = spark.read.text(f"{path}/{name}").first()[0]
+    return spark.read.schema(DOCUMENT).json(f"{path}/{version}").withColumn("store_path", F.col("owner"))
 
 
 def append_events(events: DataFrame, path: str, partition: str | None = None) -> None:

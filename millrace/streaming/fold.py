@@ -1,20 +1,20 @@
 """The confidence fold as a stream: state for each priority, updates as corrections arrive.
 
 Order is arrival order, as in the log; within a micro-batch seq orders the events of a key. Event
-time plays no part, so there is no watermark, and a key's state stays until the query's end.
+time plays no part, so there is no watermark, and a key's state stays until the query's end. A task holds
+the events of a key in one micro-batch, so bound micro-batches (maxFilesPerTrigger) by what a task can hold.
 """
 
 from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from millrace.operators.priorities import KEY, keyed, transition
 
 STATE = "state int, evidence int, seq long, context string, higher string, lower string"
-OUTPUT = "owner_id long, seq long, context string, higher string, lower string, confidence double, evidence int"
+OUTPUT = "seq long, context string, higher string, lower string, confidence double, evidence int"
 
 
 def _update(key: tuple, frames, state: GroupState):
@@ -33,6 +33,7 @@ def _update(key: tuple, frames, state: GroupState):
 
 
 def stream_priorities(events: DataFrame) -> DataFrame:
-    """A streaming DataFrame of events to one of changed priorities, for update mode; owner_id is a long."""
-    marked = keyed(events).withColumn("owner_id", F.col("owner_id").cast("long"))
-    return marked.groupBy(*KEY).applyInPandasWithState(_update, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout)
+    """A streaming DataFrame of events to one of changed priorities, for update mode; owner_id keeps its type."""
+    marked = keyed(events)
+    output = f"owner_id {dict(marked.dtypes)['owner_id']}, {OUTPUT}"
+    return marked.groupBy(*KEY).applyInPandasWithState(_update, output, STATE, "update", GroupStateTimeout.NoTimeout)
