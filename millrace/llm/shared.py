@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.sources.shared import settled
+from millrace.sources.shared import settled, spread
 
 #: One word, as the contracts define it.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -32,12 +32,6 @@ def in_batches(df: DataFrame) -> DataFrame:
     return spread(df)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df, dealt out anew only where a small input has fewer partitions than there are cores."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def keyed_join(df: DataFrame, ids: DataFrame, on: str, how: str) -> DataFrame:
     """Join with a table of ids: broadcast up to BROADCAST_IDS rows, counted first, else a shuffled join."""
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
