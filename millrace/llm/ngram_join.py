@@ -36,11 +36,11 @@ from pyspark.sql import functions as F
 from millrace.llm.shared import components, in_batches, keyed_join, mix, pack_cells, runs, settled, slices, unpack_cells, word_hashes
 
 #: Signatures that one reducer task gets together, about.
-PER_RANGE = 600_000
+PER_RANGE = 300_000
 #: Sketch: 2 ** MOST_BITS cells of half a byte at most, in parts of 2 ** PART_BITS; grams that a task gathers before it sends them, and bytes of text whose sketches one task sums up, about.
-MOST_BITS, PART_BITS, GATHERED, SUMMED = 26, 18, 3_000_000, 8_000_000_000
+MOST_BITS, PART_BITS, GATHERED, SUMMED = 26, 18, 1_500_000, 8_000_000_000
 #: 64-bit words of a set's bitmap; bytes of text in a block, sets that go into every block of a group, rows and columns of a tile.
-WORDS, BLOCK_BYTES, SHARED_SETS, TILE_ROWS, TILE_COLUMNS = 2, 16_000_000, 8, 128, 4_096
+WORDS, BLOCK_BYTES, SHARED_SETS, TILE_ROWS, TILE_COLUMNS = 2, 8_000_000, 8, 128, 1_024
 #: Rows of a column that are compared pair by pair; rows of a batch's column beyond which close sets go on as one ball, and its radius in bits.
 SMALL, MANY, RADIUS = 16, 64, 16
 
@@ -83,7 +83,7 @@ def _sketched(k: int, bits: int):
         held, n = [], 0
         for b in batches:
             texts = b.column("text").cast(pa.binary()).to_pylist()
-            for i, j in slices(texts, 8_000_000):
+            for i, j in slices(texts, 4_000_000):
                 held += [cell_of(s, bits) for s in gram_sets(texts[i:j], k) if len(s)]
                 n = sum(map(len, held))
                 if n >= GATHERED:
@@ -255,8 +255,8 @@ def met(keys: np.ndarray, nodes: np.ndarray, balls: Balls, t: int) -> list[tuple
     width = np.repeat(wide, wide)
     for d in range(1, SMALL):
         at = np.flatnonzero((width[d:] <= SMALL) & (keys[d:] == keys[:-d])) if len(keys) > d else np.zeros(0, np.int64)
-        for c in range(0, len(at), 1 << 20):
-            i, j = at[c : c + (1 << 20)], at[c : c + (1 << 20)] + d
+        for c in range(0, len(at), 1 << 17):
+            i, j = at[c : c + (1 << 17)], at[c : c + (1 << 17)] + d
             keep = balls.possible(i, j, t)
             link(i[keep], j[keep])
     for k in np.flatnonzero(wide > SMALL).tolist():

@@ -88,7 +88,7 @@ _CODES = {s: _byte_codes(s) for s in (11, 12)}
 def _power_tables(n: int) -> list[np.ndarray]:
     if len(_powers[0]) < n:
         for k, base in enumerate((_BASE, _BASE_INV)):
-            p = np.full(max(n, 1 << 20), np.uint64(base))
+            p = np.full(max(n, 1 << 18), np.uint64(base))
             p[0] = 1
             _powers[k] = np.multiply.accumulate(p)
     return _powers
@@ -129,7 +129,7 @@ def runs(words: np.ndarray, k: int) -> np.ndarray:
     return mix(acc)
 
 
-def slices(texts: list[bytes], most: int = 2_000_000):
+def slices(texts: list[bytes], most: int = 1_000_000):
     """Ranges [i, j) of texts of about `most` bytes together."""
     i, size = 0, 0
     for j, t in enumerate(texts):
