@@ -45,7 +45,7 @@ SHORTEST, LONGEST, LEAST_SHARE, LEAST_G = 4, 9, 0.01, 35.0
 THRESHOLD = 0.3
 #: Words, and steps of the automata, that a task remembers at most.
 REMEMBERED = 100_000
-#: Words on each side of a hit that its context window holds; log-odds of quotation before any is seen; hits that the log-odds of a word shrink by, hits that it must be near, and the bounds of a window's log-odds.
+#: Words on each side of a hit that its context window holds; log-odds of quotation before any is seen; hits that the log-odds of a word shrink by, hits that it must be near, and the bounds of its words' log-odds together.
 WINDOW, QUOTED, SHRINK, LEAST_SEEN, LEAST_ODDS, MOST_ODDS = 6, -1.2, 10.0, 5, -2.0, 1.0
 
 _WORD = re.compile(r"[^\W_]+")
@@ -173,8 +173,8 @@ def contexts(text: str, words: list[re.Match], at: list[int]) -> list[tuple[bool
 
 def context_weight(quoted: bool, near: frozenset[str], odds: dict[str, float]) -> float:
     """How much a hit counts by its window: 1 where nothing speaks for or against abuse."""
-    c = (odds.get("", QUOTED) if quoted else 0.0) + sum(odds.get(w, 0.0) for w in sorted(near))
-    return 2 / (1 + math.exp(-min(max(c, LEAST_ODDS), MOST_ODDS)))
+    c = min(max(sum(odds.get(w, 0.0) for w in sorted(near)), LEAST_ODDS), MOST_ODDS) + (odds.get("", QUOTED) if quoted else 0.0)
+    return 2 / (1 + math.exp(-c))
 
 
 def hits_of(text: str, lexicon: Lexicon, seen: dict) -> tuple[list[tuple[str, float, bool, frozenset[str]]], int]:

@@ -347,8 +347,8 @@ def score_by_hand(text, model):
                 quoted = any(a <= m.start() < b for a, b in toxicity.quotations(line))
                 # The window counts words of the whole text; in these texts lines are longer.
                 near = {w.group() for j, w in enumerate(words) if j != i and abs(j - i) <= toxicity.WINDOW}
-                c = (model.odds.get("", toxicity.QUOTED) if quoted else 0) + sum(model.odds.get(w, 0) for w in near)
-                sums[name] += close * 2 / (1 + np.exp(-min(max(c, toxicity.LEAST_ODDS), toxicity.MOST_ODDS)))
+                c = min(max(sum(model.odds.get(w, 0) for w in near), toxicity.LEAST_ODDS), toxicity.MOST_ODDS) + (model.odds.get("", toxicity.QUOTED) if quoted else 0)
+                sums[name] += close * 2 / (1 + np.exp(-c))
     x = toxicity.columns([(sums["strong"], sums["near"], sums["weak"], 0, n)])
     return float(1 / (1 + np.exp(-np.clip(x @ np.array(model.weights), -30, 30)))[0])
 
