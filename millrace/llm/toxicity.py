@@ -211,13 +211,16 @@ def columns(found: list[tuple]) -> np.ndarray:
     return np.stack([np.ones(len(strong)), np.log1p(4 * strong), np.log1p(4 * near), np.log1p(weak), np.minimum(weak, 8.0), np.log1p(100 * weak / (words + 20)), many * (weak > 0)], 1)
 
 
-def stems(words: list[str]) -> dict[str, float]:
-    """How much a text holds of each stem, by the logarithm of its count.
+def stems(words: list[str], wanted: frozenset[str] | None = None) -> dict[str, float]:
+    """How much a text holds of each stem (of the wanted ones), by the logarithm of its count.
 
     A word of fewer letters ends with a space, as it is a term as a whole only.
     """
-    every = Counter(w[:n] for w in words for n in range(SHORTEST, min(len(w), LONGEST) + 1))
-    every.update(w + " " for w in words if len(w) < SHORTEST)
+    every: dict[str, int] = defaultdict(int)
+    for w, k in Counter(words).items():
+        for s in (w[:n] for n in range(SHORTEST, min(len(w), LONGEST) + 1)) if len(w) >= SHORTEST else (w + " ",):
+            if wanted is None or s in wanted:
+                every[s] += k
     return {s: math.log2(1 + n) for s, n in every.items()}
 
 
@@ -243,7 +246,7 @@ def _clean_stems(wanted: frozenset[str]):
         count = Counter()
         for pdf in frames:
             for text in pdf["text"]:
-                count.update({s: n for s, n in stems(_WORD.findall(text.lower())).items() if s in wanted})
+                count.update(stems(_WORD.findall(text.lower()), wanted))
         if count:
             yield pd.DataFrame({"stem": list(count), "clean": list(count.values())})
 
