@@ -50,6 +50,46 @@ def test_fold_equals_a_loop(spark, hot):
         assert (float(r.confidence), r.evidence, r.higher, r.context) == (c, n, hi, ctx)
 
 
+def test_hot_fold_of_sparse_seqs(spark):
+    events = [(o, s * s * 1_000_003, *rest) for o, s, *rest in some_events(600, seed=5)]
+    got = priorities.fold_priorities(spark.createDataFrame(events, EVENT), 20).collect()
+    want = looped(events)
+    assert {(r.owner_id, r.context, float(r.confidence), r.evidence, r.higher) for r in got} == {(k[0], x[3], x[0], x[1], x[2]) for k, x in want.items()}
+
+
+def test_equal_ids_of_two_owners_stay_apart(spark):
+    topics = spark.createDataFrame([(1, 7, "work"), (2, 7, "work"), (1, 8, None)], "owner_id long, topic_id long, topic string")
+    held = spark.createDataFrame([(1, 1, "work", "a", "b", 0.9, 1), (2, 1, "work", "c", "d", 0.8, 1)], "owner_id long, seq long, context string, higher string, lower string, confidence double, evidence int")
+    facts = spark.createDataFrame([(1, 1, "secret1 work"), (2, 1, "secret2 work")], "owner_id long, seq long, fact string")
+    got = {(r.owner_id, r.topic_id): r for r in priorities.explain_basis(topics, held, facts).collect()}
+    assert [f.fact for f in got[1, 7].facts] == ["secret1 work"] and [p.higher for p in got[2, 7].priorities] == ["c"] and got[2, 7].priorities[0].place == 1
+    assert [p.higher for p in got[1, 8].priorities] == ["a"] and len(got[1, 8].facts) == 1  # a null topic is an empty one
+    once = records.remember_once(spark.createDataFrame([(1, 1, "x"), (2, 2, "x"), (1, 3, "x")], "owner_id long, seq long, fact string"))
+    assert sorted((r.owner_id, r.seq) for r in once.collect()) == [(1, 1), (2, 2)]
+
+
+def test_a_save_is_whole_or_not_there(spark, tmp_path):
+    path = str(tmp_path / "saved")
+    made = lambda x: spark.createDataFrame([("o", [(x, "c", None)])], "owner string, facts array<struct<fact:string,category:string,added:string>>")
+    store.write_documents(made("x"), path)
+    store.write_documents(store.read_saved(spark, path).drop("store_path").unionByName(made("y"), True), path)
+    failing = made("z").withColumn("owner", F.raise_error(F.lit("stop")).cast("string"))
+    with pytest.raises(Exception, match="stop"):
+        store.write_documents(failing, path)
+    assert sorted(r.fact for r in store.collection(store.read_saved(spark, path), "facts").collect()) == ["x", "y"]
+
+
+def test_scratch_removes_what_was_settled(spark):
+    import os
+
+    from millrace.sources import shared
+
+    with shared.scratch(spark):
+        path = shared.settled(spark.range(3)).inputFiles()[0].split(":", 1)[1].rsplit("/", 1)[0]
+        assert os.path.isdir(path.replace("///", "/"))
+    assert not os.path.isdir(path.replace("///", "/"))
+
+
 def test_transition_points():
     path, s = [], priorities.transition(0, 1)
     for _ in range(16):
