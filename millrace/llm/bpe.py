@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import in_batches
+from millrace.llm.shared import in_batches, lean
 
 #: Pieces whose tokens a task remembers at most.
 REMEMBERED = 100_000
@@ -60,6 +60,7 @@ def _pieces(path: str) -> Pieces:
 
 
 def _encode(path: str, pattern: str):
+    @lean
     def run(batches):
         tokens, split = _pieces(path), _splitter(pattern).findall
         for b in batches:
@@ -148,6 +149,7 @@ def _encode_long(docs: DataFrame, path: str, pattern: str, chunk: int, overlap:
 
 
 def _decode(path: str):
+    @lean
     def run(batches):
         bytes_of = _pieces(path).bytes_of.__getitem__
         for b in batches:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import components, in_batches, keyed_join, mix, pack_cells, runs, settled, slices, unpack_cells, word_hashes
+from millrace.llm.shared import components, in_batches, keyed_join, lean, mix, pack_cells, runs, settled, slices, unpack_cells, word_hashes
 
 #: Signatures that one reducer task gets together, about.
 PER_RANGE = 300_000
@@ -79,6 +79,7 @@ def _sketched(k: int, bits: int):
         blobs = [pack_cells(cells[i:j] & np.uint32((1 << PART_BITS) - 1)) for i, j in zip(cuts, cuts[1:])]
         return pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]].astype(np.int32)), pa.array(blobs, pa.binary())], ["part", "cells"])
 
+    @lean
     def run(batches):
         held, n = [], 0
         for b in batches:
@@ -106,6 +107,7 @@ def _summed(last: bool):
             blob = b"\3" + np.minimum(n, (1 << 32) - 1).astype("<u4").tobytes()
         return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([blob], pa.binary())], ["part", "cells"])
 
+    @lean
     def run(batches):
         now, n = None, None
         for b in batches:
@@ -303,6 +305,7 @@ def short_id(node: bytes) -> int:
 
 
 def _digests(k: int):
+    @lean
     def run(batches):
         for b in batches:
             sets = gram_sets(b.column("text").cast(pa.binary()).to_pylist(), k)
@@ -320,6 +323,7 @@ _FIELDS = (("keys", "<u4"), ("nodes", "<i8"), ("low", "<u4"), ("high", "<u4"), (
 def _candidates(k: int, t: int, ranges: int, levels):
     """Per batch: for each range of keys its rows as columns of bytes, and what is linked here."""
 
+    @lean
     def run(batches):
         for b in batches:
             sets = [s for s in gram_sets(b.column("text").cast(pa.binary()).to_pylist(), k) if len(s)]

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +16,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Up to this many ids (8 bytes each) a side of a join may be broadcast; beyond it the join shuffles.
 BROADCAST_IDS = 500_000
 #: Bytes of rows that a Python task gets at a time.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +35,19 @@ def in_batches(df: DataFrame) -> DataFrame:
     return spread(df)
 
 
+def lean(run):
+    """run over a task's batches; then the Arrow memory that its worker holds unused goes back, as the worker lives on."""
+
+    @functools.wraps(run)
+    def held(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return held
+
+
 def keyed_join(df: DataFrame, ids: DataFrame, on: str, how: str) -> DataFrame:
     """Join with a table of ids: broadcast up to BROADCAST_IDS rows, counted first, else a shuffled join."""
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
@@ -90,7 +106,7 @@ _CODES = {s: _byte_codes(s) for s in (11, 12)}
 def _power_tables(n: int) -> list[np.ndarray]:
     if len(_powers[0]) < n:
         for k, base in enumerate((_BASE, _BASE_INV)):
-            p = np.full(max(n, 1 << 18), np.uint64(base))
+            p = np.full(max(n, 1 << 19), np.uint64(base))
             p[0] = 1
             _powers[k] = np.multiply.accumulate(p)
     return _powers
@@ -131,7 +147,7 @@ def runs(words: np.ndarray, k: int) -> np.ndarray:
     return mix(acc)
 
 
-def slices(texts: list[bytes], most: int = 1_000_000):
+def slices(texts: list[bytes], most: int = 250_000):
     """Ranges [i, j) of texts of about `most` bytes together."""
     i, size = 0, 0
     for j, t in enumerate(texts):

@@ -26,7 +26,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.language_mix import held_out
-from millrace.llm.shared import in_batches, settled
+from millrace.llm.shared import in_batches, lean, settled
 
 #: Labelled training rows at most, the first by a hash of their ids.
 TRAINING_ROWS = 12_000
@@ -65,7 +65,6 @@ class Lexicon:
     strong: list[str]
     weak: list[str]
     known: frozenset[str] = frozenset()
-    _next: dict = field(default_factory=dict, repr=False)
 
     def __post_init__(self):
         self.children, self.ends, self.allowed = [{}], {}, [0]
@@ -83,7 +82,26 @@ class Lexicon:
                 at = self.children[at][c]
                 self.allowed[at] = max(self.allowed[at], budget)
             self.ends[at] = (budget, t in self.strong)
-        self.start = self._closed({0: 0})
+        self._forget()
+
+    def _forget(self) -> None:
+        """Starts anew with the automaton's first state."""
+        self._number, self._states, self._follow, self._exact, self._near, self._steps = {}, [], [], [], [], 0
+        self._numbered(self._closed({0: 0}))
+
+    def _numbered(self, states: tuple) -> int:
+        """The number of a state set, -1 if it is empty. Notes whether a term ends there as it is (and is strong), and the fewest edits of one that ends."""
+        if not states:
+            return -1
+        if (at := self._number.get(states)) is None:
+            at = self._number[states] = len(self._states)
+            ends = [(e, *self.ends[node]) for node, e in states if node in self.ends]
+            exact = [strong for e, _, strong in ends if e == 0]
+            self._states.append(states)
+            self._follow.append({})
+            self._exact.append(any(exact) if exact else None)
+            self._near.append(min((e for e, budget, _ in ends if e <= budget), default=-1))
+        return at
 
     def _closed(self, states: dict[int, int]) -> tuple:
         """States with letters of a term left out of the word; the fewest edits of each node."""
@@ -112,24 +130,21 @@ class Lexicon:
 
         A term without edits may go on (it is a stem); with edits it must end where the word does.
         """
-        now, follow, stem = self.start, self._next, None
+        if self._steps > REMEMBERED:
+            self._forget()
+        at, follow, exact, stem = 0, self._follow, self._exact, None
         for c in word:
-            key = (now, c)
-            if (to := follow.get(key)) is None:
-                if len(follow) > REMEMBERED:
-                    follow.clear()
-                to = follow[key] = self.step(now, c)
-            if not to:
+            if (to := follow[at].get(c)) is None:
+                to = follow[at][c] = self._numbered(self.step(self._states[at], c))
+                self._steps += 1
+            if to < 0:
                 break
-            now = to
-            for node, e in now:
-                if e == 0 and node in self.ends:
-                    stem = bool(stem) or self.ends[node][1]
+            at = to
+            if exact[at] is not None:
+                stem = bool(stem) or exact[at]
         else:
-            if stem is None:
-                near = [e for node, e in now if node in self.ends and e <= self.ends[node][0]]
-                if near:
-                    return min(near), True
+            if stem is None and self._near[at] >= 0:
+                return self._near[at], True
         return (-1, False) if stem is None else (0, stem)
 
     def is_hit(self, word: str) -> tuple[float, str]:
@@ -396,6 +411,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Mode
 
 
 def _scored(model: Model):
+    @lean
     def run(batches):
         lexicon, seen, weights = Lexicon(model.strong, model.weak, frozenset(model.known)), {}, np.array(model.weights)
         for batch in batches:
