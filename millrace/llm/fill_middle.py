@@ -130,7 +130,7 @@ def fill_middle(docs: DataFrame, unit: str = "code_point", sentinels: tuple[str,
     """
     if unit not in UNITS:
         raise ValueError(f"unknown unit {unit}")
-    if any(not s or set(s) & set(SPACE) or any(s in t for t in sentinels if t is not s) or any(s.endswith(t[:k]) for t in sentinels for k in range(1, len(t))) for s in sentinels):
+    if len(set(sentinels)) < 3 or any(not s or set(s) & set(SPACE) or any(s in t for t in sentinels if t != s) or any(s.endswith(t[:k]) for t in sentinels for k in range(1, len(t))) for s in sentinels):
         raise ValueError("sentinels must be free of white space, of each other and of ends that begin one")
 
     def run(batches):
