@@ -6,8 +6,9 @@ holds the posting lists of the trigrams that queries name, in blocks of document
 outgrows a task; within each block the lists are intersected and united as the queries say, and only the
 documents left are verified by the regexes. A rule without mandatory trigrams scans every text.
 
-Defined results: null text counts as empty; spans count code points, end exclusive; a key block without an
-END line ends with the last character that a key's body can hold; a very long text costs in proportion to
+Defined results: null text counts as empty; spans count code points, end exclusive; a key block ends with its
+END line, if that is what the next five dashes begin; one without (cut short) with the last character that a
+key's body can hold, behind any header lines: base64 and signs of escaped, quoted or wrapped lines; a very long text costs in proportion to
 its length and the logarithm of its spans; repeated rows give repeated result rows; an empty table gives an
 empty result; columns besides doc_id and text are ignored by `scan`, kept by `redact`.
 """
@@ -44,6 +45,11 @@ class Rule:
     def java(self) -> str:
         return ("(?i)" if self.any_case else "") + self.regex
 
+    @property
+    def sql(self) -> str:
+        """Without possessive repeats, which only spare Java its stack: what follows them never needs a part of theirs."""
+        return self.regex.replace("*+", "*")
+
 
 # The base rules of the contract.
 BASE = (
@@ -51,9 +57,14 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", r"[0-9a-f]+", 0, 24),
 )
+# The marks of private keys, the header lines inside, and what a body can hold besides.
+_KEY = r"[A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+_HEADER = r"(?:Version|Comment|MessageID|Hash|Charset|Proc-Type|DEK-Info):[^\x0A\x0D\\]*"
+_BREAK = r"(?:[\x0A\x0D]|\\[nr])[\x20\x09\x0A\x0D>]*"
+PEM = rf"-----BEGIN {_KEY}(?:(?:-{{0,4}}[^-])*+-----+END {_KEY}|(?:{_BREAK}{_HEADER})*+[A-Za-z0-9+/=:,>\"'\\\x20\x09-\x0D-]*)"
 #: What the method adds: rules whose trigram queries are selective.
 ADDED = (
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*(?:-[^-]+){0,9}-----END [A-Z ]*PRIVATE KEY-----|[A-Za-z0-9+/=:,\x20\x09-\x0D-]*)", base=False),
+    Rule("pem", PEM, base=False),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", base=False),
     Rule("hub", r"gh[pousr]_[A-Za-z0-9]{36,}", base=False),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", base=False),
@@ -389,4 +400,4 @@ SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0
 FROM d LEFT JOIN a USING (doc_id)
 """
 for _r in RULES:
-    SQL = SQL.replace("{%s}" % _r.kind, _r.regex.replace("'", "''"))
+    SQL = SQL.replace("{%s}" % _r.kind, _r.sql.replace("'", "''"))

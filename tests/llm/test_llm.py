@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -143,6 +144,18 @@ def test_chat_odd(spark):
     assert got[1].turns_sha256 == hashlib.sha256(b"\n\nassistant\na\nassistant\na\n").hexdigest()
 
 
+def test_tied_turns_come_by_text_not_by_its_rendering(spark, duck, rows_of):
+    texts = ["a", "a!", "", "<|im_end|>", "<|im", "<", "<\\|im_end|>", "a<|im_start|>b", "<x"]
+    rows = [(1, 0, "user", t) for t in texts] + [(2, None, "assistant", t) for t in reversed(texts)] + [(1, 0, "user", "a!")] * 2
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    got = {r.conv_id: r for r in chat_format.chat_roundtrip(turns).collect()}
+    assert got[1].turns_sha256 == hashlib.sha256("".join(f"user\n{t}\n" for t in sorted([*texts, "a!", "a!"])).encode()).hexdigest()
+    con = duck.cursor()
+    frame = turns.toPandas().astype({"turn": "Int64"})
+    con.register("conversations_here", frame)
+    assert rows_of(chat_format.chat_roundtrip(turns).toPandas()) == rows_of(con.execute(chat_format.SQL.replace("FROM conversations", "FROM conversations_here")).df())
+
+
 # ---- 3
 
 
@@ -244,6 +257,25 @@ def test_templated_pages_link_nothing(spark):
     assert ngram_join.ngram_jaccard(docs).where("component_id <> doc_id").count() == 0
 
 
+def test_pages_just_below_the_threshold(spark):
+    """More than a block of pages of one template, all close and none linked: no set is compared with its own copy."""
+    rng = random.Random(11)
+    common = [f"c{i}" for i in range(100)]
+    docs = spark.createDataFrame([(i, " ".join(common + [f"p{i}x{rng.randrange(9)}y{j}" for j in range(9)])) for i in range(2200)], "doc_id long, text string")
+    begun = time.time()
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(docs, 3, 90).collect()}
+    assert got == {i: i for i in range(2200)} and time.time() - begun < 150
+
+
+def test_own_copies_stay_out_of_the_product():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**63, 100, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base, rng.integers(0, 2**63, 10, dtype=np.uint64)])) for _ in range(300)]
+    both, side, node = sets + sets[:150], np.repeat([0, 1], [300, 150]), np.concatenate([np.arange(300), np.arange(150)])
+    assert ngram_join.spanning(450, ngram_join.Product(both, 90, side, node)) == []
+    assert len(ngram_join.spanning(450, ngram_join.Product(both, 90, side))) == 150
+
+
 def test_a_large_group_of_near_copies(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK_BYTES", 20_000)
     rng = random.Random(9)
@@ -459,6 +491,36 @@ def test_key_blocks_go_whole(spark):
     assert got[0] == "a [secret] b" and got[1] == "a [secret]. and on" and got[2] == "[secret][secret]" and got[4] == "é[secret]" and "Zz09" not in "".join(got.values())
 
 
+PEM_HEAD, PEM_END = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+PGP = "-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: GnuPG v1.4.11 (GNU/Linux)\nComment: by hand; see https://example.org\n\nlQOYBEZz09\n=aB3d\n"
+
+
+@pytest.mark.parametrize("key", [
+    PEM_HEAD + "\nA-b.c-d-e-f-g-h-i-j-k-l-m--n---o----p\nZz09\n" + PEM_END,  # many dashes
+    PEM_HEAD + "\n" + "-\n" * 60_000 + "Zz09" + PEM_END,
+    PEM_HEAD + "\nZz09\n-" + PEM_END,  # six dashes before END
+    "-----BEGIN PRIVATE KEY-----\\nMIIEABCDEFZz09\\nDEFZz09\\r\\n",  # escaped and cut short
+    "-----BEGIN PRIVATE KEY-----\\nMIIEZz09\\n-----END PRIVATE KEY-----\\n",
+    "-----BEGIN PRIVATE KEY-----\n> MIIEZz09\n> abcZz09\n",  # quoted and cut short
+    "-----BEGIN EC PRIVATE KEY-----\n\tMIIEZz09\n   Zz09==\n",
+    "-----BEGIN PRIVATE KEY-----\" +\n  \"MIIEZz09\" +\n",  # of a program's text
+    PGP + "-----END PGP PRIVATE KEY BLOCK-----",
+    PGP,
+    PGP.replace("\n", "\\n"),
+    PEM_HEAD + "\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,AB12\n\nZz09\n",
+    PEM_HEAD + "\nZz09\n" + PEM_HEAD + "\nZz09\n" + PEM_END,  # cut short, then a whole one
+])
+def test_no_part_of_a_key_stays(spark, duck, rows_of, key):
+    docs = spark.createDataFrame([(1, f"before {key}! after (1)"), (2, f"{key}"), (3, f"{key}é {key}")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in secret_scan.redact(docs).collect()}
+    assert all("Zz09" not in t and "BEGIN" not in t and "END" not in t for t in got.values())
+    assert got[1].startswith("before [secret]") and got[1].endswith("! after (1)") and "é" in got[3]
+    con = duck.cursor()
+    frame = docs.toPandas()
+    con.register("documents_here", frame)
+    assert rows_of(secret_scan.scan(docs).toPandas()) == rows_of(con.execute(secret_scan.SQL.replace("FROM documents", "FROM documents_here")).df())
+
+
 def test_many_spans_cost_no_square(spark):
     text = " ".join("%032x" % (i * 7919) for i in range(30_000))
     docs = spark.createDataFrame([(1, text), (2, "password = hunter22 eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.abc token=eyJhbGciOiJIUzI1NiJ9")], "doc_id long, text string")
