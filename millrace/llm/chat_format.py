@@ -5,9 +5,9 @@ deterministic parser; where the parsed turn isn't the source's, or the parser fi
 where none belongs, the conflicting parts are escaped (`<|` behind `<` gets a backslash, backslashes
 in between one more, in a role line ends too) and the turn is parsed again until both are identical.
 
-Rendering works row by row. Reading back streams each conversation's text in order through the
-parser: the grammar alone tells the turns apart, and one turn is in memory at a time, so a long
-conversation needs no room; only its digests are sequential.
+A conversation's rows meet in one task, in order, and are rendered row by row. Reading back streams its
+text through the parser: the grammar alone tells the turns apart, and one turn is in memory at a time, so a
+long conversation needs no room; only its digests are sequential.
 
 Defined results: null text and null role count as empty; turns that are equal in number come by role,
 then text; a null conv_id is a conversation of its own; null turns come first; an empty table gives an
@@ -99,8 +99,12 @@ def _rendered(batches):
 
 
 def rendered(turns: DataFrame) -> DataFrame:
-    """conv_id, turn, role and the rendered text of each turn; a conversation's text is theirs in order."""
+    """conv_id, turn, role and the rendered text of each turn, conversations in order within partitions.
+
+    The order is that of turn, role and text as they were, not as they are rendered.
+    """
     clean = in_batches(turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))
+    clean = clean.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return clean.mapInArrow(_rendered, clean.select("conv_id", "turn", "role").schema.add("rendered", "string"))
 
 
@@ -152,13 +156,11 @@ def _read_back(batches):
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Digests of each conversation, from its rendered text alone."""
-    # Rows of a conversation meet in one task in order; it streams them.
-    ordered = formatted.select("conv_id", "turn", "role", "rendered").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "rendered")
+    """Digests of each conversation, from its rendered text alone; rows come as `rendered` orders them, and are streamed."""
     schema = formatted.select("conv_id").schema
     for name, kind in zip(_COLUMNS, ("long", "string", "long", "string", "long")):
         schema = schema.add(name, kind)
-    return ordered.select("conv_id", "rendered").mapInArrow(_read_back, schema)
+    return formatted.select("conv_id", "rendered").mapInArrow(_read_back, schema)
 
 
 def chat_roundtrip(turns: DataFrame) -> DataFrame:
