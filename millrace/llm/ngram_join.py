@@ -373,11 +373,12 @@ class Product:
     """Links among sets by the sparse product of their incidence, rows against columns.
 
     A column block at a time: for every gram of a row the sets that hold it are counted, and pairs
-    go whose count cannot reach the bound any more with what is left of both sets.
+    go whose count cannot reach the bound any more with what is left of both sets. With `side` only sets of
+    two sides meet, and no set its own copy there: `node` tells which are the same.
     """
 
-    def __init__(self, sets: list[np.ndarray], t: int, side: np.ndarray | None = None, blocks: int = 8):
-        self.size, self.t, self.side = np.array([len(s) for s in sets], np.int64), t, side
+    def __init__(self, sets: list[np.ndarray], t: int, side: np.ndarray | None = None, node: np.ndarray | None = None, blocks: int = 8):
+        self.size, self.t, self.side, self.node = np.array([len(s) for s in sets], np.int64), t, side, np.arange(len(sets)) if node is None else node
         cols, counts = np.unique(np.concatenate(sets), return_counts=True)
         cols = cols[counts > 1]
         at = [np.searchsorted(cols, s) for s in sets]
@@ -403,7 +404,7 @@ class Product:
         shared = np.array([len(c) for c in self.cols])
         alive = np.minimum(shared[rows][:, None], shared[others][None, :]) >= need
         if self.side is not None:
-            alive &= self.side[rows][:, None] != self.side[others][None, :]
+            alive &= (self.side[rows][:, None] != self.side[others][None, :]) & (self.node[rows][:, None] != self.node[others][None, :])
         total = np.zeros(alive.shape, np.int32)
         for low, high in zip(self.cuts, self.cuts[1:]):
             ways = np.flatnonzero(alive.any(1))
@@ -433,7 +434,7 @@ def _links(k: int, t: int):
         sets = gram_sets([x.encode() for x in pdf["text"]], k)
         node, side = pdf["node"].tolist(), pdf["side"].to_numpy()
         forest, out = Forest(), []
-        for a, b in spanning(len(sets), Product(sets, t, side if side.any() else None)):
+        for a, b in spanning(len(sets), Product(sets, t, side if side.any() else None, pd.factorize(pdf["node"])[0])):
             if node[a] != node[b] and forest.join(node[a], node[b]):
                 out.append((node[a], node[b]))
         return pd.DataFrame(out, columns=["a", "b"])
