@@ -1,6 +1,7 @@
 """Permissions and the authorization gate: deny by default, caps by category, an audit trail.
 
-An owner's permission for a category is the last one set; without one the level is `recommend`.
+An owner's permission for a category is the last one set; without one the level is `recommend`. A request in
+the log meets the one in force at its place (`authorize_at`), one from outside the log the last of all (`authorize`).
 Categories match trimmed and in lower case.
 """
 
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.text import category
+from millrace.operators.ordered import HOT_ROWS, as_of
 
 # The levels, in order, and the default.
 LEVELS = ("observe", "recommend", "act")
@@ -49,9 +51,23 @@ def authorize(requests: DataFrame, permissions: DataFrame) -> DataFrame:
     No level `act` is denied; then an amount over a cap; all else is allowed. A null amount passes, a
     cap of 0 is a cap.
     """
+    return _decided(with_permission(requests, permissions).drop("pcat"))
+
+
+def authorize_at(requests: DataFrame, entries: DataFrame, hot: int = HOT_ROWS) -> DataFrame:
+    """The same by what was in force at each request: the last valid entry of its owner and category not after it by seq.
+
+    requests and entries share an owner's seq; entries are as set, of any level. Later overrides change nothing before them.
+    """
+    held = valid_permissions(entries).withColumnRenamed("category", "pcat")
+    found = as_of(requests.withColumn("pcat", category(F.col("category"))), held, ["owner_id", "pcat"], "seq", ["level", "cap"], hot=hot)
+    return _decided(found.withColumns({"level": F.coalesce("found.level", F.lit(DEFAULT)), "cap": F.col("found.cap")}).drop("pcat", "found"))
+
+
+def _decided(asked: DataFrame) -> DataFrame:
     over = F.coalesce(F.col("amount") > F.col("cap"), F.lit(False))
     reason = F.when(F.col("level") != "act", "level").when(over, "cap").otherwise("granted")
-    return with_permission(requests, permissions).drop("pcat").withColumn("reason", reason).withColumn("allowed", F.col("reason") == "granted")
+    return asked.withColumn("reason", reason).withColumn("allowed", F.col("reason") == "granted")
 
 
 def denials(decisions: DataFrame) -> DataFrame:

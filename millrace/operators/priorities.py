@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import generic, holds
+from millrace.operators.ordered import containing
 from millrace.sources.shared import small
 
 # Learning rates, the flip threshold, first confidences.
@@ -26,6 +27,8 @@ REINFORCE, CONTRADICT, FLIP_BELOW = 0.15, 0.30, 0.25
 FIRST, TURNED = 55, 50
 #: Events of a key beyond which its fold is split into ranges of seq.
 HOT_KEY = 200_000
+#: Pairs of an owner's topics and texts that are tested one by one; beyond it an index finds those that match.
+PRODUCT = 50_000_000
 KEY = ["owner_id", "ckey", "a", "b"]
 
 
@@ -163,13 +166,23 @@ def topical(topic: Column, context: Column) -> Column:
 TOPIC = ["owner_id", "topic_id"]
 
 
-def _matches(topics: DataFrame, texts: DataFrame, column: str, test) -> DataFrame:
-    """owner_id, asked, and the owner's texts that pass the test: each distinct pair of both is tested once.
+def _matches(topics: DataFrame, texts: DataFrame, column: str, both: bool) -> DataFrame:
+    """owner_id, asked, and the owner's texts that bear on it: texts that hold it, and with `both` texts in it and generic ones.
 
-    An owner of very many texts is a skewed key of this join, which adaptive execution splits.
+    Distinct pairs are tested one by one while there are few of them in all; beyond PRODUCT they come from an index of
+    grams, so an owner of very many texts and topics costs what it finds.
     """
     asked, held = topics.select("owner_id", "asked").distinct(), texts.select("owner_id", column).distinct()
-    return asked.join(held, "owner_id").where(test(F.col("asked"), F.col(column)))
+    counts = asked.groupBy("owner_id").count().join(held.groupBy("owner_id").agg(F.count("*").alias("n")), "owner_id")
+    if (counts.agg(F.sum(F.col("count").cast("double") * F.col("n"))).first()[0] or 0) <= PRODUCT:
+        return asked.join(held, "owner_id").where(topical(F.col("asked"), F.col(column)) if both else holds(F.col(column), F.col("asked")))
+    topic, text = asked.withColumnRenamed("asked", "needle"), held.withColumnRenamed(column, "text")
+    found = containing(topic, text).select("owner_id", F.col("needle").alias("asked"), F.col("text").alias(column))
+    if both:
+        turned = containing(text.withColumnRenamed("text", "needle"), topic.withColumnRenamed("needle", "text"))
+        found = found.unionByName(turned.select("owner_id", F.col("text").alias("asked"), F.col("needle").alias(column)))
+        found = found.unionByName(asked.join(held.where(generic(F.col(column))), "owner_id").select("owner_id", "asked", column)).distinct()
+    return found
 
 
 def _asked(topics: DataFrame) -> DataFrame:
@@ -182,14 +195,14 @@ def basis_priorities(topics: DataFrame, priorities: DataFrame) -> DataFrame:
     A topic is known by owner and id; contexts are compared within owners only. Topics without any stay out.
     """
     every = _asked(topics)
-    joined = every.join(_matches(every, priorities, "context", topical), ["owner_id", "asked"]).join(priorities, ["owner_id", "context"]).drop("asked")
+    joined = every.join(_matches(every, priorities, "context", True), ["owner_id", "asked"]).join(priorities, ["owner_id", "context"]).drop("asked")
     return joined.withColumn("place", F.row_number().over(Window.partitionBy(*TOPIC).orderBy(F.desc("confidence"), "seq")))
 
 
 def basis_facts(topics: DataFrame, facts: DataFrame) -> DataFrame:
     """topics with each fact of the owner that contains it, in stored order."""
     every = _asked(topics)
-    return every.join(_matches(every, facts, "fact", lambda t, f: holds(f, t)), ["owner_id", "asked"]).join(facts, ["owner_id", "fact"]).drop("asked")
+    return every.join(_matches(every, facts, "fact", False), ["owner_id", "asked"]).join(facts, ["owner_id", "fact"]).drop("asked")
 
 
 def explain_basis(topics: DataFrame, priorities: DataFrame, facts: DataFrame) -> DataFrame:

@@ -90,12 +90,38 @@ def requests(spark: SparkSession, d: str) -> DataFrame:
     return o.select((F.col("o_custkey") % 150).alias("owner_id"), n.alias("seq"), F.col("o_orderpriority").alias("category"), F.concat(F.lit("order "), n.cast("string")).alias("description"), amount.alias("amount"))
 
 
+def permission_log(spark: SparkSession, d: str) -> DataFrame:
+    """Every seventh order as a setting among the requests, so that later ones override earlier ones."""
+    o, n = table(spark, d, "orders"), F.col("o_orderkey")
+    cap = F.when(n % 4 > 0, (n % 11 * 50000).cast("double"))
+    return o.where(n % 7 == 0).select((F.col("o_custkey") % 150).alias("owner_id"), n.alias("seq"), F.concat(F.lit(" "), F.upper("o_orderpriority")).alias("category"), pick(F.col("o_custkey"), *LEVELS_SET).alias("level"), cap.alias("cap"))
+
+
+def logged_requests(spark: SparkSession, d: str) -> DataFrame:
+    return requests(spark, d).where(F.col("seq") % 7 > 0)
+
+
+NEEDLES = {"forget": ("RING", "st", "zzz", "economy", "", "a"), "close": ("HIGH", "order 1", "urgent", "5-low", "r 7", "9"), "resolve": ("part 1", "PART 12", "7", "art 9", "33", "0")}
+#: How far apart an owner's commands of a kind are, so that they stand among the rows they change.
+STRIDE = {"forget": 1, "close": 10, "resolve": 80}
+
+
+def commands(spark: SparkSession, d: str) -> DataFrame:
+    """owner_id, seq, kind, needle, outcome: one of each customer, over the places of the rows they change."""
+    c, n = table(spark, d, "customer"), F.col("c_custkey")
+    kinds = tuple(NEEDLES)
+    kind, third = pick(n, *kinds), F.floor(n / 3).cast("long")
+    each = lambda f: F.when(F.col("kind") == kinds[0], f(kinds[0])).when(F.col("kind") == kinds[1], f(kinds[1])).otherwise(f(kinds[2]))
+    named = c.select((n % 150).alias("owner_id"), n.alias("n"), kind.alias("kind"), third.alias("third"))
+    return named.select("owner_id", (F.col("n") * each(lambda k: F.lit(STRIDE[k]))).alias("seq"), "kind", each(lambda k: pick(F.col("third"), *NEEDLES[k])).alias("needle"), F.when(F.col("third") % 2 == 0, "late").alias("outcome"))
+
+
 def actions(spark: SparkSession, d: str) -> DataFrame:
     return requests(spark, d).select("owner_id", "seq", F.concat(F.lit(" "), "category").alias("category"), "description", "amount", pick(F.col("seq"), "done", "failed", "asked").alias("outcome"))
 
 
 def observations(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").where(F.col("event_type").isin("view", "error"))
+    e = table(spark, d, "events")
     return e.select(F.col("user_id").alias("owner_id"), F.col("event_id").alias("seq"), F.concat(F.lit(" "), "event_type", F.lit(" seen ")).alias("note"), F.when(F.col("event_id") % 2 == 0, F.lit(" Log ")).alias("category"), "ts")
 
 
@@ -149,7 +175,14 @@ SQL = {
     "requests": f"SELECT o_custkey % 150 AS owner_id, o_orderkey AS seq, o_orderpriority AS category, 'order ' || o_orderkey AS description, {_ORDERS_AMOUNT} AS amount FROM orders",
     "decisions": "SELECT r.*, coalesce(p.level, 'recommend') AS level, p.cap, CASE WHEN coalesce(p.level, 'recommend') <> 'act' THEN 'level' WHEN coalesce(r.amount > p.cap, false) THEN 'cap' ELSE 'granted' END AS reason FROM requests r LEFT JOIN permissions p ON r.owner_id = p.owner_id AND lower(trim(r.category)) = p.category",
     "actions": f"SELECT owner_id, seq, lower(category) AS category, description, amount, {sql_pick('seq', 'done', 'failed', 'asked')} AS outcome FROM requests",
-    "observations": "SELECT user_id AS owner_id, event_id AS seq, event_type || ' seen' AS note, CASE WHEN event_id % 2 = 0 THEN ' Log ' ELSE 'general' END AS category, ts FROM events WHERE event_type IN ('view', 'error')",
+    "observations": "SELECT user_id AS owner_id, event_id AS seq, event_type || ' seen' AS note, CASE WHEN event_id % 2 = 0 THEN ' Log ' ELSE 'general' END AS category, ts FROM events",
+    "permission_log": f"SELECT o_custkey % 150 AS owner_id, o_orderkey AS seq, lower(o_orderpriority) AS category, {sql_pick('o_custkey', *LEVELS_SET)} AS level, CASE WHEN o_orderkey % 4 > 0 THEN (o_orderkey % 11 * 50000)::DOUBLE END AS cap FROM orders WHERE o_orderkey % 7 = 0",
+    "decisions_at": "SELECT r.*, coalesce(p.level, 'recommend') AS level, p.cap, CASE WHEN coalesce(p.level, 'recommend') <> 'act' THEN 'level' WHEN coalesce(r.amount > p.cap, false) THEN 'cap' ELSE 'granted' END AS reason FROM (SELECT *, lower(category) AS pcat FROM requests WHERE seq % 7 > 0) r ASOF LEFT JOIN (SELECT * FROM permission_log WHERE level IN ('observe', 'recommend', 'act')) p ON r.owner_id = p.owner_id AND r.pcat = p.category AND r.seq >= p.seq",
+    "commands": f"SELECT c_custkey % 150 AS owner_id, c_custkey * CASE c_custkey % 3 " + " ".join(f"WHEN {i} THEN {STRIDE[k]}" for i, k in enumerate(NEEDLES)) + f" END AS seq, {sql_pick('c_custkey', *NEEDLES)} AS kind, CASE c_custkey % 3 " + " ".join(f"WHEN {i} THEN {sql_pick('(c_custkey // 3)', *NEEDLES[k])}" for i, k in enumerate(NEEDLES)) + " END AS needle, CASE WHEN c_custkey // 3 % 2 = 0 THEN 'late' ELSE 'done' END AS outcome FROM customer",
+    "due": "SELECT * FROM commands WHERE needle <> ''",
+    "fact_hits": "SELECT f.*, (SELECT min(c.seq) FROM due c WHERE c.kind = 'forget' AND c.owner_id = f.owner_id AND c.seq > f.seq AND contains(lower(f.fact), lower(c.needle))) AS hit FROM facts f",
+    "goal_hits": "SELECT g.*, (SELECT min(c.seq) FROM due c WHERE g.active AND c.kind = 'close' AND c.owner_id = g.owner_id AND c.seq > g.seq AND contains(lower(g.goal), lower(c.needle))) AS hit FROM goals g",
+    "opportunity_hits": "SELECT o.owner_id, o.seq, x.seq AS hit, x.outcome FROM (SELECT o.*, (SELECT min({'seq': c.seq, 'outcome': c.outcome}) FROM due c WHERE c.kind = 'resolve' AND c.owner_id = o.owner_id AND c.seq > o.seq AND contains(lower(o.what), lower(c.needle))) AS x FROM opportunities o) o",
     "raw_opportunities": "SELECT l_suppkey % 150 AS owner_id, l_orderkey * 8 + l_linenumber AS seq, 'part ' || l_partkey AS what, l_returnflag = 'R' AS aligned, l_linestatus = 'O' AS goal, l_quantity > 25 AS risk, CASE WHEN (l_orderkey * 8 + l_linenumber) % 17 > 0 THEN least(greatest((((l_quantity * 7)::BIGINT + l_orderkey * 8 + l_linenumber) % 25) * 5 - 10, 0), 100) ELSE 50 END AS hundredths FROM lineitem",
     "opportunities": "SELECT *, CASE WHEN score >= 75 THEN 'interrupt' WHEN score >= 40 THEN 'brief' ELSE 'hold' END AS status FROM (SELECT owner_id, seq, what, risk, hundredths, 20 + 25 * aligned::INT + 20 * goal::INT + 15 * risk::INT + hundredths // 5 AS score FROM raw_opportunities)",
     "messages": f"SELECT doc_id % 150 AS owner_id, doc_id AS msg_id, [NULL, '', 'your click on the cost', ' '][(CASE doc_id % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE doc_id % 4 + 1 END)::INT] AS subject, coalesce(text, '') || chr(10) || {sql_pick('doc_id', *TEMPLATES)} AS body FROM documents",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import labels as L
-from millrace.operators import forms, gate, opportunities, priorities, records, triage, views
+from millrace.operators import commands, forms, gate, opportunities, priorities, records, triage, views
 from millrace.plans import inputs as I
 from millrace.sources import store
 from millrace.sources.shared import shared_dir
@@ -179,6 +179,15 @@ def gate_denials(s, d):
     return gate.denials(gate.authorize(I.requests(s, d), _permissions(s, d)))
 
 
+def gate_authorize_at(s, d):
+    """Each request by the permission in force at its place in the log."""
+    return gate.authorize_at(I.logged_requests(s, d), I.permission_log(s, d)).select("owner_id", "seq", "category", "level", "cap", "reason", "allowed")
+
+
+def gate_denials_at(s, d):
+    return gate.denials(gate.authorize_at(I.logged_requests(s, d), I.permission_log(s, d)))
+
+
 def actions_log(s, d):
     return records.log_actions(I.actions(s, d))
 
@@ -218,6 +227,25 @@ def opportunities_top(s, d):
     return opportunities.pending(_scored(s, d), 10).select("owner_id", "seq", "place")
 
 
+# ---- commands in the log
+
+
+def facts_forget_log(s, d):
+    return commands.facts_after(_facts(s, d), I.commands(s, d)).select("owner_id", "seq", "fact")
+
+
+def goals_close_log(s, d):
+    return commands.goals_after(_goals(s, d), I.commands(s, d)).select("owner_id", "seq", "active", "closed_by")
+
+
+def opportunities_resolve_log(s, d):
+    return commands.opportunities_after(_scored(s, d), I.commands(s, d)).select("owner_id", "seq", "resolved", "outcome", "resolved_by")
+
+
+def commands_counts(s, d):
+    return commands.command_counts(I.commands(s, d), _facts(s, d), _goals(s, d), _scored(s, d)).select("owner_id", "seq", "kind", "needle", "changed")
+
+
 # ---- triage
 
 
@@ -345,7 +373,7 @@ def store_appended(s, d):
 QUERIES = {f.__name__: f for f in (
     priorities_fold, priorities_stream, priorities_set, priority_lookup, priorities_for, basis_priorities, basis_facts, explain_basis, corrections_count,
     facts_remember, facts_remember_once, facts_forget, facts_forget_count, goals_add, goals_close, goals_close_count, goals_active, observations_log, observations_newest,
-    permissions_current, permissions_audit, permissions_rejected, permission_lookup, gate_authorize, gate_denials, actions_log, actions_newest, actions_all, actions_but_oldest,
+    permissions_current, permissions_audit, permissions_rejected, permission_lookup, gate_authorize, gate_denials, gate_authorize_at, gate_denials_at, facts_forget_log, goals_close_log, opportunities_resolve_log, commands_counts, actions_log, actions_newest, actions_all, actions_but_oldest,
     opportunities_score, opportunities_resolve, opportunities_resolve_count, opportunities_pending, opportunities_top, triage_messages, triage_verdicts, triage_priorities,
     labels_normalize, profile_fields, profile_forget, forms_classify, forms_fill, forms_refused, references, draft_guidance, owner_states, daily_brief, snapshot,
     store_saved, store_loaded, store_broken, store_appended,

@@ -153,6 +153,12 @@ ORACLE = {
     "actions_all": f"SELECT owner_id, seq, {_PLACE.format('owner_id', 'seq DESC')} AS place FROM actions",
     "actions_but_oldest": f"SELECT owner_id, seq, place FROM (SELECT owner_id, seq, {_PLACE.format('owner_id', 'seq DESC')} AS place, {_PLACE.format('owner_id', 'seq')} AS age FROM actions) WHERE age > 3",
     "opportunities_score": "SELECT owner_id, seq, what, score, status FROM opportunities",
+    "gate_authorize_at": "SELECT owner_id, seq, category, level, cap, reason, reason = 'granted' AS allowed FROM decisions_at",
+    "gate_denials_at": "SELECT owner_id, seq, lower(category) AS category, description, amount, level, cap, 'denied: ' || reason AS outcome FROM decisions_at WHERE reason <> 'granted'",
+    "facts_forget_log": "SELECT owner_id, seq, fact FROM fact_hits WHERE hit IS NULL",
+    "goals_close_log": "SELECT owner_id, seq, active AND hit IS NULL AS active, hit AS closed_by FROM goal_hits",
+    "opportunities_resolve_log": "SELECT owner_id, seq, hit IS NOT NULL AS resolved, outcome, hit AS resolved_by FROM opportunity_hits",
+    "commands_counts": "SELECT c.owner_id, c.seq, c.kind, c.needle, count(h.hit) AS changed FROM commands c LEFT JOIN (SELECT owner_id, hit, 'forget' AS kind FROM fact_hits UNION ALL SELECT owner_id, hit, 'close' FROM goal_hits UNION ALL SELECT owner_id, hit, 'resolve' FROM opportunity_hits) h ON h.owner_id = c.owner_id AND h.hit = c.seq AND h.kind = c.kind GROUP BY ALL",
     "opportunities_resolve": "SELECT owner_id, seq, contains(what, 'part 1') AS resolved, CASE WHEN contains(what, 'part 12') THEN 'done' WHEN contains(what, 'part 1') THEN 'late' END AS outcome FROM opportunities",
     "opportunities_resolve_count": "SELECT owner_id, count(*) FILTER (contains(what, 'part 12')) AS resolved FROM opportunities GROUP BY owner_id",
     "opportunities_pending": f"SELECT owner_id, seq, score, {_PLACE.format('owner_id', 'score DESC, seq')} AS place FROM opportunities WHERE NOT contains(what, 'part 12')",
