@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 from millrace.llm.shared import in_batches, keyed_join, settled, slices
 
 #: Training documents for each language at most, the first by a hash of their ids; languages that a model may have.
-PER_LANGUAGE, MOST_LANGUAGES = 2_000, 1_000
+PER_LANGUAGE, MOST_LANGUAGES = 2_000, 2_000
+#: Likelihoods (trigrams by languages) that a task holds at once, about.
+CELLS = 4_000_000
 #: Trigram buckets, additive smoothing, rounds of expectation-maximisation, log-likelihood that another language has to add for each log of the words.
 BUCKETS, SMOOTH, ROUNDS, PENALTY = 1 << 15, 0.2, 12, 3.0
 
@@ -72,17 +74,15 @@ def _counts(frames):
         yield pd.DataFrame({"lang": lang, "bucket": at.astype(np.int32), "n": n[at].astype(np.int64)})
 
 
-def sampled_ids(known: DataFrame, per_language: int) -> DataFrame:
-    """(sampled, lang): of each language the `per_language` first ids by hash.
+def sampled_ids(known: DataFrame, per_language: int) -> tuple[DataFrame, DataFrame]:
+    """(sampled, lang): of each language the `per_language` first ids by hash; and (lang), the languages that are learned.
 
     Only ids whose hash is under a bound are ranked. The bound leaves each language twice as many as asked, by
     its count; where repeated ids make that too few, it grows until there are enough or all are ranked.
     """
     hashed = known.select("doc_id", "lang", ((F.xxhash64("doc_id", F.lit(5)) / 2.0**64) + 0.5).alias("h"))
     counts = hashed.groupBy("lang").agg(F.count("*").alias("n"))
-    if counts.limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    counts = settled(counts)
+    counts = settled(counts.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES))
     times = 2
     while True:
         limit = F.broadcast(counts.select("lang", (F.lit(float(times * per_language + 100)) / F.col("n")).alias("limit")))  # MOST_LANGUAGES rows at most
@@ -93,36 +93,61 @@ def sampled_ids(known: DataFrame, per_language: int) -> DataFrame:
         times *= 16
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
     ranked = few.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language)
-    return settled(ranked.select(F.col("doc_id").alias("sampled"), "lang").distinct())
+    return settled(ranked.select(F.col("doc_id").alias("sampled"), "lang").distinct()), counts.select("lang")
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
     """Languages, and the log-probability of each bucket under each; from a bounded sample of labelled rows."""
     known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    ids = sampled_ids(known, per_language).select("sampled").distinct()
-    sample = keyed_join(known.select(F.col("doc_id").alias("sampled"), "text", "lang"), ids, "sampled", "left_semi")
+    ids, kept = sampled_ids(known, per_language)
+    sample = keyed_join(known.select(F.col("doc_id").alias("sampled"), "text", "lang").join(F.broadcast(kept), "lang", "left_semi"), ids.select("sampled").distinct(), "sampled", "left_semi")
     # At most MOST_LANGUAGES x BUCKETS rows.
     table = sample.select("lang", "text").mapInPandas(_counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(table["lang"].unique())
-    counts = np.full((len(langs), BUCKETS), SMOOTH)
-    for k, lang in enumerate(langs):
-        own = table[table["lang"] == lang]
-        counts[k, own["bucket"]] += own["n"]
-    return langs, np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32)
+    # By bucket in memory, as words look it up.
+    logs = np.empty((len(langs), BUCKETS), np.float32, order="F")
+    for lang, own in table.groupby("lang"):
+        counts = np.full(BUCKETS, SMOOTH)
+        counts[own["bucket"]] += own["n"]
+        logs[langs.index(lang)] = np.log(counts / counts.sum())
+    return langs, logs
 
 
-def mixtures(like: np.ndarray, doc: np.ndarray, n: int, allowed: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Shares of the allowed languages (n documents by languages), log-likelihoods, and what any mixture adds to these at most."""
+def mixtures(blocks, doc: np.ndarray, n: int, allowed: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shares of the allowed languages (n documents by languages), log-likelihoods, and what any mixture adds to these at most.
+
+    blocks() gives ranges of words with their likelihoods.
+    """
     words = np.maximum(np.bincount(doc, minlength=n), 1)
-    langs = like.shape[1]
+    langs = allowed.shape[1]
+    by_doc = lambda own, x: np.stack([np.bincount(own, x[:, k], n) for k in range(langs)], 1)
     share = allowed / allowed.sum(1, keepdims=True)
     for _ in range(rounds):
-        part = share[doc] * like
-        part /= part.sum(1, keepdims=True)
-        share = np.stack([np.bincount(doc, part[:, k], n) for k in range(langs)], 1) / words[:, None]
-    mixed = np.maximum((share[doc] * like).sum(1), 1e-300)
-    slope = np.stack([np.bincount(doc, like[:, k] / mixed, n) for k in range(langs)], 1)
-    return share, np.bincount(doc, np.log(mixed), n), slope.max(1) - words
+        sums = np.zeros((n, langs))
+        for i, j, like in blocks():
+            part = share[doc[i:j]] * like
+            part /= part.sum(1, keepdims=True)
+            sums += by_doc(doc[i:j], part)
+        share = sums / words[:, None]
+    fit, slope = np.zeros(n), np.zeros((n, langs))
+    for i, j, like in blocks():
+        mixed = np.maximum((share[doc[i:j]] * like).sum(1), 1e-300)
+        fit += np.bincount(doc[i:j], np.log(mixed), n)
+        slope += by_doc(doc[i:j], like / mixed[:, None])
+    return share, fit, slope.max(1) - words
+
+
+def word_blocks(buckets: np.ndarray, starts: np.ndarray, table: np.ndarray):
+    """A function that goes through (from, to, log-likelihoods by language) of blocks of words; one block is worked out once."""
+    by_bucket, ends = np.ascontiguousarray(table.T), np.append(starts[1:], len(buckets))
+    most, cuts = max(1, CELLS // table.shape[0]), [0]
+    while cuts[-1] < len(starts):
+        at = cuts[-1]
+        cuts.append(max(at + 1, int(np.searchsorted(ends, starts[at] + most, "right"))))
+    made = lambda i, j: np.add.reduceat(by_bucket[buckets[starts[i] : ends[j - 1]]], starts[i:j] - starts[i], axis=0, dtype=np.float64)
+    every = list(zip(cuts, cuts[1:]))
+    held = [(i, j, made(i, j)) for i, j in every] if len(every) == 1 else None
+    return lambda: held or ((i, j, made(i, j)) for i, j in every)
 
 
 def infer(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -132,32 +157,43 @@ def infer(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     buckets, starts, doc = words_of(texts)
     if not len(starts):
         return best, score, many
-    log = np.add.reduceat(np.ascontiguousarray(table.T)[buckets], starts, axis=0, dtype=np.float64)
+    logs = word_blocks(buckets, starts, table)
+    by_doc = lambda own, x: np.stack([np.bincount(own, x[:, k], n) for k in range(langs)], 1)
     words = np.bincount(doc, minlength=n)
-    single = np.stack([np.bincount(doc, log[:, k], n) for k in range(langs)], 1)
+    single = sum(by_doc(doc[i:j], log) for i, j, log in logs())
     first, worth = single.argmax(1), single.max(1)
     best[words > 0], score[words > 0], many[words > 0] = first[words > 0], 1.0, 1
     penalty = PENALTY * np.log(np.maximum(words, 2))
     slack = 1e-6 * (1 + np.abs(worth))
-    # Against the best single language: the steepest slope there bounds the gain of all mixtures.
-    ratio = np.exp(np.minimum(log - log[np.arange(len(doc)), first[doc]][:, None], 60))
-    gain = np.stack([np.bincount(doc, ratio[:, k], n) for k in range(langs)], 1).max(1) - words
-    open_ = (words > 1) & (gain >= penalty - slack) if langs > 1 else np.zeros(n, bool)
+    open_ = np.zeros(n, bool)
+    if langs > 1:
+        # Against the best single language: the steepest slope there bounds the gain of all mixtures.
+        ratio = lambda own, log: np.exp(np.minimum(log - log[np.arange(len(own)), first[own]][:, None], 60))
+        gain = sum(by_doc(doc[i:j], ratio(doc[i:j], log)) for i, j, log in logs()).max(1) - words
+        open_ = (words > 1) & (gain >= penalty - slack)
     size, order = 1, None
     while open_.any() and size <= langs:
         at = np.flatnonzero(open_)
         name = np.full(n, -1)
         name[at] = np.arange(len(at))
         mine = open_[doc]
-        own, top = name[doc[mine]], log[mine].max(1)
-        like = np.exp(np.maximum(log[mine] - top[:, None], -60))
-        base = np.bincount(own, top, len(at))
+        own, base, place = name[doc[mine]], np.zeros(len(at)), np.concatenate([[0], np.cumsum(mine)])
+        for i, j, log in logs():
+            base += np.bincount(name[doc[i:j]][mine[i:j]], log[mine[i:j]].max(1), len(at))
+
+        def likes():
+            for i, j, log in logs():
+                kept = log[mine[i:j]]  # noqa: B023
+                if len(kept):
+                    yield place[i], place[j], np.exp(np.maximum(kept - kept.max(1)[:, None], -60))  # noqa: B023
+
+        one = list(likes()) if isinstance(logs(), list) else None
         allowed = np.zeros((len(at), langs))
         if order is None:
             allowed[:] = 1
         else:
             np.put_along_axis(allowed, order[at][:, :size], 1, 1)
-        share, fit, more = mixtures(like, own, len(at), allowed)
+        share, fit, more = mixtures((lambda: one) if one else likes, own, len(at), allowed)  # noqa: B023
         if order is None:
             # All languages first: their shares give the nested sets, their slopes the most that any set can reach.
             order = np.zeros((n, langs), int)
@@ -181,7 +217,9 @@ def _predict(model):
         for b in batches:
             texts = [t or "" for t in b.column("text").to_pylist()]
             preds, scores, many = [], [], []
-            for i, j in slices(texts, 400_000):
+            # Documents are by languages too in memory, a few numbers each.
+            most = max(64, CELLS // 4 // max(1, len(langs)))
+            for i, j in ((a, min(a + most, j)) for i, j in slices(texts, 400_000) for a in range(i, j, most)):
                 if langs:
                     best, score, k = infer(texts[i:j], table)
                 else:

@@ -452,7 +452,7 @@ def test_languages_match_plain_loops(spark, sf):
 def test_sampled_ids_are_the_first_by_hash(spark):
     rows = [(i, "en" if i % 50 else "de") for i in range(6000)] + [(7, "fr")] * 3000
     known = spark.createDataFrame(rows, "doc_id long, lang string")
-    got = {(r.sampled, r.lang) for r in language_mix.sampled_ids(known, 30).collect()}
+    got = {(r.sampled, r.lang) for r in language_mix.sampled_ids(known, 30)[0].collect()}
     first = known.distinct().withColumn("h", F.xxhash64("doc_id", F.lit(5))).toPandas().sort_values("h").groupby("lang").head(30)
     assert got == {(r.doc_id, r.lang) for r in first.itertuples()}
 
@@ -470,6 +470,40 @@ def test_a_mix_of_many_languages(n):
     assert many.tolist() == [n, 0, 1] and score[0] == pytest.approx(1 / n, abs=0.02) and best[2] == 0
 
 
+def test_blocks_of_words_change_nothing(monkeypatch):
+    rng = np.random.default_rng(4)
+    table = np.log(rng.dirichlet(np.full(language_mix.BUCKETS, 0.05), 9) + 1e-9).astype(np.float32)
+    words = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(300)]
+    texts = [" ".join(rng.choice(words, int(n))) for n in rng.integers(0, 400, 12)] + ["", "1 2", "a"]
+    whole = language_mix.infer(texts, table)
+    monkeypatch.setattr(language_mix, "CELLS", 500)
+    best, score, many = language_mix.infer(texts, table)
+    assert best.tolist() == whole[0].tolist() and many.tolist() == whole[2].tolist() and np.allclose(score, whole[1], atol=1e-9)
+
+
+def test_a_long_text_of_very_many_languages_takes_bounded_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    table = np.asfortranarray(np.log(rng.random((1_000, language_mix.BUCKETS), np.float32) + 0.01))
+    text = " ".join("".join(w) for w in rng.choice(list("abcdefghijklmnop"), (20_000, 6)))
+    table[7, language_mix.words_of([text])[0]] += 4
+    tracemalloc.start()
+    best, _, _ = language_mix.infer([text], table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert best[0] == 7 and peak < 400e6
+
+
+def test_more_languages_than_are_learned(spark, monkeypatch):
+    """A dirty lang column is no error: the languages of most documents are learned."""
+    monkeypatch.setattr(language_mix, "MOST_LANGUAGES", 2)
+    said = {"en": "the house and the garden of the man", "de": "das haus und der garten von dem mann"}
+    rows = [(i, said[("en", "de")[i % 2]], ("en", "de")[i % 2]) for i in range(80)] + [(1000 + i, f"zq{i}", f"x{i}") for i in range(50)]
+    got = {r.doc_id: r for r in language_mix.language_mix(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert len(got) == 130 and all(got[i].lang_pred == ("en", "de")[i % 2] for i in range(80)) and {r.lang_pred for r in got.values()} == {"en", "de"}
+
+
 # ---- 6, 7, 8
 
 
