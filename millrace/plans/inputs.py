@@ -116,6 +116,41 @@ def commands(spark: SparkSession, d: str) -> DataFrame:
     return named.select("owner_id", (F.col("n") * each(lambda k: F.lit(STRIDE[k]))).alias("seq"), "kind", each(lambda k: pick(F.col("third"), *NEEDLES[k])).alias("needle"), F.when(F.col("third") % 2 == 0, "late").alias("outcome"))
 
 
+#: Tool calls by event_id: the tool, its arguments (#n is a number of the event, #e its type) and what is wrong with them.
+CALLS = (
+    ("record_correction", '{"context": "#e", "what_was_suggested": "x", "what_user_chose": "y", "value_protected": "Speed", "value_traded_away": "cost"}', None),
+    ("set_priority", '{"context": "#e", "higher": "cost", "lower": "speed"}', None),
+    ("record_correction", '{"context": "#e", "what_was_suggested": "", "what_user_chose": "", "value_protected": "cost", "value_traded_away": "Speed"}', None),
+    ("remember_fact", '{"fact": " part #n of #e ", "category": null}', None),
+    ("forget", '{"contains": "PART #n"}', None),
+    ("remember_fact", '{"fact": "likes #e", "category": "taste", "more": [1]}', None),
+    ("forget", '{"contains": ""}', "needle"),
+    ("add_goal", '{"goal": "order #n"}', None),
+    ("close_goal", '{"contains": "1"}', None),
+    ("set_permission", '{"category": " #e", "level": "act", "cap": #n}', None),
+    ("set_permission", '{"category": "#e", "level": "always"}', "level"),
+    ("authorize_action", '{"category": "#e ", "description": "pay", "amount": 40.5}', None),
+    ("authorize_action", '{"category": "#e", "description": "pay", "amount": "much"}', "type: amount"),
+    ("log_action", '{"category": "#e", "description": "done #n", "outcome": "ok"}', None),
+    ("record_opportunity", '{"what": "part #n", "aligns_with": "Speed", "reduces_risk": true, "urgency": 1}', None),
+    ("resolve_opportunity", '{"contains": "t 1"}', None),
+    ("set_profile_field", '{"field": "City", "value": " Bern #n "}', None),
+    ("set_profile_field", '{"field": "PIN", "value": "#n"}', None),
+    ("forget_profile_field", '{"field": "city"}', None),
+    ("add_goal", '{"gaol": "#n"}', "missing: goal"),
+    ("log_observation", '{"note": "#e', "args"),
+    ("launch", "{}", "tool"),
+    ("explain_basis", '{"topic": "#e"}', None),
+)
+
+
+def calls(spark: SparkSession, d: str) -> DataFrame:
+    """owner_id, seq, tool, args: every event as a tool call."""
+    n = F.col("event_id")
+    args = F.replace(F.replace(pick(n, *(c[1] for c in CALLS)), F.lit("#n"), (n % 97).cast("string")), F.lit("#e"), F.col("event_type"))
+    return table(spark, d, "events").select(F.col("user_id").alias("owner_id"), n.alias("seq"), pick(n, *(c[0] for c in CALLS)).alias("tool"), args.alias("args"))
+
+
 def actions(spark: SparkSession, d: str) -> DataFrame:
     return requests(spark, d).select("owner_id", "seq", F.concat(F.lit(" "), "category").alias("category"), "description", "amount", pick(F.col("seq"), "done", "failed", "asked").alias("outcome"))
 
@@ -183,6 +218,12 @@ SQL = {
     "fact_hits": "SELECT f.*, (SELECT min(c.seq) FROM due c WHERE c.kind = 'forget' AND c.owner_id = f.owner_id AND c.seq > f.seq AND contains(lower(f.fact), lower(c.needle))) AS hit FROM facts f",
     "goal_hits": "SELECT g.*, (SELECT min(c.seq) FROM due c WHERE g.active AND c.kind = 'close' AND c.owner_id = g.owner_id AND c.seq > g.seq AND contains(lower(g.goal), lower(c.needle))) AS hit FROM goals g",
     "opportunity_hits": "SELECT o.owner_id, o.seq, x.seq AS hit, x.outcome FROM (SELECT o.*, (SELECT min({'seq': c.seq, 'outcome': c.outcome}) FROM due c WHERE c.kind = 'resolve' AND c.owner_id = o.owner_id AND c.seq > o.seq AND contains(lower(o.what), lower(c.needle))) AS x FROM opportunities o) o",
+    "calls": f"SELECT user_id AS owner_id, event_id AS seq, {sql_pick('event_id', *(c[0] for c in CALLS))} AS tool, replace(replace({sql_pick('event_id', *(c[1] for c in CALLS))}, '#n', (event_id % 97)::VARCHAR), '#e', event_type) AS args, nullif({sql_pick('event_id', *(c[2] or '' for c in CALLS))}, '') AS problem FROM events",
+    "good_calls": "SELECT owner_id, seq, tool, args::JSON AS j FROM calls WHERE problem IS NULL",
+    "call_commands": "SELECT owner_id, seq, tool, lower(j->>'contains') AS needle FROM good_calls WHERE j->>'contains' IS NOT NULL",
+    "call_corrections": "SELECT owner_id, seq, j->>'context' AS context, coalesce(j->>'value_protected', j->>'higher') AS higher, coalesce(j->>'value_traded_away', j->>'lower') AS lower, CASE WHEN tool = 'set_priority' THEN 0.6::DOUBLE END AS confidence FROM good_calls WHERE tool IN ('record_correction', 'set_priority')",
+    "call_permissions": "SELECT owner_id, seq, lower(trim(j->>'category')) AS category, j->>'level' AS level, (j->>'cap')::DOUBLE AS cap FROM good_calls WHERE tool = 'set_permission'",
+    "call_decisions": "SELECT r.*, coalesce(p.level, 'recommend') AS level, p.cap FROM (SELECT owner_id, seq, lower(trim(j->>'category')) AS category, j->>'description' AS description, (j->>'amount')::DOUBLE AS amount FROM good_calls WHERE tool = 'authorize_action') r ASOF LEFT JOIN call_permissions p ON r.owner_id = p.owner_id AND r.category = p.category AND r.seq >= p.seq",
     "raw_opportunities": "SELECT l_suppkey % 150 AS owner_id, l_orderkey * 8 + l_linenumber AS seq, 'part ' || l_partkey AS what, l_returnflag = 'R' AS aligned, l_linestatus = 'O' AS goal, l_quantity > 25 AS risk, CASE WHEN (l_orderkey * 8 + l_linenumber) % 17 > 0 THEN least(greatest((((l_quantity * 7)::BIGINT + l_orderkey * 8 + l_linenumber) % 25) * 5 - 10, 0), 100) ELSE 50 END AS hundredths FROM lineitem",
     "opportunities": "SELECT *, CASE WHEN score >= 75 THEN 'interrupt' WHEN score >= 40 THEN 'brief' ELSE 'hold' END AS status FROM (SELECT owner_id, seq, what, risk, hundredths, 20 + 25 * aligned::INT + 20 * goal::INT + 15 * risk::INT + hundredths // 5 AS score FROM raw_opportunities)",
     "messages": f"SELECT doc_id % 150 AS owner_id, doc_id AS msg_id, [NULL, '', 'your click on the cost', ' '][(CASE doc_id % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE doc_id % 4 + 1 END)::INT] AS subject, coalesce(text, '') || chr(10) || {sql_pick('doc_id', *TEMPLATES)} AS body FROM documents",

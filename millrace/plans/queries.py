@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import labels as L
-from millrace.operators import commands, forms, gate, opportunities, priorities, records, triage, views
+from millrace.operators import calls, commands, forms, gate, opportunities, priorities, records, triage, views
 from millrace.plans import inputs as I
 from millrace.sources import store
 from millrace.sources.shared import shared_dir
@@ -328,6 +328,41 @@ def snapshot(s, d):
     return done.select("owner_id", join("priorities", "context"), join("facts", "fact"), join("active_goals", "goal"), "corrections_learned_from")
 
 
+# ---- tool calls
+
+
+def calls_rejected(s, d):
+    return calls.rejected(I.calls(s, d)).select("owner_id", "seq", "tool", "problem")
+
+
+def _applied(s, d, name):
+    return calls.applied(I.calls(s, d), (name,))[name]
+
+
+def calls_priorities(s, d):
+    return _applied(s, d, "priorities").select(*PRIORITY[:5], _hundredths(), F.col("evidence").cast("long").alias("evidence"))
+
+
+def calls_facts(s, d):
+    return _applied(s, d, "facts").select("owner_id", "seq", "fact", "category")
+
+
+def calls_goals(s, d):
+    return _applied(s, d, "goals").select("owner_id", "seq", "goal", "active", "closed_by")
+
+
+def calls_actions(s, d):
+    return _applied(s, d, "actions").select("owner_id", "seq", "category", "description", "amount", "outcome")
+
+
+def calls_opportunities(s, d):
+    return _applied(s, d, "opportunities").select("owner_id", "seq", "what", (F.col("score") * 100).cast("int").alias("score"), "resolved", "outcome")
+
+
+def calls_profile(s, d):
+    return _applied(s, d, "profile")
+
+
 # ---- the store
 
 
@@ -376,5 +411,6 @@ QUERIES = {f.__name__: f for f in (
     permissions_current, permissions_audit, permissions_rejected, permission_lookup, gate_authorize, gate_denials, gate_authorize_at, gate_denials_at, facts_forget_log, goals_close_log, opportunities_resolve_log, commands_counts, actions_log, actions_newest, actions_all, actions_but_oldest,
     opportunities_score, opportunities_resolve, opportunities_resolve_count, opportunities_pending, opportunities_top, triage_messages, triage_verdicts, triage_priorities,
     labels_normalize, profile_fields, profile_forget, forms_classify, forms_fill, forms_refused, references, draft_guidance, owner_states, daily_brief, snapshot,
+    calls_rejected, calls_priorities, calls_facts, calls_goals, calls_actions, calls_opportunities, calls_profile,
     store_saved, store_loaded, store_broken, store_appended,
 )}

@@ -121,6 +121,13 @@ def states(opps: str, learned: str) -> str:
 _COUNTED = "(SELECT owner_id, count(*) AS n FROM corrections WHERE confidence IS NULL GROUP BY owner_id)"
 _GOALS = _LIST("(SELECT * FROM goals WHERE active)", "goal", "seq")
 
+
+
+def _called(tool: str, row: str, text: str) -> str:
+    """The first call of a tool after a row whose needle the row's text holds."""
+    return f"(SELECT min(c.seq) FROM call_commands c WHERE c.tool = '{tool}' AND c.owner_id = {row}.owner_id AND c.seq > {row}.seq AND contains(lower({row}.j->>'{text}'), c.needle))"
+
+
 assert (BRIEF, INTERRUPT) == ("0.40", "0.75")  # the bars in plans.inputs
 ORACLE = {
     "priorities_fold": f"{FOLD} SELECT * FROM priorities",
@@ -177,6 +184,13 @@ ORACLE = {
     "owner_states": states("true", "confidence IS NULL"),
     "daily_brief": f"WITH st AS ({states('true', 'confidence IS NULL')}) SELECT st.owner_id, mood, coalesce(g.x, '') AS active_goals, coalesce(p.x, '') AS opportunities, coalesce(a.x, '') AS recent_actions, coalesce(b.x, '') AS recent_observations, coalesce(c.n, 0) AS corrections_learned_from FROM st LEFT JOIN {_GOALS} g USING (owner_id) LEFT JOIN {_LIST(_TOP, 'what', 'place')} p USING (owner_id) LEFT JOIN {_LIST(_LAST('actions', 10), 'outcome', 'place')} a USING (owner_id) LEFT JOIN {_LIST(_LAST('observations', 5), 'note', 'place')} b USING (owner_id) LEFT JOIN {_COUNTED} c USING (owner_id)",
     "snapshot": f"{FOLD} SELECT o.owner_id, coalesce(p.x, '') AS priorities, coalesce(f.x, '') AS facts, coalesce(g.x, '') AS active_goals, coalesce(c.n, 0) AS corrections_learned_from FROM owners o LEFT JOIN {_LIST('priorities', 'context', 'confidence DESC, seq')} p USING (owner_id) LEFT JOIN {_LIST('facts', 'fact', 'seq')} f USING (owner_id) LEFT JOIN {_GOALS} g USING (owner_id) LEFT JOIN {_COUNTED} c USING (owner_id)",
+    "calls_rejected": "SELECT owner_id, seq, tool, problem FROM calls WHERE problem IS NOT NULL",
+    "calls_priorities": f"WITH RECURSIVE {fold('call_corrections')} SELECT * FROM priorities",
+    "calls_facts": f"SELECT owner_id, seq, trim(j->>'fact') AS fact, coalesce(j->>'category', 'general') AS category FROM good_calls f WHERE tool = 'remember_fact' AND {_called('forget', 'f', 'fact')} IS NULL",
+    "calls_goals": f"SELECT owner_id, seq, j->>'goal' AS goal, {_called('close_goal', 'g', 'goal')} IS NULL AS active, {_called('close_goal', 'g', 'goal')} AS closed_by FROM good_calls g WHERE tool = 'add_goal'",
+    "calls_actions": "SELECT owner_id, seq, lower(j->>'category') AS category, j->>'description' AS description, NULL::DOUBLE AS amount, j->>'outcome' AS outcome FROM good_calls WHERE tool = 'log_action' UNION ALL SELECT owner_id, seq, category, NULL, NULL, 'permission_change' FROM call_permissions UNION ALL SELECT owner_id, seq, category, description, amount, CASE WHEN level <> 'act' THEN 'denied: level' ELSE 'denied: cap' END FROM call_decisions WHERE level <> 'act' OR coalesce(amount > cap, false)",
+    "calls_opportunities": f"SELECT owner_id, seq, j->>'what' AS what, 80 AS score, {_called('resolve_opportunity', 'o', 'what')} IS NOT NULL AS resolved, CASE WHEN {_called('resolve_opportunity', 'o', 'what')} IS NOT NULL THEN 'done' END AS outcome FROM good_calls o WHERE tool = 'record_opportunity'",
+    "calls_profile": "SELECT owner_id, 'city' AS field, trim(arg_max(v, seq)) AS value FROM (SELECT owner_id, seq, coalesce(j->>'value', '') AS v FROM good_calls WHERE tool IN ('set_profile_field', 'forget_profile_field') AND lower(j->>'field') = 'city') GROUP BY owner_id HAVING arg_max(v, seq) <> ''",
     "store_saved": "SELECT owner_id::VARCHAR AS owner_id, row_number() OVER (PARTITION BY owner_id ORDER BY seq) - 1 AS seq, goal, active FROM goals WHERE active",
     "store_loaded": "SELECT owner_id::VARCHAR AS owner_id, row_number() OVER (PARTITION BY owner_id ORDER BY seq) - 1 AS seq, fact, category FROM facts WHERE owner_id % 7 > 0",
     "store_broken": "SELECT DISTINCT owner_id::VARCHAR AS store_path, 9 AS n FROM facts WHERE owner_id % 7 = 0",
