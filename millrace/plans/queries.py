@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from millrace.functions import labels as L
 from millrace.operators import calls, commands, forms, gate, opportunities, priorities, records, triage, views
 from millrace.plans import inputs as I
 from millrace.sources import store
-from millrace.sources.shared import shared_dir
+from millrace.sources.shared import temporary
 from millrace.streaming.fold import stream_priorities
 
 #: What views take as now.
@@ -67,7 +65,7 @@ def priorities_stream(s, d):
     t = s.read.parquet(f"{d}/events.parquet").schema
     events = s.readStream.schema(t).option("pathGlobFilter", "events.parquet").parquet(d)
     log = I.correction_log(events).drop("ts")
-    path = f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"
+    path = temporary(s, "stream")
     write = lambda df, batch: df.withColumn("batch", F.lit(batch)).write.mode("append").parquet(f"{path}/out")
     stream_priorities(log).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
     last = s.read.parquet(f"{path}/out").groupBy("owner_id", "seq").agg(F.max_by(F.struct("context", "higher", "lower", "confidence", "evidence"), "batch").alias("x"))
@@ -375,10 +373,9 @@ def _documents(s, d):
 
 def store_saved(s, d):
     """Goals read back from the second save, which is made from the first."""
-    path = f"{shared_dir(s)}/store-{uuid.uuid4().hex}"
+    path = temporary(s, "store")
     store.write_documents(_documents(s, d), path)
-    first = store.read_saved(s, path).drop("store_path")
-    store.write_documents(first.withColumn("goals", F.filter("goals", lambda g: g["active"])), path)
+    store.update_documents(s, path, lambda saved: saved.withColumn("goals", F.filter("goals", lambda g: g["active"])))
     return store.collection(store.read_saved(s, path), "goals").select("owner_id", "seq", "goal", "active")
 
 
@@ -399,7 +396,7 @@ def store_broken(s, d):
 
 def store_appended(s, d):
     """An event log appended to twice, by owner."""
-    path, log = f"{shared_dir(s)}/log-{uuid.uuid4().hex}", I.corrections(s, d).drop("ts")
+    path, log = temporary(s, "log"), I.corrections(s, d).drop("ts")
     for half in (0, 1):
         store.append_events(log.where(F.col("seq") % 2 == half), path)
     return store.read_events(s, path).groupBy("owner_id").agg(F.count("*").alias("n"), F.max("seq").alias("last"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import functools
 import tempfile
 import uuid
@@ -10,8 +11,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The open scopes, innermost last: each lists the folders that it removes.
-_scopes: list[list[str]] = []
+#: The open scopes of this thread, innermost last: each lists the folders that it removes.
+_scopes: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("scopes", default=())
 
 
 @functools.cache
@@ -29,21 +30,36 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def file_at(spark: SparkSession, path: str):
+    """The store that a path is in, and the path as the store's calls take it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """The folder goes from the store that it is in."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    files, at = file_at(spark, path)
+    files.delete(at, True)
+
+
+def temporary(spark: SparkSession, kind: str = "millrace") -> str:
+    """A new folder's path in the shared folder; what is there goes when the application ends, if not before."""
+    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    files, at = file_at(spark, path)
+    files.mkdirs(at)
+    files.deleteOnExit(at)
+    return path
 
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession):
-    """Tables settled inside are removed at the end; results that read them must have been written by then."""
+    """Tables that this thread settles inside are removed at the end; results that read them must have been written by then."""
     own: list[str] = []
-    _scopes.append(own)
+    before = _scopes.set((*_scopes.get(), own))
     try:
         yield
     finally:
-        _scopes.remove(own)
+        _scopes.reset(before)
         for path in own:
             removed(spark, path)
 
@@ -51,15 +67,15 @@ def scratch(spark: SparkSession):
 def settled(df: DataFrame, into: list[str] | None = None) -> DataFrame:
     """df written once to the shared folder and read back: lineage ends here, lost executors cost nothing.
 
-    The table stays until the enclosing `scratch` ends, or for good where there is none. With `into` its
-    folder is listed there instead, for the caller to remove.
+    The table stays until the thread's enclosing `scratch` ends, or the application where there is none. With
+    `into` its folder is listed there instead, for the caller to remove.
     """
-    path = f"{shared_dir(df.sparkSession)}/millrace-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = temporary(df.sparkSession)
+    df.write.mode("append").parquet(path)
     if into is not None:
         into.append(path)
-    elif _scopes:
-        _scopes[-1].append(path)
+    elif _scopes.get():
+        _scopes.get()[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -1,17 +1,21 @@
 """Owners' stores: one JSON document each, or tables of an append-only event log.
 
 Documents that can't be read are kept apart, never taken for empty ones. A save is a version folder of
-its own that a pointer names once it is whole; changed tables are derived from the log anew.
+its own that gets its number when it is whole; changed tables are derived from the log anew.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.sources.shared import file_at, removed
+
 #: Fields of each collection in a document.
 COLLECTIONS = {
     "facts": "fact string, category string, added string",
@@ -53,35 +57,72 @@ def profile_fields(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("store_path").alias("owner_id"), F.explode("profile").alias("field", "value"))
 
 
-def _file(spark: SparkSession, path: str):
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+class SaveConflict(RuntimeError):
+    """Another save came first."""
+
+
+def current_version(spark: SparkSession, path: str) -> int:
+    """The number of the last version saved at `path`; 0 is none."""
+    files, at = file_at(spark, path)
+    names = [f.getPath().getName() for f in files.listStatus(at)] if files.exists(at) else []
+    return max((int(n[2:]) for n in names if n.startswith("v-")), default=0)
+
+
+def _numbered(spark: SparkSession, new: str, path: str, version: int) -> bool:
+    """The new folder becomes that version, unless there is one: a rename that never replaces, so one writer alone gets the number."""
+    jvm, to = spark.sparkContext._jvm, f"{path}/v-{version:012d}"
+    (files, source), (_, target) = file_at(spark, f"{path}/{new}"), file_at(spark, to)
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(source, target, spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+    except Py4JJavaError as e:
+        if "FileAlreadyExistsException" in str(e.java_exception):
+            return False
+        raise
+    # Some stores move into a folder that came up in the meantime; its readers don't see names that begin with a line.
+    nested = f"{to}/{new}"
+    if files.exists(file_at(spark, nested)[1]):
+        removed(spark, nested)
+        return False
+    return True
 
 
-def write_documents(documents: DataFrame, path: str) -> str:
-    """Documents as JSON lines, one an owner, in a version folder of their own; then `path`'s pointer names it.
+def write_documents(documents: DataFrame, path: str, made_from: int | None = None) -> int:
+    """Documents as JSON lines, one an owner, saved as the version after `made_from`; its number.
 
-    Readers see the former version until the new one is whole, which may be made from it. Former versions stay.
+    `made_from` is the version that the documents were made from (`current_version`), 0 for none: if another save
+    has come since, SaveConflict is raised and nothing changes. Without it this save comes after whatever is there. Readers see the
+    former version until the new one is whole. Former versions stay. The store's rename has to be atomic, as HDFS's and POSIX's are.
     """
-    version = f"v-{uuid.uuid4().hex}"
-    documents.write.json(f"{path}/{version}")
-    files, at = _file(documents.sparkSession, f"{path}/CURRENT.new")
-    out = files.create(at, True)
-    out.write(bytearray(version.encode()))
-    out.close()
-    _, current = _file(documents.sparkSession, f"{path}/CURRENT")
-    files.delete(current, False)
-    files.rename(at, current)
-    return version
-
-
-def read_saved(spark: SparkSession, path: str) -> DataFrame:
-    """The documents of the version that the pointer names; `owner` stands for the document's path."""
-    files, current = _file(spark, f"{path}/CURRENT")
-    # Between the pointer's removal and its renewal the new one counts: its version is whole.
-    name = "CURRENT" if files.exists(current) else "CURRENT.new"
-    version = spark.read.text(f"{path}/{name}").first()[0]
-    return spark.read.schema(DOCUMENT).json(f"{path}/{version}").withColumn("store_path", F.col("owner"))
+    spark, new = documents.sparkSession, f"_new-{uuid.uuid4().hex}"
+    if made_from is not None and current_version(spark, path) != made_from:
+        raise SaveConflict(f"{path} is no longer at version {made_from}")
+    documents.write.json(f"{path}/{new}")
+    while True:
+        version = (current_version(spark, path) if made_from is None else made_from) + 1
+        if _numbered(spark, new, path, version):
+            return version
+        if made_from is not None:
+            removed(spark, f"{path}/{new}")
+            raise SaveConflict(f"{path} is no longer at version {made_from}")
+
+
+def update_documents(spark: SparkSession, path: str, change: Callable[[DataFrame], DataFrame], tries: int = 10) -> int:
+    """What `change` makes of the saved documents, saved in turn; made anew from the newer version where another save came first."""
+    for left in reversed(range(tries)):
+        version = current_version(spark, path)
+        try:
+            return write_documents(change(read_saved(spark, path, version)).drop("store_path"), path, version)
+        except SaveConflict:
+            if not left:
+                raise
+    raise ValueError("tries must be positive")
+
+
+def read_saved(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The documents of a version, by default the last; `owner` stands for the document's path. Version 0 is empty."""
+    version = current_version(spark, path) if version is None else version
+    rows = spark.read.schema(DOCUMENT).json(f"{path}/v-{version:012d}") if version else spark.createDataFrame([], DOCUMENT)
+    return rows.withColumn("store_path", F.col("owner"))
 
 
 def append_events(events: DataFrame, path: str, partition: str | None = None) -> None:

@@ -79,6 +79,38 @@ def test_a_save_is_whole_or_not_there(spark, tmp_path):
     assert sorted(r.fact for r in store.collection(store.read_saved(spark, path), "facts").collect()) == ["x", "y"]
 
 
+def test_saves_that_race_lose_nothing(spark, tmp_path):
+    """Writers at the same time each add an owner; a save made from an older version is refused."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    path, made = str(tmp_path / "saved"), lambda x: spark.createDataFrame([(x, [("f", "c", None)])], "owner string, facts array<struct<fact:string,category:string,added:string>>")
+    assert store.current_version(spark, path) == 0 and store.read_saved(spark, path).count() == 0
+    assert store.write_documents(made("o"), path, 0) == 1
+    with ThreadPoolExecutor(4) as pool:
+        versions = list(pool.map(lambda i: store.update_documents(spark, path, lambda saved: saved.unionByName(made(f"o{i}"), True), 20), range(4)))
+    assert sorted(versions) == [2, 3, 4, 5]
+    assert sorted(r.owner for r in store.read_saved(spark, path).collect()) == ["o", "o0", "o1", "o2", "o3"]
+    with pytest.raises(store.SaveConflict):
+        store.write_documents(made("late"), path, 4)
+    # The number is taken by one alone, whatever was seen before.
+    made("late").write.json(f"{path}/_new-late")
+    assert not store._numbered(spark, "_new-late", path, 5)
+    assert store.current_version(spark, path) == 5 and store.read_saved(spark, path).count() == 5
+    assert store.read_saved(spark, path, 1).count() == 1 and store.write_documents(made("o9"), path) == 6
+
+
+def test_a_scope_is_its_thread_s(spark):
+    """What another thread settles while a scope is open stays when it closes."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from millrace.sources import shared
+
+    with ThreadPoolExecutor(1) as pool:
+        with shared.scratch(spark):
+            other = pool.submit(lambda: shared.settled(spark.range(3))).result()
+        assert other.count() == 3
+
+
 def test_scratch_removes_what_was_settled(spark):
     import os
 
