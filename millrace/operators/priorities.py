@@ -13,8 +13,6 @@ A null topic counts as an empty one, which is in every context.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,8 +23,10 @@ from millrace.sources.shared import small
 # Learning rates, the flip threshold, first confidences.
 REINFORCE, CONTRADICT, FLIP_BELOW = 0.15, 0.30, 0.25
 FIRST, TURNED = 55, 50
-#: Events of a key beyond which its fold is split into ranges of seq.
-HOT_KEY = 200_000
+#: Runs of a key's events that are folded on their own: 2^16 numbers wide, then 2^12 runs together, as far as seqs reach.
+RUN_BITS = (16, 28, 40, 52)
+#: Events up to which a run stays a list; a longer one becomes the table of what it makes of each state.
+LISTED = 256
 #: Pairs of an owner's topics and texts that are tested one by one; beyond it an index finds those that match.
 PRODUCT = 50_000_000
 KEY = ["owner_id", "ckey", "a", "b"]
@@ -59,83 +59,69 @@ def keyed(events: DataFrame) -> DataFrame:
     )
 
 
+def _start(state: Column) -> Column:
+    return F.struct(state.alias("state"), F.lit(0).alias("evidence"), F.lit(None).cast("struct<higher:string,lower:string>").alias("names"))
+
+
 def _step(acc: Column, e: Column) -> Column:
     state = F.when(e["conf"].isNotNull(), e["dir"] * 101 + e["conf"] + 1).otherwise(F.element_at(F.array(*map(F.lit, TABLE)), e["dir"] * STATES + acc["state"] + 1))
     side = lambda s: F.floor((s - 1) / 101)
     named = e["conf"].isNotNull() | (acc["state"] == 0) | (side(state) != side(acc["state"]))
     count = F.when(acc["state"] == 0, 1).otherwise(acc["evidence"] + e["conf"].isNull().cast("int"))
-    name = lambda c: F.when(named, e[c]).otherwise(acc[c]).alias(c)
-    return F.struct(state.alias("state"), count.alias("evidence"), name("higher"), name("lower"))
+    return F.struct(state.alias("state"), count.alias("evidence"), F.when(named, F.struct(e["higher"], e["lower"])).otherwise(acc["names"]).alias("names"))
 
 
-FOLDED = ["owner_id", "seq", "context", "higher", "lower", "state", "evidence"]
+def _over(acc: Column, run: Column) -> Column:
+    """The state after a whole run: step by step, or as its table says. A table counts from nothing, so evidence adds up."""
+    to = F.element_at(run["table"], acc["state"] + 1)
+    looked_up = F.struct(to["state"].alias("state"), (acc["evidence"] + to["evidence"]).alias("evidence"), F.coalesce(to["names"], acc["names"]).alias("names"))
+    return F.when(run["table"].isNull(), F.aggregate(run["events"], acc, _step)).otherwise(looked_up)
 
 
-def _fold(events: DataFrame) -> DataFrame:
-    """FOLDED for keys of few events: one aggregate gives the first event, the names and the state."""
-    text = F.lit(None).cast("string")
-    start = F.struct(F.lit(0).alias("state"), F.lit(0).alias("evidence"), text.alias("higher"), text.alias("lower"))
-    own = F.array_sort(F.collect_list(F.struct("seq", "dir", "conf", "higher", "lower")))
-    done = events.groupBy(*KEY).agg(own.alias("own"), F.min_by("context", "seq").alias("context"))
-    return done.select("owner_id", F.col("own")[0]["seq"].alias("seq"), "context", F.aggregate("own", start, _step).alias("s")).select("owner_id", "seq", "context", "s.higher", "s.lower", "s.state", "s.evidence")
+def _run(first: Column, n: Column, events: Column, outcome, listed: int) -> Column:
+    """A run: its first event's seq and context, its size, and its events or, where these are many, outcome(state) of every state."""
+    few = n <= listed
+    table = F.transform(F.sequence(F.lit(0), F.lit(STATES - 1)), lambda s: outcome(_start(s)))
+    return F.struct(first["seq"].alias("seq"), first["context"].alias("context"), n.alias("n"), F.when(few, events).alias("events"), F.when(~few, table).alias("table"))
 
 
-def _range_table(pdf: pd.DataFrame) -> pd.DataFrame:
-    """What a range of a hot key's events makes of every state: the state after, and the setter or -1."""
-    pdf = pdf.sort_values("seq")
-    table = np.array(TABLE).reshape(2, STATES)
-    state, setter = np.arange(STATES), np.full(STATES, -1, np.int64)
-    for seq, d, conf in zip(pdf["seq"], pdf["dir"], pdf["conf"]):
-        to = table[d][state] if pd.isna(conf) else np.full(STATES, 1 + 101 * d + int(conf))
-        named = (state == 0) | ((to - 1) // 101 != (state - 1) // 101) | (not pd.isna(conf))
-        setter = np.where(named, seq, setter)
-        state = to
-    first = int(not pd.isna(pdf["conf"].iloc[0]))
-    out = pdf.iloc[:1][[*KEY, "part"]].copy()
-    return out.assign(states=[state.tolist()], setters=[setter.tolist()], corrections=int(pdf["conf"].isna().sum()), declared=first)
+def event_runs(marked: DataFrame, bits: int = RUN_BITS[0], listed: int = LISTED) -> DataFrame:
+    """KEY, place, run of `keyed` events: one run for each stretch of 2^bits seqs, so of that many events at most."""
+    own = F.array_sort(F.collect_list(F.struct("seq", "dir", "conf", "higher", "lower", "context")))
+    rows = marked.withColumn("seq", F.col("seq").cast("long")).groupBy(*KEY, F.shiftright("seq", bits).alias("place")).agg(own.alias("own"))
+    x = F.col("own")
+    return rows.select(*KEY, "place", _run(x[0], F.size(x), x, lambda start: F.aggregate(x, start, _step), listed).alias("run"))
 
 
-def _fold_hot(events: DataFrame, width: int, most: int) -> DataFrame:
-    """The same for keys of many events, `most` at most: ranges of about `width` fold on their own, then their tables in order.
+def joined_runs(runs: DataFrame, bits: int, listed: int = LISTED) -> DataFrame:
+    """The same with 2^bits places together: runs in order make one run."""
+    rows = runs.groupBy(*KEY, F.shiftright("place", bits).alias("place")).agg(F.array_sort(F.collect_list("run")).alias("own"))
+    x = F.col("own")
+    n = F.aggregate(x, F.lit(0), lambda a, r: F.least(a + r["n"], F.lit(1 << 30)))
+    return rows.select(*KEY, "place", _run(x[0], n, F.flatten(F.transform(x, lambda r: r["events"])), lambda start: F.aggregate(x, start, _over), listed).alias("run"))
 
-    Ranges end at quantiles of a key's seqs, so sparse numbers make no more of them.
-    """
-    cuts = [i / n for n in [max(2, -(-most // width))] for i in range(1, n)]
-    bounds = small(events.groupBy(*KEY).agg(F.percentile_approx(F.col("seq").cast("long"), cuts, 100_000).alias("bounds")))
-    placed = events.join(bounds, KEY).withColumn("part", F.size(F.filter("bounds", lambda b: b < F.col("seq"))))
-    parts = placed.select(*KEY, "part", "seq", "dir", "conf")
-    names = ", ".join(f"{n} {t}" for n, t in parts.dtypes if n in (*KEY, "part"))
-    tables = parts.groupBy(*KEY, "part").applyInPandas(_range_table, f"{names}, states array<int>, setters array<long>, corrections long, declared int")
-    every = F.array_sort(F.collect_list(F.struct("part", "states", "setters", "corrections", "declared")))
-    start = F.struct(F.lit(0).alias("state"), F.lit(0).cast("long").alias("setter"))
-
-    def step(acc, x):
-        setter = F.element_at(x["setters"], acc["state"] + 1)
-        return F.struct(F.element_at(x["states"], acc["state"] + 1).alias("state"), F.when(setter >= 0, setter).otherwise(acc["setter"]).alias("setter"))
-
-    whole = tables.groupBy(*KEY).agg(every.alias("x"), F.sum("corrections").alias("n"))
-    done = whole.select(*KEY, F.aggregate("x", start, step).alias("s"), (F.col("n") + F.col("x")[0]["declared"]).cast("int").alias("evidence"))
-    state = small(done.select(*KEY, "s.state", "s.setter", "evidence"))
-    found = events.join(state, KEY).groupBy(*KEY, "state", "evidence").agg(
-        F.min("seq").alias("seq"), F.min_by("context", "seq").alias("context"), F.max(F.when(F.col("seq") == F.col("setter"), F.struct("higher", "lower"))).alias("names"),
-    )
-    return found.select("owner_id", "seq", "context", "names.higher", "names.lower", "state", "evidence")
+
+def folded_runs(runs: DataFrame) -> DataFrame:
+    """owner_id, seq, context, higher, lower, state, evidence of all runs of each key."""
+    done = runs.groupBy(*KEY).agg(F.array_sort(F.collect_list("run")).alias("own"))
+    named = done.select("owner_id", F.col("own")[0].alias("first"), F.aggregate("own", _start(F.lit(0)), _over).alias("s"))
+    return named.select("owner_id", "first.seq", "first.context", "s.names.higher", "s.names.lower", "s.state", "s.evidence")
 
 
-def fold_priorities(events: DataFrame, hot: int = HOT_KEY) -> DataFrame:
+def fold_priorities(events: DataFrame, bits: tuple[int, ...] = RUN_BITS, listed: int = LISTED) -> DataFrame:
     """owner_id, seq, context, higher, lower, confidence, evidence: the current priorities.
 
     seq and context are those of the key's first event; higher and lower are written as by the event that
-    set their direction. An owner's list is ordered by confidence, largest first, then seq.
+    set their direction. An owner's list is ordered by confidence, largest first, then seq. A key's events are folded by
+    runs of 2^bits[0] seqs, these by runs of 2^bits[1] and so on, as far as the log's seqs reach: as seqs are unique, no list is longer.
     """
-    marked = keyed(events)
-    counts = marked.groupBy(*KEY).count().where(F.col("count") > hot)
-    most = counts.agg(F.max("count")).first()[0]
-    if most:
-        keys = small(counts.select(*KEY))
-        state = _fold(marked.join(keys, KEY, "left_anti")).unionByName(_fold_hot(marked.join(keys, KEY, "left_semi"), hot, most))
-    else:
-        state = _fold(marked)
+    ends = events.agg(F.min("seq"), F.max("seq")).first()
+    reach = max((abs(int(e)) for e in ends if e is not None), default=0)
+    runs = event_runs(keyed(events), bits[0], listed)
+    for before, now in zip(bits, bits[1:]):
+        if reach >> now:
+            runs = joined_runs(runs, now - before, listed)
+    state = folded_runs(runs)
     hundredths = F.pmod(F.col("state") - 1, F.lit(101))
     return state.select("owner_id", "seq", "context", "higher", "lower", (hundredths.cast("decimal(5,0)") / 100).cast("decimal(3,2)").alias("confidence"), "evidence")
 

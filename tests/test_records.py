@@ -39,10 +39,10 @@ def some_events(n, seed=3):
     return [(rng.randrange(3), i, rng.choice(("Work", "work", "home")), *rng.choice(pairs), rng.choice((None,) * 9 + (-1.0, 0.37, 1.5))) for i in range(n)]
 
 
-@pytest.mark.parametrize("hot", [200_000, 7])
-def test_fold_equals_a_loop(spark, hot):
+@pytest.mark.parametrize("how", [{}, {"bits": (6, 8, 9), "listed": 3}])
+def test_fold_equals_a_loop(spark, how):
     events = some_events(900)
-    got = priorities.fold_priorities(spark.createDataFrame(events, EVENT), hot).collect()
+    got = priorities.fold_priorities(spark.createDataFrame(events, EVENT), **how).collect()
     want = looped(events)
     assert len(got) == len(want)
     for r in got:
@@ -52,7 +52,7 @@ def test_fold_equals_a_loop(spark, hot):
 
 def test_hot_fold_of_sparse_seqs(spark):
     events = [(o, s * s * 1_000_003, *rest) for o, s, *rest in some_events(600, seed=5)]
-    got = priorities.fold_priorities(spark.createDataFrame(events, EVENT), 20).collect()
+    got = priorities.fold_priorities(spark.createDataFrame(events, EVENT), listed=2).collect()
     want = looped(events)
     assert {(r.owner_id, r.context, float(r.confidence), r.evidence, r.higher) for r in got} == {(k[0], x[3], x[0], x[1], x[2]) for k, x in want.items()}
 
