@@ -27,6 +27,8 @@ FIRST, TURNED = 55, 50
 RUN_BITS = (16, 28, 40, 52)
 #: Events up to which a run stays a list; a longer one becomes the table of what it makes of each state.
 LISTED = 256
+#: Events after which most states have met: the rest of a run is folded from the few states that are left.
+HEAD = 64
 #: Pairs of an owner's topics and texts that are tested one by one; beyond it an index finds those that match.
 PRODUCT = 50_000_000
 KEY = ["owner_id", "ckey", "a", "b"]
@@ -71,26 +73,41 @@ def _step(acc: Column, e: Column) -> Column:
     return F.struct(state.alias("state"), count.alias("evidence"), F.when(named, F.struct(e["higher"], e["lower"])).otherwise(acc["names"]).alias("names"))
 
 
+def _then(acc: Column, to: Column) -> Column:
+    """The state after acc and what follows it; that was counted from nothing, so evidence adds up."""
+    return F.struct(to["state"].alias("state"), (acc["evidence"] + to["evidence"]).alias("evidence"), F.coalesce(to["names"], acc["names"]).alias("names"))
+
+
 def _over(acc: Column, run: Column) -> Column:
-    """The state after a whole run: step by step, or as its table says. A table counts from nothing, so evidence adds up."""
-    to = F.element_at(run["table"], acc["state"] + 1)
-    looked_up = F.struct(to["state"].alias("state"), (acc["evidence"] + to["evidence"]).alias("evidence"), F.coalesce(to["names"], acc["names"]).alias("names"))
-    return F.when(run["table"].isNull(), F.aggregate(run["events"], acc, _step)).otherwise(looked_up)
+    """The state after a whole run: step by step, or as its table says."""
+    return F.when(run["table"].isNull(), F.aggregate(run["events"], acc, _step)).otherwise(_then(acc, F.element_at(run["table"], acc["state"] + 1)))
 
 
-def _run(first: Column, n: Column, events: Column, outcome, listed: int) -> Column:
-    """A run: its first event's seq and context, its size, and its events or, where these are many, outcome(state) of every state."""
+def _run(first: Column, n: Column, events: Column, table: Column, listed: int) -> Column:
+    """A run: its first event's seq and context, its size, and its events or, where these are many, the table of what it makes of each state."""
     few = n <= listed
-    table = F.transform(F.sequence(F.lit(0), F.lit(STATES - 1)), lambda s: outcome(_start(s)))
     return F.struct(first["seq"].alias("seq"), first["context"].alias("context"), n.alias("n"), F.when(few, events).alias("events"), F.when(~few, table).alias("table"))
 
 
+def _from_each(x: Column):
+    """outcome(start) of a long list of events: its head from every state, the rest once for each state that the head leaves."""
+    listed = F.sequence(F.lit(0), F.lit(STATES - 1))
+    head, tail = F.slice(x, 1, HEAD), F.slice(x, HEAD + 1, F.greatest(F.size(x) - HEAD, F.lit(0)))
+
+    def whole(heads: Column) -> Column:
+        left = F.array_distinct(F.transform(heads, lambda h: h["state"]))
+        # A lambda's variable is worked out once.
+        return F.get(F.transform(F.array(F.struct(left.alias("left"), F.transform(left, lambda s: F.aggregate(tail, _start(s), _step)).alias("to"))), lambda t: F.transform(heads, lambda h: _then(h, F.element_at(t["to"], F.array_position(t["left"], h["state"]).cast("int"))))), F.lit(0))
+
+    return F.get(F.transform(F.array(F.transform(listed, lambda s: F.aggregate(head, _start(s), _step))), whole), F.lit(0))
+
+
 def event_runs(marked: DataFrame, bits: int = RUN_BITS[0], listed: int = LISTED) -> DataFrame:
     """KEY, place, run of `keyed` events: one run for each stretch of 2^bits seqs, so of that many events at most."""
     own = F.array_sort(F.collect_list(F.struct("seq", "dir", "conf", "higher", "lower", "context")))
     rows = marked.withColumn("seq", F.col("seq").cast("long")).groupBy(*KEY, F.shiftright("seq", bits).alias("place")).agg(own.alias("own"))
     x = F.col("own")
-    return rows.select(*KEY, "place", _run(x[0], F.size(x), x, lambda start: F.aggregate(x, start, _step), listed).alias("run"))
+    return rows.select(*KEY, "place", _run(x[0], F.size(x), x, _from_each(x), listed).alias("run"))
 
 
 def joined_runs(runs: DataFrame, bits: int, listed: int = LISTED) -> DataFrame:
@@ -98,7 +115,8 @@ def joined_runs(runs: DataFrame, bits: int, listed: int = LISTED) -> DataFrame:
     rows = runs.groupBy(*KEY, F.shiftright("place", bits).alias("place")).agg(F.array_sort(F.collect_list("run")).alias("own"))
     x = F.col("own")
     n = F.aggregate(x, F.lit(0), lambda a, r: F.least(a + r["n"], F.lit(1 << 30)))
-    return rows.select(*KEY, "place", _run(x[0], n, F.flatten(F.transform(x, lambda r: r["events"])), lambda start: F.aggregate(x, start, _over), listed).alias("run"))
+    table = F.transform(F.sequence(F.lit(0), F.lit(STATES - 1)), lambda s: F.aggregate(x, _start(s), _over))
+    return rows.select(*KEY, "place", _run(x[0], n, F.flatten(F.transform(x, lambda r: r["events"])), table, listed).alias("run"))
 
 
 def folded_runs(runs: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ def some_events(n, seed=3):
     return [(rng.randrange(3), i, rng.choice(("Work", "work", "home")), *rng.choice(pairs), rng.choice((None,) * 9 + (-1.0, 0.37, 1.5))) for i in range(n)]
 
 
-@pytest.mark.parametrize("how", [{}, {"bits": (6, 8, 9), "listed": 3}])
+@pytest.mark.parametrize("how", [{}, {"bits": (6, 8, 9), "listed": 3}, {"bits": (12,), "listed": 3}])
 def test_fold_equals_a_loop(spark, how):
     events = some_events(900)
     got = priorities.fold_priorities(spark.createDataFrame(events, EVENT), **how).collect()
