@@ -119,6 +119,39 @@ def joined_runs(runs: DataFrame, bits: int, listed: int = LISTED) -> DataFrame:
     return rows.select(*KEY, "place", _run(x[0], n, F.flatten(F.transform(x, lambda r: r["events"])), table, listed).alias("run"))
 
 
+def batch_runs(events: DataFrame, bits: int = RUN_BITS[0], listed: int = LISTED) -> DataFrame:
+    """KEY, place, run of events: one run a key, or two where seqs of either sign meet."""
+    runs = event_runs(keyed(events), bits, listed)
+    return joined_runs(joined_runs(runs, RUN_BITS[1] - RUN_BITS[0], listed), 63, listed)
+
+
+#: What is held of a key.
+HELD = "struct<seq:bigint,context:string,state:int,evidence:int,names:struct<higher:string,lower:string>>"
+
+
+def resumed(held: DataFrame, runs: DataFrame) -> DataFrame:
+    """KEY, version, held of states `held` (the same) and the runs (KEY, version, place, run) that follow them.
+
+    Runs go by version, then place; a key's version is the last that it has. One shuffle, by key; equal null keys are one key.
+    """
+    kind = dict(runs.dtypes)["run"]
+    rows = held.select(*KEY, "version", F.lit(0).cast("long").alias("place"), F.lit(None).cast(kind).alias("run"), "held")
+    rows = rows.unionByName(runs.select(*KEY, "version", "place", "run", F.lit(None).cast(dict(held.dtypes)["held"]).alias("held")))
+    order = F.when(F.col("run").isNotNull(), F.struct("version", "place", "run"))
+    own = rows.groupBy(*KEY).agg(F.max("version").alias("version"), F.first("held", ignorenulls=True).alias("held"), F.array_sort(F.collect_list(order)).alias("own"))
+    old, first = F.col("held"), F.col("own")[0]["run"]
+    begin = F.when(old.isNull(), _start(F.lit(0))).otherwise(F.struct(old["state"].alias("state"), old["evidence"].alias("evidence"), old["names"].alias("names")))
+    done = own.withColumn("s", F.aggregate("own", begin, lambda acc, r: _over(acc, r["run"])))
+    of = lambda c: F.when(old.isNull(), first[c]).otherwise(old[c]).alias(c)
+    return done.select(*KEY, "version", F.struct(of("seq"), of("context"), *(F.col("s")[c].alias(c) for c in ("state", "evidence", "names"))).cast(HELD).alias("held"))
+
+
+def as_priorities(states: DataFrame) -> DataFrame:
+    """owner_id, seq, context, higher, lower, confidence, evidence of states (owner_id, seq, context, higher, lower, state, evidence)."""
+    hundredths = F.pmod(F.col("state") - 1, F.lit(101))
+    return states.select("owner_id", "seq", "context", "higher", "lower", (hundredths.cast("decimal(5,0)") / 100).cast("decimal(3,2)").alias("confidence"), "evidence")
+
+
 def folded_runs(runs: DataFrame) -> DataFrame:
     """owner_id, seq, context, higher, lower, state, evidence of all runs of each key."""
     done = runs.groupBy(*KEY).agg(F.array_sort(F.collect_list("run")).alias("own"))
@@ -139,9 +172,7 @@ def fold_priorities(events: DataFrame, bits: tuple[int, ...] = RUN_BITS, listed:
     for before, now in zip(bits, bits[1:]):
         if reach >> now:
             runs = joined_runs(runs, now - before, listed)
-    state = folded_runs(runs)
-    hundredths = F.pmod(F.col("state") - 1, F.lit(101))
-    return state.select("owner_id", "seq", "context", "higher", "lower", (hundredths.cast("decimal(5,0)") / 100).cast("decimal(3,2)").alias("confidence"), "evidence")
+    return as_priorities(folded_runs(runs))
 
 
 def find_priority(priorities: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from millrace.operators import calls, commands, forms, gate, opportunities, prio
 from millrace.plans import inputs as I
 from millrace.sources import store
 from millrace.sources.shared import temporary
-from millrace.streaming.fold import stream_priorities
+from millrace.streaming.fold import add_batch, stored_priorities, stream_priorities
 
 #: What views take as now.
 AS_OF = "2024-01-30 12:00:00"
@@ -21,6 +21,10 @@ def _hundredths(c: str = "confidence"):
     return (F.col(c) * 100).cast("int").alias(c)
 
 
+def _listed_priorities(rows: DataFrame) -> DataFrame:
+    return rows.select(*PRIORITY[:5], _hundredths(), F.col("evidence").cast("long").alias("evidence"))
+
+
 def _priorities(s: SparkSession, d: str) -> DataFrame:
     return priorities.fold_priorities(I.corrections(s, d))
 
@@ -61,15 +65,30 @@ def priorities_fold(s, d):
 
 
 def priorities_stream(s, d):
-    """The fold as a stream over the events file, run to its end; each key's last state."""
+    """The fold as a stream over the events file, run to its end."""
     t = s.read.parquet(f"{d}/events.parquet").schema
     events = s.readStream.schema(t).option("pathGlobFilter", "events.parquet").parquet(d)
-    log = I.correction_log(events).drop("ts")
     path = temporary(s, "stream")
-    write = lambda df, batch: df.withColumn("batch", F.lit(batch)).write.mode("append").parquet(f"{path}/out")
-    stream_priorities(log).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
-    last = s.read.parquet(f"{path}/out").groupBy("owner_id", "seq").agg(F.max_by(F.struct("context", "higher", "lower", "confidence", "evidence"), "batch").alias("x"))
-    return last.select("owner_id", "seq", "x.context", "x.higher", "x.lower", F.round(F.col("x.confidence") * 100).cast("int").alias("confidence"), F.col("x.evidence").cast("long").alias("evidence"))
+    stream_priorities(I.correction_log(events).drop("ts"), f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return _listed_priorities(stored_priorities(s, f"{path}/out"))
+
+
+def _arrived(s, d):
+    """The corrections as five micro-batches that overlap in seq, and a base after each second one; the folder."""
+    path = temporary(s, "arrivals")
+    for k in range(5):
+        add_batch(I.corrections(s, d).where(F.pmod(F.floor(F.col("seq") / 3), F.lit(5)) == k), path, k + 1, every=2)
+    return path
+
+
+def priorities_arrivals(s, d):
+    """The fold in order of arrival: base and runs."""
+    return _listed_priorities(stored_priorities(s, _arrived(s, d)))
+
+
+def priorities_changed(s, d):
+    """Those that the last of five micro-batches changed."""
+    return _listed_priorities(stored_priorities(s, _arrived(s, d), since=4))
 
 
 def priority_lookup(s, d):
@@ -403,7 +422,7 @@ def store_appended(s, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    priorities_fold, priorities_stream, priorities_set, priority_lookup, priorities_for, basis_priorities, basis_facts, explain_basis, corrections_count,
+    priorities_fold, priorities_stream, priorities_arrivals, priorities_changed, priorities_set, priority_lookup, priorities_for, basis_priorities, basis_facts, explain_basis, corrections_count,
     facts_remember, facts_remember_once, facts_forget, facts_forget_count, goals_add, goals_close, goals_close_count, goals_active, observations_log, observations_newest,
     permissions_current, permissions_audit, permissions_rejected, permission_lookup, gate_authorize, gate_denials, gate_authorize_at, gate_denials_at, facts_forget_log, goals_close_log, opportunities_resolve_log, commands_counts, actions_log, actions_newest, actions_all, actions_but_oldest,
     opportunities_score, opportunities_resolve, opportunities_resolve_count, opportunities_pending, opportunities_top, triage_messages, triage_verdicts, triage_priorities,

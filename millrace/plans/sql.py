@@ -18,10 +18,10 @@ def quoted(values) -> str:
 _KEY = "owner_id, lower(context), least(lower(higher), lower(lower)), greatest(lower(higher), lower(lower))"
 
 
-def fold(source: str) -> str:
+def fold(source: str, order: str = "seq") -> str:
     """Common table expressions up to `priorities`."""
     return f"""n AS (SELECT owner_id, seq, context, higher, lower, lower(context) AS ckey, least(lower(higher), lower(lower)) AS a, greatest(lower(higher), lower(lower)) AS b,
-  (lower(higher) > lower(lower))::INT AS dir, CASE WHEN confidence IS NOT NULL THEN round(least(greatest(confidence, 0.05), 0.99) * 100)::INT END AS conf, row_number() OVER (PARTITION BY {_KEY} ORDER BY seq) AS i FROM {source}),
+  (lower(higher) > lower(lower))::INT AS dir, CASE WHEN confidence IS NOT NULL THEN round(least(greatest(confidence, 0.05), 0.99) * 100)::INT END AS conf, row_number() OVER (PARTITION BY {_KEY} ORDER BY {order}) AS i FROM {source}),
 f AS (SELECT owner_id, ckey, a, b, i, 1 + 101 * dir + coalesce(conf, 55) AS state, 1::BIGINT AS evidence, seq AS setter FROM n WHERE i = 1
   UNION ALL SELECT owner_id, ckey, a, b, i + 1, t, evidence + (conf IS NULL)::INT, CASE WHEN conf IS NOT NULL OR (t - 1) // 101 <> (state - 1) // 101 THEN seq ELSE setter END
   FROM (SELECT f.*, n.conf, n.seq, CASE WHEN n.conf IS NULL THEN {TABLE}[n.dir * {STATES} + f.state + 1] ELSE 1 + 101 * n.dir + n.conf END AS t
@@ -32,6 +32,7 @@ priorities AS (SELECT z.owner_id, n.seq, n.context, m.higher, m.lower, ((state -
 
 
 FOLD = "WITH RECURSIVE " + fold("corrections")
+_ARRIVED = "WITH RECURSIVE " + fold("corrections", "seq // 3 % 5, seq")
 _TOPICAL = "(contains(lower(p.context), lower(coalesce(t.topic, ''))) OR contains(lower(coalesce(t.topic, '')), lower(p.context)) OR lower(p.context) IN ('any', 'all', 'general'))"
 _PLACE = "row_number() OVER (PARTITION BY {} ORDER BY {})"
 
@@ -132,6 +133,8 @@ assert (BRIEF, INTERRUPT) == ("0.40", "0.75")  # the bars in plans.inputs
 ORACLE = {
     "priorities_fold": f"{FOLD} SELECT * FROM priorities",
     "priorities_stream": f"{FOLD} SELECT * FROM priorities",
+    "priorities_arrivals": f"{_ARRIVED} SELECT * FROM priorities",
+    "priorities_changed": f"{_ARRIVED} SELECT p.* FROM priorities p JOIN n k ON k.owner_id = p.owner_id AND k.seq = p.seq WHERE (k.owner_id, k.ckey, k.a, k.b) IN (SELECT (owner_id, ckey, a, b) FROM n WHERE seq // 3 % 5 = 4)",
     "priorities_set": f"WITH RECURSIVE {fold('(SELECT * FROM corrections WHERE confidence IS NOT NULL)')} SELECT * FROM priorities",
     "priority_lookup": f"{FOLD} SELECT o.owner_id, p.seq, p.higher, p.lower, p.confidence FROM owners o LEFT JOIN priorities p ON o.owner_id = p.owner_id AND lower(p.context) = 'click' AND least(lower(p.higher), lower(p.lower)) = 'cost' AND greatest(lower(p.higher), lower(p.lower)) = 'speed'",
     "priorities_for": f"{FOLD} SELECT owner_id, seq, context, confidence, {_PLACE.format('owner_id', 'confidence DESC, seq')} AS place FROM priorities WHERE contains(lower(context), 'ic') OR lower(context) IN ('any', 'all', 'general')",

@@ -68,7 +68,7 @@ def current_version(spark: SparkSession, path: str) -> int:
     return max((int(n[2:]) for n in names if n.startswith("v-")), default=0)
 
 
-def _numbered(spark: SparkSession, new: str, path: str, version: int) -> bool:
+def numbered(spark: SparkSession, new: str, path: str, version: int) -> bool:
     """The new folder becomes that version, unless there is one: a rename that never replaces, so one writer alone gets the number."""
     jvm, to = spark.sparkContext._jvm, f"{path}/v-{version:012d}"
     (files, source), (_, target) = file_at(spark, f"{path}/{new}"), file_at(spark, to)
@@ -99,7 +99,7 @@ def write_documents(documents: DataFrame, path: str, made_from: int | None = Non
     documents.write.json(f"{path}/{new}")
     while True:
         version = (current_version(spark, path) if made_from is None else made_from) + 1
-        if _numbered(spark, new, path, version):
+        if numbered(spark, new, path, version):
             return version
         if made_from is not None:
             removed(spark, f"{path}/{new}")

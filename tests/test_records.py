@@ -94,7 +94,7 @@ def test_saves_that_race_lose_nothing(spark, tmp_path):
         store.write_documents(made("late"), path, 4)
     # The number is taken by one alone, whatever was seen before.
     made("late").write.json(f"{path}/_new-late")
-    assert not store._numbered(spark, "_new-late", path, 5)
+    assert not store.numbered(spark, "_new-late", path, 5)
     assert store.current_version(spark, path) == 5 and store.read_saved(spark, path).count() == 5
     assert store.read_saved(spark, path, 1).count() == 1 and store.write_documents(made("o9"), path) == 6
 
@@ -229,23 +229,6 @@ def test_log_and_memory(spark, tmp_path):
     assert [str(r.added) for r in times.collect()] == ["2024-05-01 08:00:00", "None"]
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    from millrace.streaming.fold import stream_priorities
-
-    events = some_events(120, seed=9)
-    for k in range(3):
-        spark.createDataFrame(events[k * 40 : k * 40 + 40], EVENT).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    source = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    got = {}
-
-    def take(df, _):
-        got.update({(r.owner_id, r.seq): (round(r.confidence, 2), r.evidence, r.higher) for r in df.collect()})
-
-    stream_priorities(source).writeStream.outputMode("update").foreachBatch(take).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination(120)
-    batch = priorities.fold_priorities(spark.createDataFrame(events, EVENT)).collect()
-    assert got == {(r.owner_id, r.seq): (float(r.confidence), r.evidence, r.higher) for r in batch}
-
-
 def test_owner_states_over_all_rows(spark):
     """Each mood, and each over owners and corrections of every remainder."""
     moods = ("protective", "charged", "curious", "happy", "thinking", "calm")
