@@ -168,6 +168,20 @@ def opportunities(spark: SparkSession, d: str) -> DataFrame:
     return li.select((F.col("l_suppkey") % 150).alias("owner_id"), n.alias("seq"), F.concat(F.lit(" part "), F.col("l_partkey").cast("string"), F.lit(" ")).alias("what"), aligned.alias("aligns_with"), F.when(F.col("l_linestatus") == "O", F.lit("ship it")).otherwise("").alias("advances_goal"), (F.col("l_quantity") > 25).alias("reduces_risk"), urgency.alias("urgency"))
 
 
+def mood_records(spark: SparkSession, scored: DataFrame, d: str) -> DataFrame:
+    """Corrections, observations, scored opportunities and what is resolved of them as rows of one stream.
+
+    Of each four owners one resolves nothing, one what is urgent and reduces risks, one what is urgent, one everything.
+    """
+    e, no = table(spark, d, "events"), lambda kind: F.lit(None).cast(kind)
+    said = e.select(F.col("user_id").alias("owner_id"), F.when(F.col("event_id") % 7 == 0, "correction").otherwise("observation").alias("kind"), no("long").alias("id"), no("string").alias("status"), no("boolean").alias("reduces_risk"), F.col("ts").cast("timestamp").alias("ts"))
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_interval(mins=F.col("seq") % 500)
+    found = scored.select("owner_id", F.lit("opportunity").alias("kind"), F.col("seq").alias("id"), "status", "reduces_risk", at.alias("ts"))
+    high, quarter = F.col("status") == "interrupt", F.col("owner_id") % 4
+    done = found.where((quarter == 1) & high & F.col("reduces_risk") | (quarter == 2) & high | (quarter == 3)).select("owner_id", F.lit("resolved").alias("kind"), "id", no("string").alias("status"), no("boolean").alias("reduces_risk"), "ts")
+    return said.unionByName(found).unionByName(done)
+
+
 def messages(spark: SparkSession, d: str) -> DataFrame:
     """Documents as messages, each closed by a template sentence."""
     m, n = table(spark, d, "documents"), F.col("doc_id")

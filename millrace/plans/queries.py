@@ -11,6 +11,7 @@ from millrace.plans import inputs as I
 from millrace.sources import store
 from millrace.sources.shared import temporary
 from millrace.streaming.fold import add_batch, stored_priorities, stream_priorities
+from millrace.streaming.moods import stream_moods
 
 #: What views take as now.
 AS_OF = "2024-01-30 12:00:00"
@@ -331,6 +332,21 @@ def owner_states(s, d):
     return views.owner_states(I.owners(s, d), _scored(s, d), I.corrections(s, d).where("confidence is null"), _observations(s, d), _as_of())
 
 
+def owner_states_stream(s, d):
+    """Each owner's last mood of a stream over all records, run to its end."""
+    path, provider = temporary(s, "moods"), "spark.sql.streaming.stateStore.providerClass"
+    I.mood_records(s, _scored(s, d), d).write.parquet(f"{path}/in")
+    records = s.readStream.schema(s.read.parquet(f"{path}/in").schema).parquet(f"{path}/in").withWatermark("ts", "0 seconds")
+    write = lambda df, batch: df.withColumn("batch", F.lit(batch)).write.mode("append").parquet(f"{path}/out")
+    before = s.conf.get(provider)
+    s.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream_moods(records).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        s.conf.set(provider, before)
+    return s.read.parquet(f"{path}/out").groupBy("owner_id").agg(F.max_by("mood", F.struct("batch", "at")).alias("mood"))
+
+
 def daily_brief(s, d):
     learned = I.corrections(s, d).where("confidence is null")
     done = views.daily_brief(I.owners(s, d), _goals(s, d), _scored(s, d), records.log_actions(I.actions(s, d)), _observations(s, d), learned, _as_of())
@@ -426,7 +442,7 @@ QUERIES = {f.__name__: f for f in (
     facts_remember, facts_remember_once, facts_forget, facts_forget_count, goals_add, goals_close, goals_close_count, goals_active, observations_log, observations_newest,
     permissions_current, permissions_audit, permissions_rejected, permission_lookup, gate_authorize, gate_denials, gate_authorize_at, gate_denials_at, facts_forget_log, goals_close_log, opportunities_resolve_log, commands_counts, actions_log, actions_newest, actions_all, actions_but_oldest,
     opportunities_score, opportunities_resolve, opportunities_resolve_count, opportunities_pending, opportunities_top, triage_messages, triage_verdicts, triage_priorities,
-    labels_normalize, profile_fields, profile_forget, forms_classify, forms_fill, forms_refused, references, draft_guidance, owner_states, daily_brief, snapshot,
+    labels_normalize, profile_fields, profile_forget, forms_classify, forms_fill, forms_refused, references, draft_guidance, owner_states, owner_states_stream, daily_brief, snapshot,
     calls_rejected, calls_priorities, calls_facts, calls_goals, calls_actions, calls_opportunities, calls_profile,
     store_saved, store_loaded, store_broken, store_appended,
 )}

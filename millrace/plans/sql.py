@@ -185,6 +185,10 @@ ORACLE = {
     "references": f"SELECT owner_id, form_id, pos, {_REFERENCE} AS is_reference FROM form_labels",
     "draft_guidance": f"{held('topics')}, {_FIELDS}, s AS (SELECT owner_id, nullif(trim(coalesce(max(value) FILTER (field = 'first_name'), '') || ' ' || coalesce(max(value) FILTER (field = 'last_name'), '')), '') AS signer FROM fields GROUP BY owner_id) SELECT t.owner_id, t.topic_id, (SELECT count(*) FROM bp WHERE bp.topic_id = t.topic_id AND bp.owner_id = t.owner_id)::INT AS n_priorities, (SELECT count(*) FROM bf WHERE bf.topic_id = t.topic_id AND bf.owner_id = t.owner_id)::INT AS n_facts, s.signer FROM topics t LEFT JOIN s USING (owner_id)",
     "owner_states": states("true", "confidence IS NULL"),
+    "owner_states_stream": """WITH now AS (SELECT max(ts) AS t FROM events),
+  said AS (SELECT user_id AS owner_id, bool_or(event_id % 7 = 0 AND ts > t - INTERVAL 48 HOUR) AS learned, bool_or(event_id % 7 > 0 AND ts > t - INTERVAL 24 HOUR) AS noticed FROM events, now GROUP BY user_id),
+  opps AS (SELECT owner_id, min(CASE WHEN status = 'interrupt' AND risk THEN CASE WHEN owner_id % 4 = 0 THEN 0 END WHEN status = 'interrupt' THEN CASE WHEN owner_id % 4 < 2 THEN 1 END WHEN status = 'brief' AND owner_id % 4 < 3 THEN 2 END) AS best FROM opportunities GROUP BY owner_id)
+  SELECT owner_id, CASE best WHEN 0 THEN 'protective' WHEN 1 THEN 'charged' WHEN 2 THEN 'curious' ELSE CASE WHEN learned THEN 'happy' WHEN noticed THEN 'thinking' ELSE 'calm' END END AS mood FROM said FULL JOIN opps USING (owner_id)""",
     "daily_brief": f"WITH st AS ({states('true', 'confidence IS NULL')}) SELECT st.owner_id, mood, coalesce(g.x, '') AS active_goals, coalesce(p.x, '') AS opportunities, coalesce(a.x, '') AS recent_actions, coalesce(b.x, '') AS recent_observations, coalesce(c.n, 0) AS corrections_learned_from FROM st LEFT JOIN {_GOALS} g USING (owner_id) LEFT JOIN {_LIST(_TOP, 'what', 'place')} p USING (owner_id) LEFT JOIN {_LIST(_LAST('actions', 10), 'outcome', 'place')} a USING (owner_id) LEFT JOIN {_LIST(_LAST('observations', 5), 'note', 'place')} b USING (owner_id) LEFT JOIN {_COUNTED} c USING (owner_id)",
     "snapshot": f"{FOLD} SELECT o.owner_id, coalesce(p.x, '') AS priorities, coalesce(f.x, '') AS facts, coalesce(g.x, '') AS active_goals, coalesce(c.n, 0) AS corrections_learned_from FROM owners o LEFT JOIN {_LIST('priorities', 'context', 'confidence DESC, seq')} p USING (owner_id) LEFT JOIN {_LIST('facts', 'fact', 'seq')} f USING (owner_id) LEFT JOIN {_GOALS} g USING (owner_id) LEFT JOIN {_COUNTED} c USING (owner_id)",
     "calls_rejected": "SELECT owner_id, seq, tool, problem FROM calls WHERE problem IS NOT NULL",

@@ -28,7 +28,8 @@ LEVELS = ("protective", "charged", "curious")
 LAPSES = {"correction": ("happy", CORRECTION_HOURS), "observation": ("thinking", OBSERVATION_HOURS)}
 HOUR = 3_600_000_000
 EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
-RECORDS = "owner_id, kind, id, status, reduces_risk, ts"
+#: Opportunities whose rows are put together before their state is asked for.
+AT_ONCE = 4096
 
 
 class Moods(StatefulProcessor):
@@ -41,16 +42,18 @@ class Moods(StatefulProcessor):
         names = [*LEVELS, *LAPSES, "at", "mood"]
         return dict(zip(names, self._held.get() if self._held.exists() else (0, 0, 0, None, None, None, None)))
 
-    def _count(self, held: dict, ident: int, level: int | None, resolved: bool) -> None:
-        """What is known of an opportunity with this row: its level counts from its first row until it is resolved."""
-        before, done = tuple(self._known.getValue((ident,))) if self._known.containsKey((ident,)) else (None, False)
-        now, over = before if before is not None else level, done or resolved
-        if (now, over) == (before, done):
-            return
-        for at, closed, step in ((before, done, -1), (now, over, 1)):
-            if at is not None and not closed:
-                held[LEVELS[at]] += step
-        self._known.updateValue((ident,), (now, over))
+    def _count(self, held: dict, some: dict[int, tuple[int | None, bool]]) -> None:
+        """What rows say of some opportunities: a level counts from its first row until the opportunity is resolved."""
+        for ident, (level, resolved) in some.items():
+            before, done = self._known.getValue((ident,)) or (None, False)
+            now, over = level if before is None else before, done or resolved
+            if (now, over) == (before, done):
+                continue
+            for at, closed, step in ((before, done, -1), (now, over, 1)):
+                if at is not None and not closed:
+                    held[LEVELS[at]] += step
+            self._known.updateValue((ident,), (now, over))
+        some.clear()
 
     def _settle(self, held: dict, now: int) -> Iterator[Row]:
         """The mood as of now, given out if it is another, and the state kept."""
@@ -62,15 +65,22 @@ class Moods(StatefulProcessor):
             yield Row(at=EPOCH + timedelta(microseconds=now), mood=mood)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        held = self._read()
+        held, some = self._read(), {}
+        before = dict(held)
         for r in rows:
             held["at"] = max(held["at"] or r.micros, r.micros)
             if r.kind in LAPSES:
                 held[r.kind] = max(held[r.kind] or r.micros, r.micros)
-                # Milliseconds, rounded up: not before it has lapsed.
-                self._handle.registerTimer(-(-(r.micros + LAPSES[r.kind][1] * HOUR) // 1000))
             elif r.id is not None and (r.level is not None or r.kind == "resolved"):
-                self._count(held, r.id, r.level, r.kind == "resolved")
+                level, resolved = some.get(r.id, (None, False))
+                some[r.id] = r.level if level is None else level, resolved or r.kind == "resolved"
+                if len(some) >= AT_ONCE:
+                    self._count(held, some)
+        self._count(held, some)
+        for k, (_, hours) in LAPSES.items():
+            if held[k] != before[k]:
+                # Milliseconds, rounded up: not before it has lapsed.
+                self._handle.registerTimer(-(-(held[k] + hours * HOUR) // 1000))
         for out in self._settle(held, held["at"]):
             yield Row(owner_id=key[0], **out.asDict())
 
