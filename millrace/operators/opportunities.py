@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import blank, holds, stripped
+from millrace.operators.ordered import LIMITED, placed
 
 # The score's parts and the bars.
 BASE, ALIGNED, GOAL, RISK, URGENT = "0.20", "0.25", "0.20", "0.15", "0.20"
@@ -52,6 +53,8 @@ def resolve_many(opportunities: DataFrame, needles: list[tuple[str, str]]) -> Da
 
 def pending(opportunities: DataFrame, limit: int | None = None) -> DataFrame:
     """Unresolved ones by score, largest first, ties in stored order; the first `limit` of each owner."""
-    order = Window.partitionBy("owner_id").orderBy(F.desc("score"), "seq")
-    placed = opportunities.where("not resolved").withColumn("place", F.row_number().over(order))
-    return placed.where(F.col("place") <= limit) if limit else placed
+    left = opportunities.where("not resolved")
+    if limit and limit <= LIMITED:
+        return left.withColumn("place", F.row_number().over(Window.partitionBy("owner_id").orderBy(F.desc("score"), "seq"))).where(F.col("place") <= limit)
+    rows = placed(left, ["owner_id"], "seq", lead="score")
+    return rows.where(F.col("place") <= limit) if limit else rows

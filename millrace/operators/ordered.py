@@ -1,8 +1,8 @@
-"""Joins that the record operators rest on: the last row before another, and texts that contain needles.
+"""What the record operators rest on: the last row before another, places in an order, and texts that contain needles.
 
 `as_of` finds, for each row, the last (or next) row of another table with the same key: one window over both,
 whose keys of very many rows are cut into ranges of the order column; what is in force where a range begins is
-taken from a table of one row a range. `containing` finds the pairs of an owner's needles and texts of which
+taken from a table of one row a range. `placed` numbers a key's rows the same way. `containing` finds the pairs of an owner's needles and texts of which
 the text contains the needle, by an index of short grams: a needle is looked for by its rarest gram only, and what
 that finds is verified. Neither forms the product of an owner's rows.
 
@@ -23,12 +23,14 @@ from millrace.sources.shared import settled, small
 
 #: Rows of a key beyond which it is cut into ranges, and the ranges that it is cut into at most.
 HOT_ROWS, MOST_RANGES = 1_000_000, 1_000
+#: First rows of a key up to which each task keeps that many before the shuffle (spark.sql.optimizer.windowGroupLimitThreshold).
+LIMITED = 1_000
 #: Characters of a gram; needles that are shorter are looked for whole.
 GRAM = 3
 
 
 def _parts(rows: DataFrame, by: list[str], at: str, hot: int) -> DataFrame | None:
-    """rows with `part`: the range of `at` that a row of a key of more than `hot` rows lies in, else 0. None without such keys."""
+    """rows with `part`: the range of `at` that a row of a key of more than `hot` rows lies in, else null. None without such keys."""
     counts = rows.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") > hot)
     most = counts.agg(F.max("n")).first()[0]
     if not most:
@@ -38,7 +40,41 @@ def _parts(rows: DataFrame, by: list[str], at: str, hot: int) -> DataFrame | Non
     # There are no more hot keys than rows / hot.
     keys = small(settled(counts.select(*by)))
     bounds = small(settled(rows.join(keys, by).groupBy(*by).agg(F.percentile_approx(at, cuts, 10_000).alias("bounds"))))
-    return settled(rows.join(bounds, by, "left").withColumn("part", F.coalesce(F.size(F.filter("bounds", lambda b: b < F.col(at))), F.lit(0))).drop("bounds"))
+    part = F.when(F.col("bounds").isNotNull(), F.size(F.filter("bounds", lambda b: b < F.col(at))))
+    return settled(rows.join(bounds, by, "left").withColumn("part", part).drop("bounds"))
+
+
+def placed(rows: DataFrame, by: list[str], at: str, lead: str | None = None, newest: bool = False, total: str | None = None, hot: int = HOT_ROWS) -> DataFrame:
+    """rows with `place`, from 1 within equal `by`: by `lead`, largest first, if given, then by `at`, a whole number (`newest`: largest first).
+
+    A key of over `hot` rows is not sorted by one task: its rows are numbered within each value of `lead` and range of `at`,
+    and begin after the rows of those before, which are counted. Nulls come last where the largest come first, else first; null
+    keys are one key, which stays whole. Rows that tie come in any order. `total` names a column for the number of the key's rows.
+    Columns may have any name but `place`, `total`'s and those of this function that begin with `_`.
+    """
+    turn = F.desc if newest else F.asc
+    order = [*([F.desc("_lead")] if lead else []), turn("_at")]
+    numbered = rows.withColumns({"_at": F.col(at).cast("long"), "_lead": F.col(lead) if lead else F.lit(0)})
+    packed = numbered.select(*(F.col(c).alias(f"_by{i}") for i, c in enumerate(by)), "_at", "_lead", F.struct(*rows.columns).alias("_row"))
+    keys = [f"_by{i}" for i in range(len(by))]
+    cut = _parts(packed, keys, "_at", hot)
+    if cut is None:
+        own = Window.partitionBy(*keys)
+        done = packed.withColumns({"_place": F.row_number().over(own.orderBy(*order)), **({"_total": F.count("*").over(own)} if total else {})})
+    else:
+        # Of other keys all rows are one group.
+        groups = [*keys, "_step", "part"]
+        cut = cut.withColumn("_step", F.when(F.col("part").isNotNull(), F.coalesce(F.col("_lead").cast("string"), F.lit(""))))
+        counts = cut.where("part IS NOT NULL").groupBy(*groups).agg(F.count("*").alias("_n"), F.max("_lead").alias("_lead"))
+        every = Window.partitionBy(*keys)
+        before = every.orderBy(F.desc("_lead"), turn("part")).rowsBetween(Window.unboundedPreceding, -1)
+        begins = small(settled(counts.select(*groups, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_begin"), F.sum("_n").over(every).alias("_all"))))
+        own = Window.partitionBy(*groups)
+        done = cut.withColumns({"_place": F.row_number().over(own.orderBy(*order)), **({"_total": F.count("*").over(own)} if total else {})}).join(begins, groups, "left")
+        done = done.withColumn("_place", F.col("_place") + F.coalesce("_begin", F.lit(0)))
+        if total:
+            done = done.withColumn("_total", F.coalesce("_all", "_total"))
+    return done.select("_row.*", F.col("_place").cast("long").alias("place"), *([F.col("_total").cast("long").alias(total)] if total else []))
 
 
 def as_of(left: DataFrame, right: DataFrame, by: list[str], at: str, take: list[str], strict: bool = False, forward: bool = False, hot: int = HOT_ROWS) -> DataFrame:
@@ -55,6 +91,7 @@ def as_of(left: DataFrame, right: DataFrame, by: list[str], at: str, take: list[
     known = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in [*by, "_at"]))
     rows = held.where(known).unionByName(asked.where(known))
     cut = _parts(rows, by, "_at", hot)
+    cut = cut and cut.fillna(0, "part")
     own = Window.partitionBy(*by, *(["part"] if cut else [])).orderBy("_at", "_side", "_held").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     near = (cut or rows).withColumn("found", F.last("_held", ignorenulls=True).over(own)).where(f"_side = {then}")
     if cut:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import category, holds, stripped
+from millrace.operators.ordered import LIMITED, placed
 
 
 def _checked(needle: str, allow_empty: bool) -> str:
@@ -70,8 +71,9 @@ def log_actions(entries: DataFrame) -> DataFrame:
 
 def newest(log: DataFrame, limit: int) -> DataFrame:
     """An owner's last `limit` rows, newest first by position; 0 is all, a negative number drops that many oldest."""
-    if limit > 0:
+    if 0 < limit <= LIMITED:
         return log.withColumn("place", F.row_number().over(Window.partitionBy("owner_id").orderBy(F.desc("seq")))).where(F.col("place") <= limit)
-    age = F.row_number().over(Window.partitionBy("owner_id").orderBy("seq"))
-    place = F.row_number().over(Window.partitionBy("owner_id").orderBy(F.desc("seq")))
-    return log.withColumns({"age": age, "place": place}).where(F.col("age") > -limit).drop("age")
+    if limit >= 0:
+        rows = placed(log, ["owner_id"], "seq", newest=True)
+        return rows.where(F.col("place") <= limit) if limit else rows
+    return placed(log, ["owner_id"], "seq", newest=True, total="_rows").where(F.col("place") <= F.col("_rows") + limit).drop("_rows")

@@ -149,3 +149,40 @@ def test_commands_leave_closed_rows_and_empty_tables(spark):
     assert commands.goals_after(goals, none).count() == 5 and commands.goals_after(goals.limit(0), one).count() == 0
     opps = spark.createDataFrame([(1, 1, "x", True, "old"), (1, 2, "x", False, None)], "owner_id long, seq long, what string, resolved boolean, outcome string")
     assert sorted((r.seq, r.resolved, r.outcome, r.resolved_by) for r in commands.opportunities_after(opps, one).collect()) == [(1, True, "old", None), (2, True, "done", 6)]
+
+
+@pytest.mark.parametrize("newest", [False, True])
+@pytest.mark.parametrize("hot", [30, 10**6])
+def test_places_equal_a_sort(spark, hot, newest):
+    """Hot keys cut into ranges, ties of the lead, nulls in lead, order and key, clashing names, an empty table."""
+    rng = random.Random(hot)
+    rows = [(rng.choice([1, 1, 1, 2, 3]) if i % 40 else None, i if i % 50 else None, rng.choice([0.5, 0.25, None, 0.75]), i) for i in rng.sample(range(600), 600)]
+    df = spark.createDataFrame(rows, "owner_id long, seq long, score double, part int")
+    for lead in (None, "score"):
+        got = {}
+        for r in ordered.placed(df, ["owner_id"], "seq", lead, newest, "n", hot).collect():
+            got.setdefault(r.owner_id, []).append(r)
+        for owner, found in got.items():
+            mine = [r for r in rows if r[0] == owner]
+            assert [r.place for r in sorted(found, key=lambda r: r.place)] == list(range(1, len(mine) + 1)) and {r.n for r in found} == {len(mine)}
+            # Nulls are smallest: first where the smallest are first, last where the largest are.
+            sign = -1 if newest else 1
+            score = lambda x: 0 if not lead else 9 if x is None else -x
+            want = sorted((score(r[2]), sign * (-1 if r[1] is None else r[1])) for r in mine)
+            assert [(score(r.score), sign * (-1 if r.seq is None else r.seq)) for r in sorted(found, key=lambda r: r.place)] == want
+        assert len(got) == 4
+    assert ordered.placed(df.limit(0), ["owner_id"], "seq", "score").collect() == []
+
+
+def test_first_rows_are_cut_before_the_shuffle(spark):
+    """Up to LIMITED rows, tasks keep only the first of a key; beyond it places come by ranges. All limits agree."""
+    from millrace.operators import opportunities, records
+
+    df = spark.range(3000).select((F.col("id") % 2).alias("owner_id"), F.col("id").alias("seq"), (F.col("id") % 7).cast("double").alias("score"), F.lit(False).alias("resolved"))
+    for few in (records.newest(df, 5), opportunities.pending(df, 5)):
+        plan = few._jdf.queryExecution().executedPlan().toString()
+        assert plan.index("WindowGroupLimit") < plan.index("Exchange hashpartitioning") and "Partial" in plan
+    assert {r.seq for r in records.newest(df, 1200).where("owner_id = 0").collect()} == {x for x in range(0, 3000, 2)} - set(range(0, 600, 2))
+    assert records.newest(df, 0).count() == 3000 and records.newest(df, -1499).select("owner_id", "seq").collect() != []
+    assert sorted(r.seq for r in records.newest(df, -1499).collect()) == [2998, 2999] and records.newest(df, -1500).count() == 0
+    assert opportunities.pending(df, 1100).where("place = 1100").count() == 2
