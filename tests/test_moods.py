@@ -85,3 +85,35 @@ def test_last_moods_equal_a_loop(moods):
         want[owner] = ("protective", "charged", "curious")[min(levels)] if levels else "happy" if s["correction"] > now - 48 else "thinking" if s["observation"] > now - 24 else "calm"
     given = moods([rows[:50], rows[50:]])
     assert {o: m for o, m, _ in given} == want and len(set(want.values())) > 1
+
+
+def test_state_is_asked_for_once_a_block(monkeypatch):
+    """Two calls to the store for each block of ids that a micro-batch touches, none to write what stays; the counts are a loop's."""
+    import numpy as np
+
+    from millrace.streaming import moods
+
+    stored, calls = {}, []
+
+    class Known:
+        def getValue(self, key):
+            calls.append(key)
+            return stored.get(key)
+
+        def updateValue(self, key, value):
+            calls.append(key)
+            stored[key] = value
+
+    processor, rng = moods.Moods(), np.random.default_rng(3)
+    processor._known = Known()
+    held, level, gone = dict.fromkeys(moods.LEVELS, 0), {}, set()
+    for _ in range(6):
+        ids, said = rng.integers(-40_000, 40_000, 30_000), rng.choice([1, 2, 3, 4], 30_000).astype("i1")
+        for i, x in zip(ids.tolist(), said.tolist()):
+            gone.add(i) if x == moods.RESOLVED else level.setdefault(i, x)
+        calls.clear()
+        processor._count(held, ids, said)
+        assert len(calls) == 2 * len({i >> moods.BLOCK_BITS for i in ids.tolist()}) == 12
+        assert [*held.values()] == [sum(v == k and i not in gone for i, v in level.items()) for k in (1, 2, 3)]
+    processor._count(held, ids, said)
+    assert len(calls) == 12 + 6
