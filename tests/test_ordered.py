@@ -186,3 +186,33 @@ def test_first_rows_are_cut_before_the_shuffle(spark):
     assert records.newest(df, 0).count() == 3000 and records.newest(df, -1499).select("owner_id", "seq").collect() != []
     assert sorted(r.seq for r in records.newest(df, -1499).collect()) == [2998, 2999] and records.newest(df, -1500).count() == 0
     assert opportunities.pending(df, 1100).where("place = 1100").count() == 2
+
+
+@pytest.mark.parametrize("pairs", [1 << 23, 50])
+def test_basis_is_dealt_out_where_it_makes_many_rows(spark, pairs):
+    """Equal topics of one owner in slices, null owners, ids and topics: the same pairs; over `pairs` a given number of partitions."""
+    topics = spark.range(300).select(F.when(F.col("id") % 50 > 0, F.col("id") % 3).alias("owner_id"), F.when(F.col("id") % 41 > 0, F.col("id")).alias("topic_id"), F.when(F.col("id") % 7 > 0, F.lit("ring")).alias("topic"))
+    facts = spark.range(60).select((F.col("id") % 3).alias("owner_id"), F.col("id").alias("seq"), F.when(F.col("id") % 2 > 0, F.lit("a Ring")).otherwise("none").alias("fact"))
+    got = priorities.basis_facts(topics, facts, pairs)
+    plain = topics.join(facts, "owner_id").where(F.contains(F.lower("fact"), F.coalesce("topic", F.lit(""))))
+    key = lambda r: (r.owner_id, r.topic_id or -1, r.seq)
+    assert sorted(map(key, got.collect())) == sorted(map(key, plain.collect())) and plain.count() > 3000
+    assert (got.rdd.getNumPartitions() > 40) == (pairs == 50)
+
+
+def test_lists_are_not_shuffled_for_each_topic(spark):
+    """An owner's equal topics share one list: the shuffles of 20,000 topics with 300 facts each stay small. Rows of one id are one topic."""
+    from millrace.operators import forms
+
+    topics = spark.range(20_000).select(F.lit(1).alias("owner_id"), F.col("id").alias("topic_id"), F.lit("ring").alias("topic"))
+    facts = spark.range(300).select(F.lit(1).alias("owner_id"), F.col("id").alias("seq"), F.concat(F.lit("ring "), F.sha2(F.col("id").cast("string"), 256)).alias("fact"))
+    held = spark.createDataFrame([(1, 1, "ring", "a", "b", 0.9)], "owner_id long, seq long, context string, higher string, lower string, confidence double")
+    maps = spark.createDataFrame([(1, {"full_name": "Ada"})], "owner_id long, profile map<string,string>")
+    done = forms.draft_guidance(topics, held, facts, maps)
+    assert done.agg(F.sum(F.size("facts")), F.sum(F.size("priorities")), F.min("signer")).first()[:] == (6_000_000, 20_000, "Ada")
+    text = done._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in text.splitlines() if "Join" in line]
+    assert "<=>" in joins[0]  # what meets the topics last is the lists
+    twice = spark.createDataFrame([(1, 5, "ring"), (1, 5, "zzz"), (1, 5, "ring"), (1, None, "ring"), (None, 6, "ring")], "owner_id long, topic_id long, topic string")
+    got = {(r.owner_id, r.topic_id, r.topic): len(r.facts) for r in priorities.explain_basis(twice, held, facts).collect()}
+    assert got == {(1, 5, "ring"): 600, (1, 5, "zzz"): 600, (1, None, "ring"): 0, (None, 6, "ring"): 0}
