@@ -216,3 +216,19 @@ def test_lists_are_not_shuffled_for_each_topic(spark):
     twice = spark.createDataFrame([(1, 5, "ring"), (1, 5, "zzz"), (1, 5, "ring"), (1, None, "ring"), (None, 6, "ring")], "owner_id long, topic_id long, topic string")
     got = {(r.owner_id, r.topic_id, r.topic): len(r.facts) for r in priorities.explain_basis(twice, held, facts).collect()}
     assert got == {(1, 5, "ring"): 600, (1, 5, "zzz"): 600, (1, None, "ring"): 0, (None, 6, "ring"): 0}
+
+
+@pytest.mark.parametrize("few", [32, 1, 0])
+def test_commands_by_stretches_and_by_index(spark, few):
+    """Many commands of few needles, several at one place (the smallest by outcome counts), rows of one place, owners of either kind."""
+    rng = random.Random(8)
+    rows = [(rng.choice([1, 1, 2, 3, None]), rng.choice([None, *range(300)]), rng.choice(["ab", "Bc", "abc", None, ""]), i) for i in range(600)]
+    orders = [(rng.choice([1, 1, 2]) if i % 30 else None, rng.randrange(0, 310, 2), rng.choice(["a", "B", "c", "BC"]), rng.choice(["x", "y", None])) for i in range(180)] + [(4, 1, "a", "x")]
+    orders = [(o, s, n if o != 2 else "b", x) for o, s, n, x in orders]
+    got = commands.with_hits(
+        spark.createDataFrame(rows, "owner_id long, seq long, what string, stretch int"),
+        spark.createDataFrame(orders, "owner_id long, seq long, needle string, outcome string"), "what", few=few,
+    ).collect()
+    meets = lambda o, s, t: [(q, x or "done") for p, q, n, x in orders if None not in (o, s, t) and p == o and q > s and n.lower() in t.lower()]
+    assert {r.stretch: r.hit and tuple(r.hit) for r in got} == {i: min(meets(o, s, t), default=None) for o, s, t, i in rows}
+    assert len(got) == 600
