@@ -244,3 +244,19 @@ def test_owner_states_over_all_rows(spark):
         spark.createDataFrame(seen, "owner_id long, ts string"), spark.createDataFrame(noted, "owner_id long, ts string"), F.lit("2024-01-30 12:00:00").cast("timestamp_ntz"),
     )
     assert {r.owner_id: r.mood for r in made.collect()} == {i: moods[(i + i // 6) % 6] for i in range(18)}
+
+
+def test_labels_are_worked_out_once_each(spark):
+    """What labels mean is what the expressions say of each row, null and repeated labels too, but is read from one row a distinct label."""
+    from millrace.functions import labels as L
+    from millrace.operators import forms
+
+    names, rows = ["card_number", "pin_home"], [(i, x) for i, x in enumerate(["E-mail", "Card number", None, "", "Community", "PIN", "E-mail", None, "Shoe size"] * 3)]
+    df, stored = spark.createDataFrame(rows, "pos long, label string"), F.array(*map(F.lit, names))
+    got = forms.label_meanings(df, names)
+    label = F.col("label")
+    want = df.select("pos", "label", L.sensitive(label).alias("hidden"), L.field_of(label).alias("key"), L.slot_for(label, stored).alias("held"), L.suggested_slot(label).alias("named"))
+    by_pos = lambda frame: sorted(frame.select(*want.columns).collect(), key=lambda r: r.pos)
+    assert by_pos(got) == by_pos(want) and got.count() == 27
+    text = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in text and "regexp_replace" not in text
