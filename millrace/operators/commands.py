@@ -22,12 +22,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.ordered import HOT_ROWS, as_of, containing, placed
-from millrace.sources.shared import BROADCAST_ROWS, settled, small
+from millrace.sources.shared import settled, small
 
 # The kinds of commands, and the outcome of a resolve that names none.
 FORGET, CLOSE, RESOLVE, DONE = "forget", "close", "resolve", "done"
 #: Different needles of an owner up to which its commands are listed by stretches, and how many commands a stretch has.
 FEW, STRETCH = 32, 16
+#: Bytes of lists up to which they are broadcast, those that an entry takes besides its texts, and the numbers that deal out rows without a list.
+BROADCAST_LISTS, ENTRY_BYTES, APART = 1 << 28, 56, 1 << 12
 
 
 def refused(commands: DataFrame, allow_empty: bool = False) -> DataFrame:
@@ -35,9 +37,9 @@ def refused(commands: DataFrame, allow_empty: bool = False) -> DataFrame:
     return commands.where("needle IS NULL" if allow_empty else "coalesce(needle, '') = ''")
 
 
-def _reached(ends: Column, at: Column) -> Column:
-    """How many numbers of a sorted array are not above `at`, by halving."""
-    powers = F.array(*(F.lit(1 << k) for k in range(29, -1, -1)))
+def _reached(ends: Column, at: Column, most: int) -> Column:
+    """How many numbers of a sorted array of `most` at most are not above `at`, by halving."""
+    powers = F.array(*(F.lit(1 << k) for k in reversed(range(max(most, 1).bit_length()))))
     return F.aggregate(powers, F.lit(0), lambda n, p: F.when(F.get(ends, n + p - 1) <= at, n + p).otherwise(n))
 
 
@@ -52,12 +54,19 @@ def _by_stretches(rows: DataFrame, due: DataFrame, text: str, hot: int) -> DataF
     grid = ends.select(*by).join(due.select("owner_id", "command.needle").distinct(), "owner_id").join(firsts, [*by, "needle"], "left")
     after = grid.withColumn("command", F.last("first", ignorenulls=True).over(later)).where("command IS NOT NULL").select(*by, "command")
     lists = settled(due.unionByName(after).groupBy(*by).agg(F.array_sort(F.collect_list("command")).alias("_list")))
-    lists = F.broadcast(lists) if due.count() <= BROADCAST_ROWS else lists
+    weight = F.aggregate("_list", F.lit(0).cast("long"), lambda n, c: n + ENTRY_BYTES + F.octet_length(c["needle"]) + F.octet_length(c["outcome"]))
+    size, last = lists.agg(F.coalesce(F.sum(weight), F.lit(0)), F.coalesce(F.max("_stretch"), F.lit(-1))).first()
+    lists = F.broadcast(lists) if size <= BROADCAST_LISTS else lists
     # A stretch that ends where the one before does adds nothing to look up, so ends may repeat.
     own_ends = settled(ends.groupBy("owner_id").agg(F.array_sort(F.collect_list("end")).alias("_ends")))
-    placed_rows = rows.join(small(own_ends), "owner_id", "left").withColumns({"_stretch": _reached(F.col("_ends"), F.col("seq")), "_low": F.lower(text)}).drop("_ends")
-    found = F.get(F.filter("_list", lambda c: (c["seq"] > F.col("seq")) & F.contains(F.col("_low"), c["needle"])), F.lit(0))
-    return placed_rows.join(lists, by, "left").select(*rows.columns, F.when(found.isNotNull(), F.struct(found["seq"].alias("seq"), found["outcome"].alias("outcome"))).alias("hit"))
+    asked = rows.join(small(own_ends), "owner_id", "left").withColumns({"_at": _reached(F.col("_ends"), F.col("seq"), last + 1), "_low": F.lower(text)})
+    # Rows that no list is for get one of APART numbers below zero: a shuffle deals them out, however many an owner has.
+    apart = -1 - F.pmod(F.xxhash64("seq", "_low"), F.lit(APART)).cast("int")
+    asked = asked.withColumn("_stretch", F.when((F.col("_at") < F.size("_ends")) & F.col("seq").isNotNull(), F.col("_at")).otherwise(apart)).drop("_ends", "_at")
+    met = F.filter("_list", lambda c: (c["seq"] > F.col("seq")) & F.contains(F.col("_low"), c["needle"]))
+    # One expression, so that a list is gone through once.
+    hit = F.get(F.transform(F.slice(met, 1, 1), lambda c: F.struct(c["seq"].alias("seq"), c["outcome"].alias("outcome"))), F.lit(0))
+    return asked.join(lists, by, "left").select(*rows.columns, hit.alias("hit"))
 
 
 def _by_needles(rows: DataFrame, due: DataFrame, text: str, hot: int) -> DataFrame:

@@ -232,3 +232,32 @@ def test_commands_by_stretches_and_by_index(spark, few):
     meets = lambda o, s, t: [(q, x or "done") for p, q, n, x in orders if None not in (o, s, t) and p == o and q > s and n.lower() in t.lower()]
     assert {r.stretch: r.hit and tuple(r.hit) for r in got} == {i: min(meets(o, s, t), default=None) for o, s, t, i in rows}
     assert len(got) == 600
+
+
+@pytest.mark.parametrize("most", [1, 2, 7, 8, 9])
+def test_places_among_ends_by_as_few_halvings_as_they_need(spark, most):
+    ends = sorted(random.Random(most).choices(range(12), k=most))
+    df = spark.range(-1, 14).withColumn("ends", F.when(F.col("id") < 13, F.array(*map(F.lit, ends))))
+    got = {r.id: r.n for r in df.select("id", commands._reached(F.col("ends"), F.col("id"), most).alias("n")).collect()}
+    assert got == {i: sum(e <= i for e in ends) if i < 13 else 0 for i in range(-1, 14)}
+
+
+def test_lists_of_many_commands_are_broadcast_and_gone_through_once(spark, monkeypatch):
+    """120,000 commands fit the bytes that may be broadcast, so no row is shuffled; beyond these, rows that no list is for are dealt out."""
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.coalescePartitions.enabled")}
+    for k, v in zip(keep, ("-1", "false")):
+        spark.conf.set(k, v)
+    try:
+        orders = spark.range(120_000).select(F.lit(1).alias("owner_id"), F.col("id").alias("seq"), F.element_at(F.array(F.lit("a"), F.lit("b")), (F.col("id") % 2 + 1).cast("int")).alias("needle"), F.lit("x").alias("outcome"))
+        # All rows of owner 2, who has no commands, and those of owner 1 after the last command.
+        rows = spark.range(8_000).select((F.col("id") % 2 + 1).alias("owner_id"), (F.col("id") + 116_000).alias("seq"), F.lit("B").alias("what"))
+        plan = commands.with_hits(rows, orders, "what")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("filter(_list") == 1 and "rightHint=(strategy=broadcast)" in next(line for line in plan.splitlines() if "Join" in line)
+        monkeypatch.setattr(commands, "BROADCAST_LISTS", 0)
+        got = commands.with_hits(rows, orders, "what").withColumn("part", F.spark_partition_id()).collect()
+        assert {r.seq: r.hit and r.hit.seq for r in got} == {116_000 + i: None if i % 2 or i > 3998 else 116_000 + i + 1 for i in range(8_000)}
+        most = max(sum(r.part == p and r.owner_id == 2 for r in got) for p in range(4))
+        assert len(got) == 8_000 and most < 1_500
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
