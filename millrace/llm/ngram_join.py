@@ -5,8 +5,9 @@ orders all grams from rare to common. Two sets of the wanted similarity share on
 in that order, whose number follows from the set's size, so the columns of the product are these grams.
 Within each column the sets are compared by size and by a bitmap that each set carries (a bit per gram's
 hash, flipped by each gram): bits that differ are grams that differ, which bounds the overlap from above,
-and pairs below the bound that their sizes ask for go at once. What is left is joined into groups by a
-spanning forest, and within each group the product itself is taken: rows against columns, column block by
+and pairs below the bound that their sizes ask for go at once. Sets that are left are compared once more in the
+columns that they share with sets of like size, by bitmaps that are as large as the sets: the small ones of fixed size tell
+nothing of long texts. What is left then is joined into groups by a spanning forest, and within each group the product itself is taken: rows against columns, column block by
 column block, overlap counts accumulate and a pair that can no longer reach its bound goes. A row is taken
 against the rows that it isn't linked with yet, so a group of copies costs in proportion to its size.
 
@@ -23,6 +24,7 @@ are ignored; repeated rows give repeated result rows.
 
 from __future__ import annotations
 
+import copy
 import hashlib
 import math
 from dataclasses import dataclass
@@ -33,14 +35,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import components, in_batches, keyed_join, lean, mix, pack_cells, runs, settled, slices, unpack_cells, word_hashes
+from millrace.llm.shared import components, in_batches, keyed_join, lean, mix, pack_cells, runs, settled, sifted, slices, unpack_cells, word_hashes
 
-#: Signatures that one reducer task gets together, about.
-PER_RANGE = 300_000
+#: Signatures that one reducer task gets together, about: with bitmaps, and those without that sets are compared by again.
+PER_RANGE, PER_FINE = 1_200_000, 2_000_000
 #: Sketch: 2 ** MOST_BITS cells of half a byte at most, in parts of 2 ** PART_BITS; grams that a task gathers before it sends them, and bytes of text whose sketches one task sums up, about.
 MOST_BITS, PART_BITS, GATHERED, SUMMED = 26, 18, 1_500_000, 8_000_000_000
 #: 64-bit words of a set's bitmap; bytes of text in a block, sets that go into every block of a group, rows and columns of a tile.
 WORDS, BLOCK_BYTES, SHARED_SETS, TILE_ROWS, TILE_COLUMNS = 2, 8_000_000, 8, 128, 1_024
+#: Bits at least of a bitmap that grows with its set.
+LEAST_BITS = 512
 #: Rows of a column that are compared pair by pair; rows of a batch's column beyond which close sets go on as one ball, and its radius in bits.
 SMALL, MANY, RADIUS = 16, 64, 16
 
@@ -169,13 +173,21 @@ class Forest:
         return a != b
 
 
-def bitmap(grams: np.ndarray) -> np.ndarray:
-    """A bit for each hash, flipped by each gram: bits that differ between sets are grams that differ."""
-    bit = mix(grams ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(64 * WORDS)
-    odd = (np.bincount(bit.astype(np.int64), minlength=64 * WORDS) & 1).astype(np.uint8)
+def bitmap(grams: np.ndarray, bits: int = 64 * WORDS) -> np.ndarray:
+    """A bit for each hash, flipped by each gram: bits that differ between sets are grams that differ.
+
+    The halves of a map of 2 ** n bits make the map of half the size: a bit of it is set where one of theirs is.
+    """
+    bit = mix(grams ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(bits)
+    odd = (np.bincount(bit.astype(np.int64), minlength=bits) & 1).astype(np.uint8)
     return np.packbits(odd, bitorder="little").view("<u8")
 
 
+def whole_bitmap(grams: np.ndarray) -> np.ndarray:
+    """The bitmap of over half as many bits as grams, and of LEAST_BITS at least."""
+    return bitmap(grams, max(LEAST_BITS, 1 << len(grams).bit_length() - 1))
+
+
 def spanning(n: int, reached) -> list[tuple[int, int]]:
     """Pairs that connect what a relation on range(n) connects: reached(rows, others) gives the pairs that hold.
 
@@ -228,6 +240,40 @@ class Balls:
         return keep & (n + m - apart >= 2 * -(-t * (n + m) // (100 + t)))
 
 
+class Maps:
+    """Rows of sets, whose bitmaps are as large as the sets: `row` is the set of each row."""
+
+    def __init__(self, row: np.ndarray, size: np.ndarray, maps: list[np.ndarray]):
+        self.row, self.size, self.level = row, size, np.array([len(m).bit_length() for m in maps], np.int64)
+        self.place, self.maps = {}, {}
+        for e in np.unique(self.level).tolist():
+            # Sets of the next size up are here too, folded.
+            own, next_up = np.flatnonzero(self.level == e), np.flatnonzero(self.level == e + 1)
+            self.place[e] = np.full(len(maps), -1)
+            self.place[e][np.concatenate([own, next_up])] = np.arange(len(own) + len(next_up))
+            self.maps[e] = np.stack([*(maps[x] for x in own), *(maps[x][: len(maps[x]) // 2] ^ maps[x][len(maps[x]) // 2 :] for x in next_up)])
+
+    def take(self, at: np.ndarray) -> Maps:
+        out = copy.copy(self)
+        out.row = self.row[at]
+        return out
+
+    def possible(self, i: np.ndarray, j: np.ndarray, t: int) -> np.ndarray:
+        """Which pairs sizes and bitmaps don't rule out; maps that differ more than twofold in size rule out none."""
+        a, b = self.row[i], self.row[j]
+        n, m = self.size[a], self.size[b]
+        need, low = least_overlap(n, m, t), np.minimum(self.level[a], self.level[b])
+        keep = np.minimum(n, m) >= need
+        tested = keep & (np.maximum(self.level[a], self.level[b]) <= low + 1)
+        for e in np.unique(low[tested]).tolist():
+            place, maps, at = self.place[e], self.maps[e], np.flatnonzero(tested & (low == e))
+            step = max(1, (1 << 20) // maps.shape[1])
+            for x in (at[c : c + step] for c in range(0, len(at), step)):
+                apart = np.bitwise_count(maps[place[a[x]]] ^ maps[place[b[x]]]).sum(1, dtype=np.int64)
+                keep[x] = n[x] + m[x] - apart >= 2 * need[x]
+        return keep
+
+
 def _pairs(rows: np.ndarray, others: np.ndarray, test) -> tuple[np.ndarray, np.ndarray]:
     """The pairs of rows and others that pass the test, tile by tile."""
     found = []
@@ -240,7 +286,7 @@ def _pairs(rows: np.ndarray, others: np.ndarray, test) -> tuple[np.ndarray, np.n
     return np.concatenate(a), np.concatenate(b)
 
 
-def met(keys: np.ndarray, nodes: np.ndarray, balls: Balls, t: int) -> list[tuple[int, int]]:
+def met(keys: np.ndarray, nodes: np.ndarray, balls: Balls | Maps, t: int) -> list[tuple[int, int]]:
     """A spanning forest over nodes of the possible pairs that share a key; a row for each key, node and ball."""
     order = np.lexsort((nodes, keys))
     keys, nodes, balls = keys[order], nodes[order], balls.take(order)
@@ -317,6 +363,28 @@ def _digests(k: int):
     return run
 
 
+def packed(keys: np.ndarray, values: dict[str, np.ndarray], ranges: int, fields) -> list[tuple[int, bytes, int]]:
+    """(range of keys, its rows as columns of bytes, their number), by range; nodes of a range stand together."""
+    part = ((keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+    order = np.lexsort((values["nodes"], part))
+    part, values = part[order], {n: x[order] for n, x in values.items()}
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+    return [(int(part[i]), b"".join(values[n][i:j].astype(kind).tobytes() for n, kind in fields), j - i) for i, j in zip(cuts, cuts[1:]) if j > i]
+
+
+def unpacked(blobs, counts, fields) -> dict[str, np.ndarray]:
+    """The columns of all blobs, one behind the other."""
+    found = {n: [] for n, _ in fields}
+    for blob, n in zip(blobs, counts):
+        at = 0
+        for name, kind in fields:
+            count = n * WORDS if name == "maps" else n
+            found[name].append(np.frombuffer(blob, kind, count, at))
+            at += count * np.dtype(kind).itemsize
+    return {n: np.concatenate(x) for n, x in found.items()}
+
+
+_KEYED = (("keys", "<u4"), ("nodes", "<i8"), ("size", "<u4"))
 _FIELDS = (("keys", "<u4"), ("nodes", "<i8"), ("low", "<u4"), ("high", "<u4"), ("radius", "<u2"), ("maps", "<u8"))
 
 
@@ -336,15 +404,8 @@ def _candidates(k: int, t: int, ranges: int, levels):
             maps = np.stack([bitmap(s) for s in sets])[of]
             at, balls, links = gathered(keys, nodes, Balls(size, size, np.zeros(len(size), np.int64), maps), t)
             out = [(-1 - int(x) % ranges, None, int(x), int(y)) for x, y in links]
-            keys, nodes = keys[at], nodes[at]
-            part = ((keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
-            order = np.lexsort((nodes, part))
-            values = dict(zip((n for n, _ in _FIELDS), (keys[order], nodes[order], balls.low[order], balls.high[order], balls.radius[order], balls.maps[order])))
-            cuts = [0, *(np.flatnonzero(np.diff(part[order])) + 1).tolist(), len(part)]
-            for i, j in zip(cuts, cuts[1:]):
-                if j > i:
-                    blob = b"".join(values[n][i:j].astype(kind).tobytes() for n, kind in _FIELDS)
-                    out.append((int(part[order][i]), blob, j - i, None))
+            keys, values = keys[at], {"keys": keys[at], "nodes": nodes[at], "low": balls.low, "high": balls.high, "radius": balls.radius, "maps": balls.maps}
+            out += [(*x, None) for x in packed(keys, values, ranges, _FIELDS)]
             cols = list(zip(*out)) if out else [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(cols, (pa.int32(), pa.binary(), pa.int64(), pa.int64()))], ["part", "blob", "a", "b"])
 
@@ -355,20 +416,83 @@ def _meet(t: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         if pdf["part"].iloc[0] < 0:
             return pdf[["a", "b"]].astype("int64")
-        found = {n: [] for n, _ in _FIELDS}
-        for blob, n in zip(pdf["blob"], pdf["a"].astype("int64")):
-            at = 0
-            for name, kind in _FIELDS:
-                count = n * WORDS if name == "maps" else n
-                found[name].append(np.frombuffer(blob, kind, count, at))
-                at += count * np.dtype(kind).itemsize
-        every = {n: np.concatenate(x) for n, x in found.items()}
+        every = unpacked(pdf["blob"], pdf["a"].astype("int64"), _FIELDS)
         balls = Balls(*(every[n].astype(np.int64) for n in ("low", "high", "radius")), every["maps"].reshape(-1, WORDS))
         return pd.DataFrame(met(every["keys"], every["nodes"], balls, t), columns=["a", "b"], dtype="int64")
 
     return run
 
 
+def _keyed(k: int, t: int, ranges: int, levels):
+    """Per batch and range of keys: the first grams of its sets."""
+
+    @lean
+    def run(batches):
+        for b in batches:
+            sets = [s for s in gram_sets(b.column("text").cast(pa.binary()).to_pylist(), k) if len(s)]
+            if not sets:
+                continue
+            rows = [mix(first_grams(s, t, levels.value)) for s in sets]
+            of, keys = np.repeat(np.arange(len(sets)), [len(r) for r in rows]), np.concatenate(rows)
+            values = {"keys": keys, "nodes": np.array([short_id(set_id(s)) for s in sets], np.int64)[of], "size": np.array([len(s) for s in sets], np.int64)[of]}
+            cols = list(zip(*packed(keys, values, ranges, _KEYED))) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(cols, (pa.int32(), pa.binary(), pa.int64()))], ["part", "blob", "n"])
+
+    return run
+
+
+def _shared(t: int):
+    """Of each set the keys that another one of like size has too, a row for each set and range of keys."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        every = unpacked(pdf["blob"], pdf["n"].astype("int64"), _KEYED)
+        order = np.lexsort((every["size"], every["keys"]))
+        keys, nodes, size = every["keys"][order], every["nodes"][order], every["size"][order].astype(np.int64)
+        # Of the rows of a key the next smaller and the next larger set are the likeliest.
+        close = (keys[1:] == keys[:-1]) & (size[:-1] >= least_overlap(size[:-1], size[1:], t))
+        at = np.flatnonzero(np.concatenate([close, [False]]) | np.concatenate([[False], close]))
+        at = at[np.argsort(nodes[at], kind="stable")]
+        cuts = np.flatnonzero(np.concatenate([[True], np.diff(nodes[at]) != 0, [True]])).tolist() if len(at) else [0]
+        out = [(int(nodes[at[i]]), keys[at[i:j]].tobytes()) for i, j in zip(cuts, cuts[1:])]
+        return pd.DataFrame(out, columns=["short", "keys"]).assign(part=pdf["part"].iloc[0])[["part", "short", "keys"]]
+
+    return run
+
+
+def _mapped(k: int):
+    """Per set its size and its whole bitmap."""
+
+    @lean
+    def run(batches):
+        for b in batches:
+            sets = [s for s in gram_sets(b.column("text").cast(pa.binary()).to_pylist(), k) if len(s)]
+            cols = [pa.array([short_id(set_id(s)) for s in sets], pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array([whole_bitmap(s).tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["short", "size", "map"])
+
+    return run
+
+
+def _meet_again(t: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        keys = [np.frombuffer(x, "<u4") for x in pdf["keys"]]
+        of = np.repeat(np.arange(len(keys)), [len(x) for x in keys])
+        maps = Maps(of, pdf["size"].to_numpy(np.int64), [np.frombuffer(x, "<u8") for x in pdf["map"]])
+        return pd.DataFrame(met(np.concatenate(keys), pdf["short"].to_numpy(np.int64)[of], maps, t), columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def finer(docs: DataFrame, k: int, percent: int, size: int, levels) -> DataFrame:
+    """Pairs (a, b) of short ids that connect the sets which may be similar, as whole bitmaps tell; `size` bytes of text in all.
+
+    First grams go to ranges of keys without bitmaps; what is shared there goes on, and bitmaps go where it is, one for each set and range.
+    """
+    ranges = max(1, math.ceil(size / 6 * (100 - percent) / 100 / PER_FINE))
+    shared = docs.mapInArrow(_keyed(k, percent, ranges, levels), "part int, blob binary, n long").groupBy("part").applyInPandas(_shared(percent), "part int, short long, keys binary")
+    maps = docs.mapInArrow(_mapped(k), "short long, size long, map binary")
+    return shared.join(maps, "short").groupBy("part").applyInPandas(_meet_again(percent), "a long, b long")
+
+
 class Product:
     """Links among sets by the sparse product of their incidence, rows against columns.
 
@@ -469,7 +593,10 @@ def _labelled(docs: DataFrame, k: int, percent: int, block: int) -> tuple[DataFr
     ranges = max(1, math.ceil(size / 6 * (100 - percent) / 100 / PER_RANGE))
     levels = docs.sparkSession.sparkContext.broadcast(commonness(kept, k, size))  # 2 ** MOST_BITS / 2 bytes at most
     rows = kept.mapInArrow(_candidates(k, percent, ranges, levels), "part int, blob binary, a long, b long")
-    near = components(rows.groupBy("part").applyInPandas(_meet(percent), "a long, b long")).select(F.col("node").alias("short"), F.col("label").alias("near"))
+    some = rows.groupBy("part").applyInPandas(_meet(percent), "a long, b long").select(F.explode(F.array("a", "b")).alias("short")).distinct()
+    asked = settled(one.join(some, "short", "left_semi").select(F.col("first.row").alias("row"), "bytes"))
+    like = in_batches(sifted(docs, asked.select("row"), "row"))
+    near = components(finer(like, k, percent, asked.agg(F.sum("bytes")).first()[0] or 0, levels)).select(F.col("node").alias("short"), F.col("label").alias("near"))
     wanted = settled(near.join(one, "short").select("near", "node", F.col("first.row").alias("row"), "bytes"))
     some = [F.min_by("node", F.xxhash64("node", F.lit(s))) for s in range(SHARED_SETS)]
     groups = wanted.groupBy("near").agg(_blocks(F.count("*"), F.sum("bytes"), block).alias("blocks"), F.array_distinct(F.array(*some)).alias("some"))

@@ -285,6 +285,56 @@ def test_a_large_group_of_near_copies(spark, monkeypatch):
     assert got == brute_components(texts, 3, 90)
 
 
+def test_whole_bitmaps_lose_no_pair():
+    rng = np.random.default_rng(3)
+    draw = lambda k: rng.integers(0, 2**63, k, dtype=np.uint64)
+    sets = []
+    for n in (1, 40, 500, 700, 1_020, 1_030, 4_000):
+        base = draw(n)
+        for k in (0, 1, n // 30, n // 12, n // 7, n // 3):
+            own = base.copy()
+            own[rng.permutation(n)[:k]] = draw(k)
+            sets.append(np.unique(own[: n - n // 20 * (k % 2)]))
+        sets.append(np.unique(draw(n)))
+    whole = [ngram_join.whole_bitmap(s) for s in sets]
+    assert all((m[: len(m) // 2] ^ m[len(m) // 2 :] == ngram_join.bitmap(s, 32 * len(m))).all() for s, m in zip(sets, whole))
+    maps = ngram_join.Maps(np.arange(len(sets)), np.array([len(s) for s in sets]), whole)
+    i, j = np.triu_indices(len(sets), 1)
+    both = np.array([len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j)])
+    union = maps.size[i] + maps.size[j] - both
+    for t in (80, 90):
+        kept = maps.possible(i, j, t)
+        assert kept[100 * both >= t * union].all()
+        assert kept[(100 * both < 30 * union) & (union > 60)].mean() < 0.02
+
+
+def test_long_unlike_texts_are_not_brought_together(spark, monkeypatch):
+    """Texts of which bitmaps of a fixed size tell nothing, all with one passage: only those that are alike are sent to be compared."""
+    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", 60_000)
+    monkeypatch.setattr(ngram_join, "commonness", lambda *_: np.full(1 << 9, 0x11, np.uint8))
+    sent, real = [], ngram_join.settled
+    monkeypatch.setattr(ngram_join, "settled", lambda df, *more: (sent.append(df.count()) if "text" in df.columns else None, real(df, *more))[1])
+    rng = random.Random(13)
+    line = [f"l{i}" for i in range(60)]
+    texts = [" ".join([*(f"w{rng.randrange(10**6)}" for _ in range(1_500)), *line]) for _ in range(60)]
+    texts += [x + " more" for x in texts[:5]]
+    got = {r.doc_id: (r.n_grams, r.component_id) for r in ngram_join.jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 5, 80).collect()}
+    assert got == brute_components(texts, 5, 80)
+    assert sum(sent) == 10
+
+
+@pytest.mark.parametrize("bits", [1 << 16, 1 << 27])
+def test_joins_of_more_ids_than_a_broadcast_takes(spark, monkeypatch, bits):
+    monkeypatch.setattr(shared, "BROADCAST_IDS", 50)
+    monkeypatch.setattr(shared, "SIFT_BITS", bits)
+    df = spark.createDataFrame([(f"r{i}" if i % 9 else None, i) for i in range(2_000)], "at string, n long")
+    ids = spark.createDataFrame([(f"r{i}",) for i in range(0, 4_000, 7)], "at string")
+    for how in ("inner", "left_semi", "left_anti", "left"):
+        assert sorted(r.n for r in shared.keyed_join(df, ids, "at", how).collect()) == sorted(r.n for r in df.join(ids, "at", how).collect())
+    got, want = {r.n for r in shared.sifted(df, ids, "at").collect()}, {r.n for r in df.join(ids, "at", "left_semi").collect()}
+    assert want <= got and len(got) < len(want) + (100 if bits == 1 << 16 else 5)
+
+
 def test_a_coarse_sketch_loses_nothing(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "commonness", lambda *_: np.full(1 << 9, 0x11, np.uint8))
     texts = near_texts(150, 7)
