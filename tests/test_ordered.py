@@ -188,6 +188,19 @@ def test_first_rows_are_cut_before_the_shuffle(spark):
     assert opportunities.pending(df, 1100).where("place = 1100").count() == 2
 
 
+def test_long_lists_are_dealt_out_among_equal_topics(spark):
+    """No task makes more than `pairs` entries of equal topics; those without any and null owners and ids are kept."""
+    topics = [(1, i, "") for i in range(300)] + [(1, 300 + i, "none") for i in range(40)] + [(2, 1, None), (None, 7, "x"), (2, None, "x"), (None, None, None)]
+    topics = spark.createDataFrame(topics, "owner_id long, topic_id long, topic string")
+    facts = spark.createDataFrame([(o, i, f"fact {i}") for o in (1, 2) for i in range(60)], "owner_id long, seq long, fact string")
+    held = spark.createDataFrame([(1, 1, "c", "a", "b", 0.5)], "owner_id long, seq long, context string, higher string, lower string, confidence double")
+    got = priorities.explain_basis(topics, held, facts, pairs=1_000)
+    whole = lambda df: sorted(map(str, df.collect()))
+    assert whole(got) == whole(priorities.explain_basis(topics, held, facts)) and got.count() == 344
+    each = got.groupBy(F.spark_partition_id()).agg(F.sum(F.size("facts")).alias("n")).collect()
+    assert sum(r.n for r in each) == 301 * 60 and max(r.n for r in each) <= 4_000
+
+
 @pytest.mark.parametrize("pairs", [1 << 23, 50])
 def test_basis_is_dealt_out_where_it_makes_many_rows(spark, pairs):
     """Equal topics of one owner in slices, null owners, ids and topics: the same pairs; over `pairs` a given number of partitions."""
