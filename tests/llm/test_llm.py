@@ -323,6 +323,20 @@ def test_long_unlike_texts_are_not_brought_together(spark, monkeypatch):
     assert sum(sent) == 10
 
 
+def test_the_pipelines_second_stage_moves_no_unlike_texts(spark, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(ngram_join, "commonness", lambda *_: np.full(1 << 9, 0x11, np.uint8))
+    sent, real = [], ngram_join.settled
+    monkeypatch.setattr(ngram_join, "settled", lambda df, *more: (sent.append(df.count()) if "text" in df.columns else None, real(df, *more))[1])
+    rng = random.Random(14)
+    line = [f"l{i}" for i in range(60)]
+    texts = [" ".join([*(f"w{rng.randrange(10**6)}" for _ in range(1_500)), *line]) for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate([*texts, texts[3] + " more"])), "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == list(range(30))
+    assert sum(sent) == 2
+
+
 @pytest.mark.parametrize("bits", [1 << 16, 1 << 27])
 def test_joins_of_more_ids_than_a_broadcast_takes(spark, monkeypatch, bits):
     monkeypatch.setattr(shared, "BROADCAST_IDS", 50)
